@@ -4,8 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import byte_bpe, decontaminate, jaccard_join, jobs
+from quantloom.llm import byte_bpe, decontaminate, jaccard_join, jobs, language_id, pii
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification rejects go: those without letters, or unlike every language learned."""
+    jobs.ship(spark)
+    found = language_id.identify(docs, language_id.fit(docs.filter(~language_id.held_out())))
+    return found.filter(~F.col("rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +29,19 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.decontaminate(docs, jobs.table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    jobs.ship(spark)
+    return pii.redact(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of what is left."""
     jobs.ship(spark)
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("encoded", encoded)]
+STAGES = [("known_language", known_language), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("personal_data", personal_data), ("encoded", encoded)]
 ORACLE_SQL = None
 
 

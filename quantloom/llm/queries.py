@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, jobs, substring_dedup, token_counts, token_files
+from . import byte_bpe, decontaminate, jaccard_join, jobs, language_id, pii, substring_dedup, token_counts, token_files, url_filter, vector_dedup
 
 #: Where the public tokenizers' files are.
 tokenizer_path = public_tokenizers.path
@@ -27,6 +27,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(jobs.table(spark, sf_dir, "documents"), texts=False)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled bad if the document of its number is toxic or of low quality."""
+    jobs.ship(spark)
+    labels = jobs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    return url_filter.url_verdicts(jobs.table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.ship(spark)
     path = jobs.scratch(spark, "token-files")
@@ -34,6 +41,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.ship(spark)
+    return pii.personal_data(jobs.table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.ship(spark)
+    docs = jobs.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = language_id.fit(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), models)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.ship(spark)
     counts = token_counts.token_counts(jobs.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), jobs.scratch(spark, "token-cache"))
@@ -45,7 +65,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(jobs.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_substring_dedup, op5_token_files, op8_token_counts, op9_jaccard_join)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.ship(spark)
+    return vector_dedup.vector_components(jobs.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_token_files, op6_personal_data, op7_language_id, op8_token_counts, op9_jaccard_join, op10_vector_dedup)
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

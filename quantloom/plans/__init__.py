@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import bar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "e20_momentum_backtest"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -36,13 +36,13 @@ def returns(d: Dialect) -> str:
 
 def chain(d: Dialect) -> str:
     """A deterministic option chain around each bar's close, priced by a closed form."""
-    offsets = d.explode(d.series("-4", "4"), "o")
+    offsets = d.explode(d.series("-2", "2"), "o")
     dte = "explode(array(7, 30, 60))" if d.spark else "unnest([7, 30, 60])"
     right = "explode(array('C', 'P'))" if d.spark else "unnest(['C', 'P'])"
-    base = f"(select symbol, ts, close as spot, volume, {offsets} from {bars(d)} b where trades >= 2)"
+    base = f"(select symbol, ts, close as spot, volume, {offsets} from {bars(d)} b where trades >= 6)"
     base = f"(select *, {dte} as dte from {base} b1)"
     base = f"(select *, {right} as opt from {base} b2)"
-    return f"""(select symbol, ts, spot, volume as stock_volume, dte, opt, round(spot * (1 + 0.03 * o), 2) as strike, 0.18 + 0.02 * abs(o) - 0.005 * o + 0.0004 * dte as iv,
+    return f"""(select symbol, ts, spot, volume as stock_volume, dte, opt, floor(spot * (100 + 3 * o)) / cast(100 as double) as strike, cast(1800 + 200 * abs(o) - 50 * o + 4 * dte as double) / 10000 as iv,
       100 + 37 * ((o + 4) * 3 + dte + case when opt = 'C' then 1 else 0 end) % 211 as oi, 10 + (o + 5) * 7 + dte as opt_volume from {base} b3)"""
 
 

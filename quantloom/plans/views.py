@@ -53,5 +53,5 @@ def trades(d: Dialect) -> str:
 def paths(d: Dialect) -> str:
     """Marked-to-market paths: the line items of an order are its days."""
     order = "l_linenumber, l_shipdate, l_extendedprice, l_quantity, l_partkey"
-    step = "l_extendedprice * (l_discount - 0.05) / 100"
+    step = "floor(l_extendedprice * (l_discount - 0.05)) / cast(100 as double)"
     return f"(select l_orderkey as trade_id, row_number() over (partition by l_orderkey order by {order}) as day, l_shipdate as date, l_returnflag as profile, round(sum({step}) over (partition by l_orderkey order by {order} rows between unbounded preceding and current row), 4) as pnl, l_extendedprice / l_quantity as spot from {{lineitem}})"

@@ -29,10 +29,10 @@ _bars("b11_realized_vol", B.realized_vol, ["rv_5", "rv_10", "rv_20"], digits=5)
 _bars("b12_atr", B.atr, ["atr_5", "atr_14"], digits=4)
 _bars("b13_trend_metrics", B.trend_metrics, ["ma_20", "ma_50", "slope_20", "slope_50", "vs_ma_20", "vs_ma_50", "return_5", "return_10", "return_20", "range_10"], digits=5)
 _bars("b14_derived_features", lambda s, src: B.trend_metrics(s, B.atr(s, B.realized_vol(s, src))), ["rv_20", "atr_14", "ma_20", "slope_20", "range_10"], digits=5)
-_bars("b15_sma_ema", B.sma_ema, ["sma_10", "sma_50", "ema_12", "ema_26", "vs_sma_10"], ["cross_up", "cross_down"], digits=4)
+_bars("b15_sma_ema", B.sma_ema, ["sma_10", "sma_50", "ema_12", "ema_26", "vs_sma_10"], ["cross_up", "cross_down"], digits=7)
 _bars("b16_rsi", B.rsi, ["roc_7", "roc_14", "rsi_7", "rsi_14"], digits=4)
-_bars("b17_macd", B.sma_ema, ["macd", "signal_9", "macd_histogram"], digits=4)
-_bars("b18_bollinger_keltner", B.bollinger_keltner, ["mid", "upper", "lower", "percent_b", "band_width", "keltner_upper", "keltner_lower"], digits=4)
+_bars("b17_macd", B.sma_ema, ["macd", "signal_9", "macd_histogram"], digits=7)
+_bars("b18_bollinger_keltner", B.bollinger_keltner, ["mid", "upper", "lower", "percent_b", "band_width", "keltner_upper", "keltner_lower"], digits=7)
 _bars("b19_range_position", B.range_position, ["highest", "lowest", "position"])
 _bars("b20_cumulative_volume", B.cumulative_volume, ["obv", "vwap_cumulative", "ad_line"], digits=3)
 _bars("b21_volume_trend", B.volume_trend, ["volume_ratio", "volume_trend"], ["high_volume"])

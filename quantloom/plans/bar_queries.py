@@ -22,7 +22,7 @@ _bars("b05_derivatives", B.derivatives, ["velocity", "acceleration", "jerk", "ve
 _bars("b06_rolling_stats", B.rolling_stats, [f"{c}_{n}" for n in (5, 20) for c in ("mean", "std", "min", "max", "range", "price_z", "volume_z", "rank")], digits=5)
 _bars("b06_moments", B.moments, ["skew", "kurtosis"], digits=4, source=views.returns)
 _bars("b07_gain_loss", B.gain_loss, ["avg_gain", "avg_loss", "from_high", "from_low", "gain_loss_ratio", "consistency"], ["up_bars", "down_bars"], digits=5)
-_bars("b08_micro", B.micro, ["efficiency", "buy_pressure", "sell_pressure", "concentration", "true_range"], digits=5)
+_bars("b08_micro", B.micro, ["efficiency", "buy_pressure", "sell_pressure", "concentration", "true_range"], digits=7)
 _bars("b09_forward_targets", B.forward_targets, ["forward_1", "forward_5", "forward_15", "forward_60"], ["direction"])
 _bars("b10_triple_barrier", B.triple_barrier, ["atr"], ["barrier"], digits=4)
 _bars("b11_realized_vol", B.realized_vol, ["rv_5", "rv_10", "rv_20"], digits=5)

@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once: bounds the memory of the prefix sums (16 bytes a byte of text).
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -20,12 +20,13 @@ _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Class of every code point, by Unicode's letters, numbers and white space."""
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, _OTHER, np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        for m in regex.finditer(pattern, points):
-            shift = lambda i: i if i < 0xD800 else i + 0x800
-            out[shift(m.start()) : shift(m.end() - 1) + 1] = kind
+    patterns = [(kind, regex.compile(p)) for kind, p in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+"))]
+    for a in range(0, 0x110000, 0x2000):  # in parts: little memory in every worker
+        points = "".join(map(chr, range(a, a + 0x2000)))
+        for kind, pattern in patterns:
+            for m in pattern.finditer(points):
+                out[a + m.start() : a + m.end()] = kind
     return out
 
 

@@ -28,11 +28,12 @@ from .pretokens import _byte_classes
 from .textops import U64, hash_spans, mix64, runs, text_buffer
 
 ORDER = 4
-SAMPLE_DOCS, CALIBRATION_DOCS = 1000, 200
+SAMPLE_DOCS, CALIBRATION_DOCS = 600, 200
 #: Cross-entropy beyond the largest of the calibration documents', as a share of it, at which a text is rejected.
 MARGIN = 0.25
 UNKNOWN = "und"
-_CACHE_WORDS = 2_000_000
+#: Words that a worker keeps the scores of, and scores at once.
+_CACHE_WORDS, _WORDS_AT_ONCE = 1_500_000, 8_000
 
 
 def _letters(column: pa.Array):
@@ -127,6 +128,10 @@ class Models:
 
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word under each language, and its number of characters."""
+        parts = [self._scores(words[a : a + _WORDS_AT_ONCE]) for a in range(0, len(words), _WORDS_AT_ONCE)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word, place, grams, contexts = _grams(words)
         n, langs = len(word), len(self.languages)
         score, done = np.zeros((n, langs), np.float32), np.zeros((n, langs), bool)

@@ -34,7 +34,7 @@ SHINGLE, PERCENT = 5, 80
 #: Members of a segment's group that are compared pairwise at once; larger groups go by representative first.
 PAIRWISE = 12
 #: Members in one row of a large group.
-TILE = 2048
+TILE = 512
 _SKETCH = 8  # words of 64 bits
 _SEED = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -252,14 +252,20 @@ def _verify(percent: int):
     return run
 
 
+def _members(values: pa.StructArray):
+    """A tile's entities, components, sizes and sketches."""
+    sketch = np.frombuffer(b"".join(values.field("s").to_pylist()), "<u8").reshape(-1, _SKETCH)
+    return (*(np.asarray(values.field(k)) for k in "ecn"), sketch)
+
+
 def _across(percent: int):
     """Pairs of different components in a large group whose sketches allow the similarity; a row holds one or two tiles."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                left, right = row["left"], row["right"]
-                (ea, ca, na, sa), (eb, cb, nb, sb) = [(np.array([x[k] for x in side]) if k != "s" else np.frombuffer(b"".join(x["s"] for x in side), "<u8").reshape(-1, _SKETCH) for k in ("e", "c", "n", "s")) for side in (left, right)]
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                ea, ca, na, sa = _members(left.values)
+                eb, cb, nb, sb = _members(right.values)
                 found = []
                 for i in range(len(ea)):
                     ok = (cb != ca[i]) & (np.minimum(nb, na[i]) * 100 >= np.maximum(nb, na[i]) * percent)
@@ -289,27 +295,40 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     reps = jobs.stored(meta.filter("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "representatives")
     one = lambda x: reps.select(F.col("entity").alias(x), F.col("rep").alias("r" + x), F.col("n").alias("n" + x), F.col("s").alias("s" + x))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) by entity, distinct: the pairs of representatives that are similar."""
+    def verified(pairs: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(a, b) by entity, distinct: the pairs of representatives that are similar; and the sets read for them.
+
+        Sets in `held` are not read again.  Joins that move sets or texts keep one form at every size.
+        """
         near = pairs.join(one("a"), "a").join(one("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb").filter("a is not null and b is not null").mapInArrow(_close(percent), "a long, b long")
         near = jobs.stored(near, "candidates")
         wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = jobs.stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, ids binary"), "sets")
-        with_a = near.join(sets.select(F.col("doc_id").alias("a"), F.col("ids").alias("ia")), "a")
-        return jobs.stored(with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("ids").alias("ib")), "b").select("a", "b", "ia", "ib").mapInArrow(_verify(percent), "a long, b long"), "links")
-
-    links = verified(grouped.filter("kind = 1").select("a", "b").distinct())
+        if held is not None:
+            wanted = jobs.stored(wanted.join(held.select("doc_id"), "doc_id", "left_anti"), "wanted")
+        sets = jobs.stored(docs.join(wanted if held is not None else wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, ids binary"), "sets")
+        if held is not None:
+            sets = held.unionByName(sets)
+        with_a = near.join(sets.select(F.col("doc_id").alias("a"), F.col("ids").alias("ia")).hint("merge"), "a")
+        both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("ids").alias("ib")).hint("merge"), "b")
+        return jobs.stored(both.select("a", "b", "ia", "ib").mapInArrow(_verify(percent), "a long, b long").distinct(), "links"), sets
+
+    links, sets = verified(grouped.filter("kind = 1").select("a", "b").distinct())
     large = grouped.filter("kind = 2").select(F.col("a").alias("g"), F.explode("members").alias("entity"))
     if grouped.filter("kind = 2").limit(1).count():
         label = components(links)
-        named = large.join(reps, "entity").join(label, F.col("rep") == F.col("node"), "left").select("g", "entity", F.coalesce("component", "rep").alias("c"), "n", "s")
-        member = F.struct(F.col("entity").alias("e"), "c", "n", "s")
+        # components first, without sketches: only groups that hold several of them get their members' sketches
+        slim = jobs.stored(reps.select("entity", "rep").join(label, F.col("rep") == F.col("node"), "left").select("entity", F.coalesce("component", "rep").alias("c")), "entity-components")
+        named = large.join(slim, "entity")
         size = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("g", F.ceil(F.col("k") / TILE).alias("parts"))
-        tiles = jobs.stored(named.join(size, "g").withColumn("t", F.pmod(F.xxhash64("entity"), F.col("parts"))).groupBy("g", "t").agg(F.collect_list(member).alias("m")), "tiles")
-        two = tiles.select("g", F.col("t").alias("u"), F.col("m").alias("right"))
-        rows = tiles.join(two, "g").filter("t <= u").select(F.col("m").alias("left"), "right")
-        more = rows.repartition(n).mapInArrow(_across(percent), "a long, b long").distinct()
-        links = links.unionByName(verified(more))
+        member = F.struct(F.col("entity").alias("e"), "c", "n", "s")
+        split = named.join(size, "g").withColumn("t", F.pmod(F.xxhash64("entity"), F.col("parts"))).join(reps.select("entity", "n", "s"), "entity")
+        tiles = jobs.stored(split.groupBy("g", "parts", "t").agg(F.collect_list(member).alias("m")), "tiles")
+        whole = tiles.filter("parts = 1").select(F.col("m").alias("left"), F.col("m").alias("right"))
+        cut = tiles.filter("parts > 1")
+        two = cut.select("g", F.col("t").alias("u"), F.col("m").alias("right"))
+        rows = whole.unionByName(cut.join(two, "g").filter("t <= u").select(F.col("m").alias("left"), "right"))
+        more = rows.mapInArrow(_across(percent), "a long, b long").distinct()
+        links = links.unionByName(verified(more, sets)[0])
     return meta.join(reps.select("entity", "rep"), "entity", "left").select("doc_id", "n_shingles", "rep"), links
 
 

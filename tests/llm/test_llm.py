@@ -256,3 +256,15 @@ def test_vectors(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert all(float(u[a].astype(float) @ u[b].astype(float)) >= 0.9 - 1e-6 for a, b in links.collect() if max(a, b) < 8000)
     assert vector_dedup.vector_components(empty(spark, "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_vectors_of_one_large_group(spark):
+    """Near-copies that k-means splits over many shards: no link between the shards is lost."""
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=64) + 0.2 * rng.normal(size=(1500, 64))
+    v = np.concatenate([near, rng.normal(size=(1500, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    nodes, links = vector_dedup.vector_links(df, shard=60)
+    truth, found = vector_dedup.audit(df, links, nodes)
+    assert truth > 200_000 and found >= 0.999 * truth
+    assert links.count() == links.distinct().count()

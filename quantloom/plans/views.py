@@ -39,7 +39,7 @@ def chain(d: Dialect) -> str:
     offsets = d.explode(d.series("-2", "2"), "o")
     dte = "explode(array(7, 30, 60))" if d.spark else "unnest([7, 30, 60])"
     right = "explode(array('C', 'P'))" if d.spark else "unnest(['C', 'P'])"
-    base = f"(select symbol, ts, close as spot, volume, {offsets} from {bars(d)} b where trades >= 6)"
+    base = f"(select symbol, ts, close as spot, volume, {offsets} from {bars(d)} b)"
     base = f"(select *, {dte} as dte from {base} b1)"
     base = f"(select *, {right} as opt from {base} b2)"
     return f"""(select symbol, ts, spot, volume as stock_volume, dte, opt, floor(spot * (100 + 3 * o)) / cast(100 as double) as strike, cast(1800 + 200 * abs(o) - 50 * o + 4 * dte as double) / 10000 as iv,

@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 
 from quantloom import plans
+from quantloom.frames import DUCK
+from quantloom.plans import views
 from quantloom.plans.registry import TABLES
 
 PICKED = ["b01_returns", "b06_rolling_stats", "b10_triple_barrier", "b15_sma_ema", "o01_tick_sign", "o05_vpin", "g15_cusum_mean", "g21_regime_runs", "g22_hazard_table", "m01_greeks", "a10_zero_gamma", "e11_performance", "e25_bh_correction", "j03_asof_backward", "i14_corr_matrix", "r01_text_rank", "t01_stream_bars", "t12_sessions"]
@@ -41,3 +43,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_chain_on_every_bar():
+    con = duckdb.connect()
+    con.sql("create table part as select 1 as p_partkey, 'SMALL' as p_type")
+    con.sql("create table lineitem as select 1 as l_partkey, timestamp '1996-01-01' + to_days(cast(i // 2 as int)) as l_shipdate, 100.0 + i as l_extendedprice, 1.0 as l_quantity, i as l_orderkey, 1 as l_linenumber, 0.0 as l_discount, 0.0 as l_tax, 1 as l_suppkey from range(20) t(i)")
+    sql = views.chain(DUCK).replace("{lineitem}", "lineitem").replace("{part}", "part")
+    assert con.execute(f"select count(*), count(distinct ts) from {sql} c").fetchone() == (10 * 30, 10)

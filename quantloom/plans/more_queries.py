@@ -8,7 +8,7 @@ from ..operators import chains as A
 from . import views
 from .flow_queries import labelled
 from .registry import query
-from .table_queries import PERF, _r, _topk, performance, ret
+from .table_queries import PERF, _r, _recall, performance, ret
 
 ONE = "cast(1 as double)"
 
@@ -47,8 +47,8 @@ query("i06_net_flow", lambda d: f"select a.source as a, a.target as b, {_r('a.te
 query("i08_wasserstein", lambda d: f"select a, b, {_r('sum(abs(fa - fb) * step)', 5)} as distance from (select a, b, fa, fb, coalesce(lead(v) over (partition by a, b order by v, side, k) - v, 0) as step from (select p.a, p.b, u.v, u.side, u.k, sum(case when u.side = 0 then {ONE} / u.n else 0 end) over (partition by p.a, p.b order by u.v, u.side, u.k) as fa, sum(case when u.side = 1 then {ONE} / u.n else 0 end) over (partition by p.a, p.b order by u.v, u.side, u.k) as fb from (select distinct a, b from {pairs(d)} z) p join (select symbol, 0 as side, round(r, 9) as v, row_number() over (partition by symbol order by r, ts) as k, count(*) over (partition by symbol) as n from {views.returns(d)} x where r is not null union all select symbol, 1 as side, round(r, 9) as v, row_number() over (partition by symbol order by r, ts) as k, count(*) over (partition by symbol) as n from {views.returns(d)} y where r is not null) u on (u.side = 0 and u.symbol = p.a) or (u.side = 1 and u.symbol = p.b)) q) w group by a, b")
 
 # ---- calendars and joins
-CAL = "(select o_orderkey as cal_id, o_orderdate as at, o_orderpriority as event_name from {orders} where o_orderkey % 97 = 0)"
-query("c16_event_windows", lambda d: f"select b.symbol, b.ts, count(c.cal_id) as events, min({d.days('c.at', 'b.ts')}) as nearest_ahead from {views.bars(d)} b join {CAL} c on c.at >= {d.plus_days('b.ts', -2)} and c.at <= {d.plus_days('b.ts', 3)} group by b.symbol, b.ts")
+CAL = "(select o_orderdate as at, count(*) as n from {orders} group by o_orderdate)"
+query("c16_event_windows", lambda d: f"select b.symbol, b.ts, cast(sum(c.n) as bigint) as events, min({d.days('c.at', 'b.ts')}) as nearest_ahead from {views.bars(d)} b join {CAL} c on c.at >= {d.plus_days('b.ts', -2)} and c.at <= {d.plus_days('b.ts', 3)} group by b.symbol, b.ts")
 query("c17_upcoming_events", lambda d: f"select b.symbol, b.ts, min({d.days('c.at', 'b.ts')}) as days_until, case when min({d.days('c.at', 'b.ts')}) <= 1 then 1 else 0 end as tighten from {views.bars(d)} b join {CAL} c on c.at >= b.ts and c.at < {d.plus_days('b.ts', 5)} group by b.symbol, b.ts")
 query("j07_bulk_prices", lambda d: f"select w.symbol, w.ts, w.dte, w.opt, w.strike, c.oi from (select symbol, ts, dte, opt, strike from {views.chain(d)} x where dte = 30 and strike > spot) w join {views.chain(d)} c on w.symbol = c.symbol and w.ts = c.ts and w.dte = c.dte and w.opt = c.opt and w.strike = c.strike")
 query("j11_array_members", lambda d: f"select user_id, member, count(*) as n from (select user_id, {d.explode('ids', 'member')} from (select user_id, {d.collect('event_type')} as ids from {{events}} group by user_id) x) y group by user_id, member")
@@ -87,7 +87,7 @@ query("e66_concentration", lambda d: f"select l_returnflag as grp, {_r('cast(sum
 query("e64_position_greeks", lambda d: f"select symbol, ts, {_r('sum(case when opt = ' + chr(39) + 'C' + chr(39) + ' then delta else -delta end)', 5)} as net_delta, {_r('sum(gamma)', 8)} as net_gamma, {_r('sum(theta)', 5)} as net_theta from {A.greeks(views.chain(d))} g where dte = 30 group by symbol, ts")
 
 # ---- recall and ordering
-query("r04_similar", lambda d: f"select q, vec_id, similarity from ({_topk(d, 10)}) t where similarity > 0.2")
+_recall("r04_similar", 10, lambda d, top: f"select q, vec_id, similarity from {top} t where similarity > 0.2")
 query("r07_provenance", lambda d: "select conv_id, turn, role, length(text) as n from (select *, row_number() over (partition by conv_id order by turn desc) as k from {conversations}) c where k <= 2")
 query("z02_topk_edge", lambda d: f"select symbol, ts, {_r('r')} as r from (select *, row_number() over (order by round(abs(r), 9) desc, symbol, ts) as k from {views.returns(d)} x where r is not null) y where k <= 25")
 query("z03_first_rule", lambda d: f"select symbol, ts, case when r > 0.5 then 'spike' when r < -0.3 then 'drop' when volume > 150 then 'busy' else 'none' end as rule from {views.returns(d)} x")

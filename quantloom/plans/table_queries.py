@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from ..frames import Series, output, staged
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..frames import DUCK, SPARK, Series, output, spark_sql, staged
 from ..operators import bars as B
 from . import views
 from .flow_queries import labelled, vixed
-from .registry import query
+from .registry import native, query, tables
 
 D = "cast({} as double)"
 
@@ -35,11 +40,58 @@ def _flags(d) -> str:
     return f"array({parts})" if d.spark else f"[{parts}]"
 
 
+#: One vector in so many is a query.
+EVERY = 20
+#: Vectors, and queries, that are compared in one task.
+BLOCK = 8192
+
+
 def _topk(d, k: int = 5) -> str:
-    """The k nearest vectors of the first ten by cosine; ties by id."""
-    dot = (lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (s, x) -> s + x)") if d.spark else (lambda a, b: f"list_dot_product({a}::double[], {b}::double[])")
-    pair = f"(select a.vec_id as q, b.vec_id, {dot('a.embedding', 'b.embedding')} / sqrt({dot('a.embedding', 'a.embedding')} * {dot('b.embedding', 'b.embedding')}) as similarity from (select vec_id, embedding from {{embeddings}} where vec_id < 10) a join {{embeddings}} b on a.vec_id <> b.vec_id)"
-    return f"select q, vec_id, round(similarity, 6) as similarity, k from (select *, row_number() over (partition by q order by round(similarity, 6) desc, vec_id) as k from {pair} p) x where k <= {k}"
+    """The k nearest vectors of each query by cosine; ties by id."""
+    dot = lambda a, b: f"list_dot_product({a}::double[], {b}::double[])"
+    pair = f"(select a.vec_id as q, b.vec_id, {dot('a.embedding', 'b.embedding')} / sqrt({dot('a.embedding', 'a.embedding')} * {dot('b.embedding', 'b.embedding')}) as similarity from (select vec_id, embedding from {{embeddings}} where vec_id % {EVERY} = 0) a join {{embeddings}} b on a.vec_id <> b.vec_id)"
+    return f"(select q, vec_id, round(similarity, 6) as similarity, k from (select *, row_number() over (partition by q order by round(similarity, 6) desc, vec_id) as k from {pair} p) x where k <= {k})"
+
+
+def topk(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The rows of `_topk`: blocks of queries meet blocks of vectors, and their best are ranked again."""
+
+    def nearest(table: pa.Table) -> pa.Table:
+        v = np.asarray(table.column("embedding").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+        ids, asks = np.asarray(table.column("vec_id")), np.asarray(table.column("asks"))
+        size = np.sqrt(np.einsum("ij,ij->i", v, v))
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in range(0, len(mine), 256):
+            q = mine[a : a + 256]
+            s = v[q] @ v[others].T / (size[q][:, None] * size[others])
+            s[ids[q][:, None] == ids[others]] = -np.inf
+            least = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(q), 1), -2.0)
+            i, j = np.nonzero((s >= least - 2e-6) & (s > -np.inf))  # equal after rounding stays
+            found.append((ids[q[i]], ids[others[j]], s[i, j]))
+        return pa.table(dict(zip(("q", "vec_id", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    rows = vectors.select("vec_id", "embedding").filter("vec_id is not null and embedding is not null")
+    blocks = 1 + rows.count() // block
+    asked = 1 + blocks // EVERY
+    salt = F.xxhash64("vec_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.filter(F.col("vec_id") % EVERY == 0).select(F.pmod(salt, F.lit(asked)).cast("int").alias("a"), each(blocks).alias("b"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    right = rows.select(each(asked).alias("a"), F.pmod(salt, F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    near = left.unionByName(right).groupBy("a", "b").applyInArrow(nearest, "q long, vec_id long, similarity double")
+    near = near.withColumn("similarity", F.round("similarity", 6))
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("k") <= k)
+
+
+def _recall(name: str, k: int, build) -> None:
+    """Register a query over the k nearest vectors: build(dialect, relation of them) gives the SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = build(SPARK, "{topk}")
+        return spark_sql(spark, sql, **tables(spark, sf_dir, sql), topk=topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k))
+
+    run.__name__ = name
+    native(name, run, build(DUCK, _topk(DUCK, k)).replace("{embeddings}", "embeddings").replace("{documents}", "documents"))
 
 
 def _bm25(d, k: int = 10) -> str:
@@ -150,7 +202,17 @@ query("e11_performance", lambda d: output(performance(d, ret(d)), ("symbol",), P
 query("e13_drawdown_table", lambda d: f"select symbol, spell, min(ts) as start_ts, max(ts) as end_ts, count(*) as days, {_r('min(drawdown)')} as depth from (select *, sum(case when drawdown >= 0 then 1 else 0 end) over (partition by symbol order by ts rows between unbounded preceding and current row) as spell from {B.momentum_backtest(Series(d), views.bars(d))} m) x where drawdown < 0 group by symbol, spell")
 query("e14_three_set_validate", lambda d: f"select symbol, {_r('train')} as train, {_r('test')} as test, {_r('holdout')} as holdout, case when train > 0 and test > 0 and holdout > 0 then 1 else 0 end as survives from (select symbol, {', '.join(f'avg(case when {c} then r end) / nullif(stddev_samp(case when {c} then r end), 0) * sqrt(252.0) as {n}' for n, c in (('train', 'month(ts) % 2 = 1 and year(ts) < 2001'), ('test', 'month(ts) % 2 = 0 and year(ts) < 2001'), ('holdout', 'year(ts) = 2001')))} from {ret(d)} x group by symbol) y")
 query("e16_allocate", lambda d: output(staged(performance(d, ret(d)), {"w": "greatest(sharpe, 0)", "iv": "1 / greatest(abs(max_dd), 0.01)"}, {"equal_weight": "cast(1 as double) / count(*) over ()", "sharpe_weight": "w / nullif(sum(w) over (), 0)", "risk_weight": "iv / sum(iv) over ()"}), ("symbol",), ["equal_weight", "sharpe_weight", "risk_weight"], [], 6))
-query("e22_walk_forward_windows", lambda d: f"select k, {d.plus_months('date ' + chr(39) + '1995-01-01' + chr(39), 'k * 6')} as train_start, {d.plus_months('date ' + chr(39) + '1995-01-01' + chr(39), 'k * 6 + 12')} as test_start, {d.plus_months('date ' + chr(39) + '1995-01-01' + chr(39), 'k * 6 + 18')} as test_end from (select {d.explode(d.series('0', '10'), 'k')} from {{region}} where r_regionkey = 0) x")
+
+
+def walk_forward_windows(d) -> str:
+    """Train for 12 months and test for 3, in steps of 3, from the first bar; the last test ends by the last bar."""
+    span = f"(select min(cast(ts as date)) as a, max(cast(ts as date)) as b from {views.bars(d)} x)"
+    steps = f"(select a, b, {d.explode(d.series('0', 'cast((year(b) - year(a)) * 4 + 4 as int)'), 'k')} from {span} y)"
+    ends = f"(select k, b, {d.plus_months('a', 'k * 3')} as train_start, {d.plus_months('a', 'k * 3 + 12')} as test_start, cast({d.plus_days(d.plus_months('a', 'k * 3 + 15'), -1)} as date) as test_end from {steps} z)"
+    return f"select k, train_start, test_start, test_end from {ends} w where test_end <= b"
+
+
+query("e22_walk_forward_windows", walk_forward_windows)
 query("e24_sharpe_pvalue", lambda d: output(staged(performance(d, ret(d)), {"se": "sqrt((1 + mean / nullif(dev, 0) * mean / nullif(dev, 0) / 2) / n)"}, {"zscore": "mean / nullif(dev, 0) / se"}, {"p_value": _two_sided("zscore")}), ("symbol",), ["zscore", "p_value"], ["n"], 6))
 query("e25_bh_correction", lambda d: output(staged(f"(select symbol, {_two_sided('t_stat')} as p from {performance(d, ret(d))} x)", {"rk": "row_number() over (order by p, symbol)", "m": "count(*) over ()"}, {"bonferroni": "least(1, p * m)", "raw": "p * m / rk"}, {"bh": "least(1, min(raw) over (order by rk rows between current row and unbounded following))"}), ("symbol",), ["p", "bonferroni", "bh"], ["rk"], 6))
 query("e26_param_sweep", lambda d: f"select symbol, k, count(*) as n, {_r('avg(r * hold) / nullif(stddev_samp(r * hold), 0) * sqrt(252.0)', 5)} as sharpe from (select symbol, k, r, case when lag(close) over (partition by symbol, k order by ts) > lag(close, 1 + 5) over (partition by symbol, k order by ts) * (1 + k / cast(100 as double)) then 1 else 0 end as hold from (select symbol, ts, close, r, {d.explode(d.series('0', '4'), 'k')} from {views.returns(d)} x) y) z where r is not null group by symbol, k")
@@ -185,7 +247,7 @@ query("i09_shape_features", lambda d: output(staged(f"(select symbol, ts, round(
 # ---- recall
 query("r01_text_rank", lambda d: _bm25(d))
 query("r06_categorise", lambda d: "select doc_id, case when lower(text) like '%token =%' then 'secret' when lower(text) like '%license%' then 'license' when lower(text) like '%@%' then 'contact' else 'other' end as category from {documents}")
-query("r02_vector_topk", lambda d: _topk(d))
-query("r03_hybrid_search", lambda d: f"select q, vec_id, {_r('0.3 * text_score + 0.7 * similarity', 5)} as score from (select v.q, v.vec_id, v.similarity, cast(length(x.text) % 100 as double) / 100 as text_score from ({_topk(d)}) v left join {{documents}} x on v.vec_id = x.doc_id) y")
+_recall("r02_vector_topk", 5, lambda d, top: f"select q, vec_id, similarity, k from {top} t")
+_recall("r03_hybrid_search", 5, lambda d, top: f"select q, vec_id, {_r('0.3 * text_score + 0.7 * similarity', 5)} as score from (select v.q, v.vec_id, v.similarity, cast(length(x.text) % 100 as double) / 100 as text_score from {top} v left join {{documents}} x on v.vec_id = x.doc_id) y")
 
 

@@ -268,3 +268,14 @@ def test_vectors_of_one_large_group(spark):
     truth, found = vector_dedup.audit(df, links, nodes)
     assert truth > 200_000 and found >= 0.999 * truth
     assert links.count() == links.distinct().count()
+
+
+def test_url_sections_of_a_large_host(spark):
+    """A bad section is rejected by its own pages, however large its host is and however deep it lies."""
+    rows = [(k, f"http://h.org/s{k % 100}/{k}", int(k % 100 == 7)) for k in range(8000)]
+    rows += [(9000 + k, f"http://deep.org/a/b/c/d/e/f/g/{'bad' if k % 2 else 'good'}/{k}", k % 2) for k in range(400)]
+    pages = spark.createDataFrame([(a, b) for a, b, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "page_id long, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter.url_verdicts(pages, labels).collect()}
+    assert all(got[a][1] == ("block" if c else "allow") for a, _, c in rows)
+    assert got[7][0] == "/s7/*" and got[9001][0] == "/a/b/c/d/e/f/g/bad/*"

@@ -5,7 +5,8 @@ longest length matched at each word.  Only runs of words whose neighbouring pair
 window lies inside such a run, so nothing is lost.  A window is `WINDOW` consecutive item words, or a whole shorter item.
 
 The items go to the tasks in blocks of at most `BLOCK_BYTES` of text, one automaton each, so what is broadcast has that
-bound whatever the size of the benchmark; with several blocks the documents' spans are united afterwards.
+bound whatever the size of the benchmark; with several blocks the spans of equal rows are united afterwards, and each of
+the rows is given.
 
 Null and empty texts have no words and no hits; items without words give no window.  Repeated rows are judged alike.
 Rows without a doc_id are judged like others.  Extra columns are ignored.  Words are compared by 64-bit hashes.
@@ -199,7 +200,7 @@ def _united(batches):
                     cover.append([a, b])
             starts.append([a for a, _ in cover]), ends.append([b for _, b in cover]), items.append(sorted(set(i)))
         arrays = [pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_key", "doc_id", "n_words")] + arrays, ["row_key", "doc_id", "n_words", "starts", "ends", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_key", "doc_id", "n_words")] + arrays + [batch.column("_rows")], ["row_key", "doc_id", "n_words", "starts", "ends", "items", "_rows"])
 
 
 def _item_words(rows) -> list[tuple[str, list[int]]]:
@@ -220,18 +221,19 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # one block: its size is bounded
         automaton = spark.sparkContext.broadcast(Automaton(_item_words(rows), window))
-        part = docs.mapInArrow(_scan(automaton, b == 0), _OUT)
+        part = docs.mapInArrow(_scan(automaton, b == 0), _OUT).withColumn("_rows", F.lit(int(b == 0)))  # the first block gives every row
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("row_key", "doc_id", "n_words").agg(flat("starts"), flat("ends"), flat("items")).mapInArrow(_united, _OUT)
-    return found
+        found = found.groupBy("row_key", "doc_id", "n_words").agg(flat("starts"), flat("ends"), flat("items"), F.sum("_rows").alias("_rows"))
+        found = found.mapInArrow(_united, f"{_OUT}, _rows long").withColumn("_rows", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+    return found.drop("_rows")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    spans = contaminated_spans(docs, benchmark, window)
+    spans = contaminated_spans(docs, benchmark, window, block_bytes)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 

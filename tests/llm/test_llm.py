@@ -279,3 +279,14 @@ def test_url_sections_of_a_large_host(spark):
     got = {r.page_id: (r.template, r.verdict) for r in url_filter.url_verdicts(pages, labels).collect()}
     assert all(got[a][1] == ("block" if c else "allow") for a, _, c in rows)
     assert got[7][0] == "/s7/*" and got[9001][0] == "/a/b/c/d/e/f/g/bad/*"
+
+
+def test_decontaminate_in_blocks(spark):
+    """Repeated rows are all there, whatever the number of blocks."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(15))
+    items = spark.createDataFrame([(k, words(k)) for k in range(4)], "item_id long, text string")
+    texts = [(1, words(0) + " " + words(1)), (1, words(0) + " " + words(1)), (2, "clean"), (2, "clean"), (None, words(3)), (None, words(3)), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    whole = rows_of(decontaminate.contamination(docs, items), *cols)
+    assert sum(whole.values()) == len(texts) and rows_of(decontaminate.contamination(docs, items, block_bytes=100), *cols) == whole

@@ -4,12 +4,17 @@ A document's set holds the hashes of its distinct `SHINGLE`-word shingles.  Sets
 most d elements, d from their sizes.  Sets of one size band (and of two adjoining ones) are cut into m > d segments by
 an element's hash; a segment's parity is the XOR of its elements' hashes.  One differing element changes one segment, so
 two sets within d agree in at least m - d segments: joining on segments loses no pair.  An empty segment says nothing;
-it counts only for a set that has m - d of them or more.  Pairs that share a segment are filtered by a 512-bit parity
-sketch, whose Hamming distance is at most the symmetric difference, and then verified on the whole sets.
+it counts only for a set that has m - d of them or more.  Pairs that share a segment are filtered by parity sketches, whose
+Hamming distance is at most the symmetric difference, and then verified on the whole sets.  A sketch has two to four bits
+an element, a power of two of them; of two, the longer is folded to the shorter's length.
 
 Sets, not documents, are joined: copies collapse to one entity first, inside the tasks and again after the exchange.
-A segment that many sets share is not expanded into pairs: its members are compared with one of them, and members
-that are still in other components afterwards are compared across components only, by sketch, in tiles.
+Sets are verified in rounds, as only components are asked for: each with its nearest candidate first, then the pairs that
+are still in different components.  A segment that many sets share is not expanded into pairs: its members are paired
+with one of them, the pivot that most such segments hold.  All the members of a pivot are its star.  A star is searched in
+tiles, first by sketches for the members that may have a partner in it, then, where those are still in different
+components after the rounds, by sets: a task multiplies the incidence matrices of a tile's sets, or of two tiles', so that
+it knows every intersection exactly, and returns a spanning forest of the links it finds.
 
 Documents without words, null or empty, are linked with nothing.  With fewer than `SHINGLE` words the whole sequence is
 the one shingle.  Shingles are compared by 48-bit hashes, sets by 64-bit sums of them.  Rows without a doc_id take the
@@ -31,11 +36,14 @@ from .components import components
 from .textops import SPACED, U64, Words, mix64, window_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Members of a segment's group that are compared pairwise at once; larger groups go by representative first.
-PAIRWISE = 12
-#: Members in one row of a large group.
-TILE = 512
-_SKETCH = 8  # words of 64 bits
+#: Members of a segment's group that are compared pairwise at once; larger groups go by a pivot first.
+PAIRWISE = 8
+#: Sets and bytes of sets in a tile of a star, about, and sketches and their bytes.
+TILE, TILE_BYTES, SKETCH_TILE, SKETCH_BYTES = 512, 2 << 20, 2048, 1 << 20
+#: Bytes of a shingle's id in a stored set, and columns of an incidence matrix.
+_ID, _COLUMNS = 6, 4096
+#: Words of 64 bits of the longest sketch.
+_LONGEST = 1024
 _SEED = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -106,14 +114,36 @@ def _segments(row: np.ndarray, mixed: np.ndarray, size: np.ndarray, join: np.nda
     return owner[use], keys[use]
 
 
-def _sketches(row: np.ndarray, mixed: np.ndarray, n: int) -> np.ndarray:
-    bit = (mixed & U64(64 * _SKETCH - 1)).astype(np.int64)
-    count = np.bincount(row * (64 * _SKETCH) + bit, minlength=n * 64 * _SKETCH).reshape(n, -1) & 1
-    return np.packbits(count.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+def _sketches(row: np.ndarray, mixed: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The parity sketch of each row's elements."""
+    words = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1) / 32)), 0, int(np.log2(_LONGEST))).astype(np.int64)
+    ends = np.cumsum(words)
+    bit = (mixed & (words[row] * 64 - 1).astype(U64)).astype(np.int64)
+    count = np.bincount((ends - words)[row] * 64 + bit, minlength=int(ends[-1]) * 64 if len(ends) else 0)
+    raw = np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[8 * a : 8 * b] for a, b in zip((ends - words).tolist(), ends.tolist(), strict=True)]
+
+
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches as rows of so many words, which each has at least."""
+    out = np.zeros((len(sketches), words), U64)
+    sizes = np.array([len(x) // 8 for x in sketches], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), "<u8").reshape(len(at), size // words, words)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
 
 
 _KEY = ["<u4", "<u2", "<u8"]
-_META = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
+
+
+def _entities(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's set."""
+    sums = np.append(U64(0), np.cumsum(mix64(mix64(ids + U64(_SEED[0]))), dtype=U64))
+    ends = np.cumsum(size)
+    with np.errstate(over="ignore"):
+        return mix64(sums[ends] - sums[ends - size] + size.astype(U64))
 
 
 def _pack(n: int, width: int, percent: int):
@@ -125,11 +155,7 @@ def _pack(n: int, width: int, percent: int):
             row, ids = shingle_sets(words, width)
             size = np.bincount(row, minlength=rows)
             mixed = mix64(ids + U64(_SEED[0]))
-            total = np.zeros(rows, U64)
-            sums = np.append(U64(0), np.cumsum(mix64(mixed), dtype=U64))
-            ends = np.cumsum(size)
-            total = sums[ends] - sums[ends - size]
-            entity = mix64(total + size.astype(U64))
+            entity = _entities(ids, size)
             # one row of each set in this batch stands for its copies
             _, one = np.unique(entity, return_index=True)
             stands = np.zeros(rows, bool)
@@ -140,12 +166,11 @@ def _pack(n: int, width: int, percent: int):
             got = [_segments(r, x, size, np.where(stands, j, -1), percent) for j in (band, band - 1)]
             owner = np.concatenate([g[0] for g in got])
             key = np.concatenate([g[1] for g in got])
-            sketch = _sketches(row, mixed, rows)
             out = list(jobs.packed(((key >> U64(48)).astype(np.int64) * n >> 16).astype(np.int32), n, [key.astype("<u4"), ((key >> U64(32)) & U64(0xFFFF)).astype("<u2"), entity[owner].astype("<u8")]))
             cols = [[1] * len(out), [b for b, _ in out], [x for _, x in out]]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), *[pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], _NAMES)
             to = (entity % U64(n)).astype(np.int32)
-            blob = [x.tobytes() for x in np.ascontiguousarray(sketch)]
+            blob = _sketches(row, mixed, size)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), pa.array(to), pa.nulls(rows, pa.binary()), batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), pa.array(blob, pa.binary())], _NAMES)
 
     return run
@@ -153,12 +178,31 @@ def _pack(n: int, width: int, percent: int):
 
 _NAMES = ["kind", "bucket", "blob", "doc_id", "n_shingles", "entity", "sketch"]
 _PACKED = "kind int, bucket int, blob binary, doc_id long, n_shingles long, entity long, sketch binary"
-_GROUPED = "kind int, a long, b long, members array<long>, doc_id long, n_shingles long, entity long, sketch binary"
-_GROUPED_NAMES = ["kind", "a", "b", "members", "doc_id", "n_shingles", "entity", "sketch"]
+_GROUPED = "kind int, a long, b long, doc_id long, n_shingles long, entity long, sketch binary"
+_GROUPED_NAMES = ["kind", "a", "b", "doc_id", "n_shingles", "entity", "sketch"]
+
+
+def _pair_batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([a, b], 1), axis=0)
+    k = len(both)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], _GROUPED_NAMES)
+
+
+def _members(key: np.ndarray, entity: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, member) of large groups; equal groups of several segments are one."""
+    index = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    first = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        print_ = np.add.reduceat(mix64(entity[index].view(U64)), first)
+    _, one = np.unique(print_, return_index=True)
+    kept = np.zeros(len(start), bool)
+    kept[one] = True
+    kept = np.repeat(kept, size)
+    return key[index][kept].view(np.int64), entity[index][kept]
 
 
 def _groups(batches):
-    """Kind 0: the rows of the documents.  Kind 1: pairs of entities that share a segment.  Kind 2: large groups, in tiles."""
+    """Kind 0: the rows of the documents.  Kind 1: pairs of entities that share a segment.  Kind 2: large groups and their members."""
     blobs = []
     for batch in batches:
         is_meta = pc.equal(batch.column("kind"), 0)
@@ -166,7 +210,7 @@ def _groups(batches):
         blobs += batch.column("blob").drop_null().to_pylist()
         if meta.num_rows:
             k = meta.num_rows
-            yield pa.RecordBatch.from_arrays([meta.column("kind"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), *[meta.column(c) for c in _NAMES[3:]]], _GROUPED_NAMES)
+            yield pa.RecordBatch.from_arrays([meta.column("kind"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *[meta.column(c) for c in _NAMES[3:]]], _GROUPED_NAMES)
     if not blobs:
         return
     low, high, entity = jobs.unpacked(blobs, _KEY)
@@ -183,105 +227,215 @@ def _groups(batches):
         at = start[size == s]
         i, j = np.triu_indices(s, 1)
         pairs.append(np.stack([entity[(at[:, None] + i).ravel()], entity[(at[:, None] + j).ravel()]], 1))
-    large, sizes = start[size > PAIRWISE], size[size > PAIRWISE]
-    if len(large):
-        # equal groups of several segments are one group
-        member = np.repeat(np.arange(len(large)), sizes)
-        index = np.repeat(large - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        with np.errstate(over="ignore"):
-            print_ = np.add.reduceat(mix64(entity[index].view(U64)), np.cumsum(sizes) - sizes)
-        _, one = np.unique(print_, return_index=True)
-        large, sizes = large[one], sizes[one]
-        # the representative is the member of smallest hash: mostly the same one for the segments of a cluster
-        for at, s in zip(large.tolist(), sizes.tolist(), strict=True):
-            e = entity[at : at + s]
-            top = e[np.argmin(mix64(e.view(U64)))]
-            rest = e[e != top]
-            pairs.append(np.stack([np.minimum(rest, top), np.maximum(rest, top)], 1))
-        rows = [entity[a : min(at + s, a + TILE)] for at, s in zip(large.tolist(), sizes.tolist(), strict=True) for a in range(at, at + s, TILE)]
-        group = np.concatenate([np.full(-(-s // TILE), at) for at, s in zip(large.tolist(), sizes.tolist(), strict=True)])
-        name = mix64(key[group] + U64(len(key)))
-        k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), pa.array(name.view(np.int64)), pa.nulls(k, pa.int64()), jobs.lists(np.array([len(r) for r in rows]), pa.array(np.concatenate(rows))), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], _GROUPED_NAMES)
-    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    both = np.sort(np.concatenate(pairs), axis=1)
     if len(both):
-        both = np.unique(np.sort(both, axis=1), axis=0)
-        k = len(both)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], _GROUPED_NAMES)
+        yield _pair_batch(1, both[:, 0], both[:, 1])
+    large = size > PAIRWISE
+    if large.any():
+        yield _pair_batch(2, *_members(key, entity, start[large], size[large]))
+
+
+_NEAR_NAMES = ["a", "b", "ra", "rb", "na", "nb"]
+_NEAR = "a long, b long, ra long, rb long, far int"
 
 
 def _close(percent: int):
-    """Keep pairs whose sizes and sketches allow the similarity."""
+    """The pairs of sets whose sizes and sketches allow the similarity, with the distance of their sketches."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, _SKETCH) for c in ("sa", "sb"))
+            a, b = (batch.column(c).to_pylist() for c in ("sa", "sb"))
             na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-            far = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-            ok = (far * (100 + percent) <= (na + nb) * (100 - percent)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            words = np.minimum([len(x) for x in a], [len(x) for x in b]) // 8
+            far = np.zeros(len(a), np.int64)
+            for w in np.unique(words).tolist():
+                at = np.flatnonzero(words == w).tolist()
+                far[at] = np.bitwise_count(_folded([a[i] for i in at], w) ^ _folded([b[i] for i in at], w)).sum(1, dtype=np.int64)
+            ok = pa.array((far * (100 + percent) <= (na + nb) * (100 - percent)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in ("a", "b", "ra", "rb")), pa.array(far.astype(np.int32)).filter(ok)], ["a", "b", "ra", "rb", "far"])
 
     return run
 
 
+_SETS = "entity long, rep long, ids binary, partner long, partner_rep long"
+
+
 def _sets(width: int):
+    """The sets of documents that stand for an entity, once each; rows of one doc_id come together."""
+
     def run(batches):
+        seen: tuple[int | None, set[int]] = (None, set())
         for batch in jobs.slices(batches):
             words = Words(batch.column("text"), SPACED, True)
             row, ids = shingle_sets(words, width)
             ends = np.searchsorted(row, np.arange(len(words.counts) + 1))
-            blobs = [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+            raw = np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_ID])
+            names = _entities(ids, np.diff(ends)).view(np.int64)
+            keep, blobs = [], []
+            for k in np.flatnonzero(names == np.asarray(batch.column("entity"))).tolist():
+                doc = batch.column("rep")[k].as_py()
+                if doc != seen[0]:
+                    seen = (doc, set())
+                if int(names[k]) not in seen[1]:
+                    seen[1].add(int(names[k]))
+                    keep.append(k)
+                    blobs.append(raw[ends[k] : ends[k + 1]].tobytes())
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("entity"), kept.column("rep"), pa.array(blobs, pa.binary()), kept.column("partner"), kept.column("partner_rep")], ["entity", "rep", "ids", "partner", "partner_rep"])
 
     return run
 
 
+def _read_set(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // _ID, 8), np.uint8)
+    wide[:, :_ID] = np.frombuffer(blob, np.uint8).reshape(-1, _ID)
+    return wide.view("<u8").ravel()
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.sort(np.concatenate([x, y]))
+                both = np.sort(np.concatenate([_read_set(x), _read_set(y)]))
                 shared = int((both[1:] == both[:-1]).sum())
                 ok[k] = 100 * shared >= percent * (len(both) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("ra").filter(pa.array(ok)), batch.column("rb").filter(pa.array(ok))], ["a", "b"])
 
     return run
 
 
-def _members(values: pa.StructArray):
-    """A tile's entities, components, sizes and sketches."""
-    sketch = np.frombuffer(b"".join(values.field("s").to_pylist()), "<u8").reshape(-1, _SKETCH)
-    return (*(np.asarray(values.field(k)) for k in "ecn"), sketch)
+def _shared(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of the intersections of the first `cut` sets with the others, by products of incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # an element of one set is in no intersection
+    use = count[code] > 1
+    owner, code = owner[use], column[code[use]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((cut, len(sets) - cut), np.float32)
+    for a in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+        i, j = np.searchsorted(code, [a, a + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[owner[i:j], code[i:j] - a] = 1
+        out += held[:cut] @ held[cut:].T
+    return np.rint(out).astype(np.int64)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of pairs that join different trees, in order."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
 
 
 def _across(percent: int):
-    """Pairs of different components in a large group whose sketches allow the similarity; a row holds one or two tiles."""
+    """A spanning forest of the links between sets of different components in two tiles."""
 
     def run(batches):
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                ea, ca, na, sa = _members(left.values)
-                eb, cb, nb, sb = _members(right.values)
-                found = []
+                if not right.is_valid:  # a whole star
+                    left = right = left.values
+                else:
+                    left, right = left.values, right.values
+                rep, component = (np.concatenate([np.asarray(x.field(k)) for x in (left, right)]) for k in "rc")
+                sets = [_read_set(x) for side in (left, right) for x in side.field("s").to_pylist()]
+                size, cut = np.array([len(x) for x in sets]), len(left)
+                shared = _shared(sets, cut)
+                close = 100 * shared >= percent * (size[:cut, None] + size[None, cut:] - shared)
+                i, j = np.nonzero(close & (component[:cut, None] != component[None, cut:]))
+                kept = _forest(component[i], component[cut + j])
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[i[kept]]), pa.array(rep[cut + j[kept]])], ["a", "b"])
+
+    return run
+
+
+def _may_link(percent: int):
+    """(t, e) of the members of a star that another one's size and sketch allow to be similar, of two tiles or a whole star."""
+
+    def run(batches):
+        for batch in batches:
+            for t, left, right in zip(batch.column("t").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                left = left.values
+                right = right.values if right.is_valid else left
+                (ea, na), (eb, nb) = ((np.asarray(x.field("e")), np.asarray(x.field("n"))) for x in (left, right))
+                sketches = [x.field("s").to_pylist() for x in (left, right)]
+                words = min(len(x) for side in sketches for x in side) // 8
+                sa, sb = (_folded(x, words) for x in sketches)
+                found = [np.zeros(0, np.int64)]
                 for i in range(len(ea)):
-                    ok = (cb != ca[i]) & (np.minimum(nb, na[i]) * 100 >= np.maximum(nb, na[i]) * percent)
-                    j = np.flatnonzero(ok)
+                    j = np.flatnonzero((ea[i] != eb) & (np.minimum(nb, na[i]) * 100 >= np.maximum(nb, na[i]) * percent))
                     far = np.bitwise_count(sb[j] ^ sa[i]).sum(1, dtype=np.int64)
                     j = j[far * (100 + percent) <= (nb[j] + na[i]) * (100 - percent)]
                     if len(j):
-                        found.append(np.stack([np.minimum(ea[i], eb[j]), np.maximum(ea[i], eb[j])], 1))
-                if found:
-                    both = np.unique(np.concatenate(found), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+                        found += [ea[i : i + 1], eb[j]]
+                e = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), t, np.int64)), pa.array(e)], ["t", "e"])
 
     return run
 
 
-def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def _tile_pairs(star: DataFrame, payload: list[str], tile: int, tile_bytes: int) -> DataFrame:
+    """Rows (t, left, right) of two tiles of a star, or a whole one (right is null).
+
+    star: t, e (a member), odd, size (bytes), and the payload.  Members that are not odd are compared with the odd ones
+    only.  A tile meets the others by their numbers, so that a large star's pairs spread over tasks.
+    """
+    need = lambda rows: F.ceil(F.greatest(F.count_if(rows) / tile, F.sum(F.when(rows, F.col("size")).otherwise(0)) / tile_bytes)).cast("int")
+    parts = star.groupBy("t").agg(need(F.lit(True)).alias("parts"), need(F.col("odd")).alias("odd_parts"), need(~F.col("odd")).alias("even_parts"))
+    mine = star.join(parts.filter("odd_parts > 0"), "t").withColumn("k", F.pmod(F.xxhash64("e"), F.when(F.col("parts") == 1, 1).when(F.col("odd"), F.col("odd_parts")).otherwise(F.col("even_parts"))).cast("int"))
+    mine = mine.withColumn("odd", F.col("odd") | (F.col("parts") == 1))
+    tiles = jobs.stored(mine.groupBy("t", "odd", "k", "parts", "odd_parts", "even_parts").agg(F.collect_list(F.struct(*payload)).alias("m")), "tiles")
+    whole = tiles.filter("parts = 1").select("t", F.col("m").alias("left"), F.lit(None).cast(tiles.schema["m"].dataType).alias("right"))
+    cut = tiles.filter("parts > 1")
+    later = F.transform(F.sequence(F.col("k"), F.col("odd_parts") - 1), lambda u: F.struct(F.lit(True).alias("odd"), u.alias("k")))
+    even = F.when(F.col("even_parts") > 0, F.transform(F.sequence(F.lit(0), F.col("even_parts") - 1), lambda u: F.struct(F.lit(False).alias("odd"), u.alias("k")))).otherwise(F.array().cast("array<struct<odd:boolean,k:int>>"))
+    left = cut.filter("odd").select("t", F.col("m").alias("left"), F.explode(F.concat(later, even)).alias("to")).select("t", "to.odd", "to.k", "left")
+    return whole.unionByName(left.join(cut.select("t", "odd", "k", F.col("m").alias("right")).hint("merge"), ["t", "odd", "k"]).select("t", "left", "right"))
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """Each entity of the candidates with its nearest by sketch (x, rx, y, ry); of two that are each other's, one has none."""
+    both = near.select(F.col("a").alias("x"), F.col("ra").alias("rx"), F.col("b").alias("y"), F.col("rb").alias("ry"), "far")
+    both = both.unionByName(near.select(F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("a").alias("y"), F.col("ra").alias("ry"), "far"))
+    best = both.groupBy("x").agg(F.first("rx").alias("rx"), F.min_by(F.struct("y", "ry"), F.struct("far", F.xxhash64("y"))).alias("to")).select("x", "rx", "to.y", "to.ry")
+    mutual = best.filter("x > y").join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi").select("x", F.lit(True).alias("twice"))
+    return best.join(mutual, "x", "left").select("x", "rx", *[F.when(F.col("twice").isNull(), F.col(c)).alias(c) for c in ("y", "ry")])
+
+
+def _pivots(groups: DataFrame) -> DataFrame:
+    """(t, e): for each member e of a large group, the group's pivot t, the member of the most large groups.
+
+    groups: g, e.  Both aggregates combine before their shuffle, so that a hot group's rows don't meet in one task.
+    """
+    held = groups.groupBy("e").agg(F.count("*").alias("held"))
+    pivot = groups.join(held, "e").groupBy("g").agg(F.max_by("e", F.struct("held", F.xxhash64("e"))).alias("t"))
+    return groups.join(pivot, "g").filter("e <> t").select("t", "e").distinct()
+
+
+def _labelled(rows: DataFrame, label: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with the component of a column's document; without links it is its own."""
+    known = label.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, tile_bytes: int = TILE_BYTES, sketch_tile: int = SKETCH_TILE, sketch_bytes: int = SKETCH_BYTES) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n_shingles, rep) and the verified links (a, b) between representatives of distinct sets.
 
     A representative is the smallest doc_id of a set.  Links between sets of one component may be left out.
@@ -292,43 +446,41 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     packed = docs.mapInArrow(_pack(n, width, percent), _PACKED).repartitionById(n, F.col("bucket"))
     grouped = jobs.stored(packed.mapInArrow(_groups, _GROUPED), "segments")
     meta = grouped.filter("kind = 0").select("doc_id", "n_shingles", "entity", "sketch")
-    reps = jobs.stored(meta.filter("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "representatives")
-    one = lambda x: reps.select(F.col("entity").alias(x), F.col("rep").alias("r" + x), F.col("n").alias("n" + x), F.col("s").alias("s" + x))
-
-    def verified(pairs: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(a, b) by entity, distinct: the pairs of representatives that are similar; and the sets read for them.
-
-        Sets in `held` are not read again.  Joins that move sets or texts keep one form at every size.
-        """
-        near = pairs.join(one("a"), "a").join(one("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb").filter("a is not null and b is not null").mapInArrow(_close(percent), "a long, b long")
-        near = jobs.stored(near, "candidates")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        if held is not None:
-            wanted = jobs.stored(wanted.join(held.select("doc_id"), "doc_id", "left_anti"), "wanted")
-        sets = jobs.stored(docs.join(wanted if held is not None else wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, ids binary"), "sets")
-        if held is not None:
-            sets = held.unionByName(sets)
-        with_a = near.join(sets.select(F.col("doc_id").alias("a"), F.col("ids").alias("ia")).hint("merge"), "a")
-        both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("ids").alias("ib")).hint("merge"), "b")
-        return jobs.stored(both.select("a", "b", "ia", "ib").mapInArrow(_verify(percent), "a long, b long").distinct(), "links"), sets
-
-    links, sets = verified(grouped.filter("kind = 1").select("a", "b").distinct())
-    large = grouped.filter("kind = 2").select(F.col("a").alias("g"), F.explode("members").alias("entity"))
-    if grouped.filter("kind = 2").limit(1).count():
-        label = components(links)
-        # components first, without sketches: only groups that hold several of them get their members' sketches
-        slim = jobs.stored(reps.select("entity", "rep").join(label, F.col("rep") == F.col("node"), "left").select("entity", F.coalesce("component", "rep").alias("c")), "entity-components")
-        named = large.join(slim, "entity")
-        size = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("g", F.ceil(F.col("k") / TILE).alias("parts"))
-        member = F.struct(F.col("entity").alias("e"), "c", "n", "s")
-        split = named.join(size, "g").withColumn("t", F.pmod(F.xxhash64("entity"), F.col("parts"))).join(reps.select("entity", "n", "s"), "entity")
-        tiles = jobs.stored(split.groupBy("g", "parts", "t").agg(F.collect_list(member).alias("m")), "tiles")
-        whole = tiles.filter("parts = 1").select(F.col("m").alias("left"), F.col("m").alias("right"))
-        cut = tiles.filter("parts > 1")
-        two = cut.select("g", F.col("t").alias("u"), F.col("m").alias("right"))
-        rows = whole.unionByName(cut.join(two, "g").filter("t <= u").select(F.col("m").alias("left"), "right"))
-        more = rows.mapInArrow(_across(percent), "a long, b long").distinct()
-        links = links.unionByName(verified(more, sets)[0])
+    reps = jobs.stored(meta.filter("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("s")).filter("rep is not null"), "representatives")
+    of = lambda x, *columns: reps.select(F.col("entity").alias(x), *[F.col(c).alias(c[0] + x) for c in columns])
+
+    # candidates: pairs of a small segment, pivots and members of large ones
+    stars = jobs.stored(_pivots(grouped.filter("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("e"))), "stars")
+    pairs = grouped.filter("kind = 1").select("a", "b").unionByName(stars.select(F.col("t").alias("a"), F.col("e").alias("b"))).distinct()
+    pairs = pairs.join(of("a", "rep", "n", "s"), "a").join(of("b", "rep", "n", "s"), "b").select(*_NEAR_NAMES, "sa", "sb")
+    near = jobs.stored(pairs.mapInArrow(_close(percent), _NEAR), "candidates")
+    large = not stars.isEmpty()
+    if large:
+        whole = stars.unionByName(stars.select("t", F.col("t").alias("e")).distinct()).withColumn("odd", F.lit(True))
+        sketched = whole.join(reps.select(F.col("entity").alias("e"), "n", "s", F.octet_length("s").alias("size")), "e")
+        members = jobs.stored(_tile_pairs(sketched, ["e", "n", "s"], sketch_tile, sketch_bytes).mapInArrow(_may_link(percent), "t long, e long").distinct(), "members")
+
+    # the sets of documents that may link; sets and texts move by joins of one form at every size
+    ends = near.select(F.explode(F.array("a", "b")).alias("entity"))
+    ends = (ends.unionByName(members.select(F.col("e").alias("entity"))) if large else ends).distinct()
+    wanted = ends.join(_nearest(near).withColumnRenamed("x", "entity"), "entity", "left").join(reps.select("entity", "rep"), "entity")
+    wanted = wanted.select(F.col("rep").alias("doc_id"), "entity", "rep", F.col("y").alias("partner"), F.col("ry").alias("partner_rep"))
+    sets = jobs.stored(docs.join(wanted.hint("merge"), "doc_id").drop("doc_id").mapInArrow(_sets(width), _SETS), "sets")
+    other = lambda key, ids: sets.select(F.col("entity").alias(key), F.col("ids").alias(ids)).hint("merge")
+    verified = lambda rows: jobs.stored(rows.select("ra", "rb", "ia", "ib").mapInArrow(_verify(percent), "a long, b long"), "links")
+
+    first = sets.filter("partner is not null").select(F.col("rep").alias("ra"), F.col("partner_rep").alias("rb"), F.col("ids").alias("ia"), F.col("partner").alias("b"))
+    links = verified(first.join(other("b", "ib"), "b"))
+    label = components(links)
+    apart = jobs.stored(_labelled(_labelled(near.select("a", "b", "ra", "rb"), label, "ra", "ca"), label, "rb", "cb").filter("ca <> cb").drop("ca", "cb"), "apart")
+    links = links.unionByName(verified(apart.join(other("a", "ia"), "a").join(other("b", "ib"), "b")))
+    if large:
+        star = _labelled(members.join(reps.select(F.col("entity").alias("e"), F.col("rep").alias("r"), "n"), "e"), components(links), "r", "c")
+        home = star.groupBy("t").agg(F.mode("c").alias("home"), F.count_distinct("c").alias("components")).filter("components > 1").select("t", "home")
+        star = star.join(home, "t").select("t", "e", "r", "c", (F.col("c") != F.col("home")).alias("odd"), (F.col("n") * _ID).alias("size"))
+        held = star.join(sets.select(F.col("entity").alias("e"), F.col("ids").alias("s")).hint("merge"), "e")
+        more = _tile_pairs(held, ["r", "c", "s"], tile, tile_bytes).mapInArrow(_across(percent), "a long, b long")
+        links = links.unionByName(jobs.stored(more, "links"))
     return meta.join(reps.select("entity", "rep"), "entity", "left").select("doc_id", "n_shingles", "rep"), links
 
 

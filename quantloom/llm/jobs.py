@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task splits at once.
-SLICE_BYTES = 3 << 20
+#: Bytes of text and rows that a task splits at once.
+SLICE_BYTES, SLICE_ROWS = 3 << 20, 1 << 15
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +39,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCAN = {"Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "SubqueryAlias"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """True if df only reads, selects and filters, so that two runs deal its rows to tasks alike."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _SCAN and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() in _SCAN and plan.children().size() == 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about `most` bytes of text (one longer text is a run of its own)."""
+    """The batches cut into runs of rows of about `most` bytes of text (one longer text is a run of its own), at most SLICE_ROWS."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
-            end = min(end, batch.num_rows)
+            end = min(end, at + SLICE_ROWS, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
 
@@ -101,8 +113,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application: they need not have it installed."""
+    """Give the executors this package, once an application: they need not have it installed.
+
+    Batches between Spark and its Python tasks are held to `BATCH_BYTES`, as both sides keep some of them.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent

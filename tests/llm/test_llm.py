@@ -116,13 +116,12 @@ def test_substring_dedup(spark, docs, texts):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
-def test_jaccard(spark, docs, texts):
-    extra = spark.createDataFrame([(5000 + k, " ".join(f"t{j}" for j in range(200)) + f" v{k} w{k}") for k in range(40)], "doc_id long, text string")
-    both = jobs.stored(docs.select("doc_id", "text").filter("doc_id is not null").unionByName(extra), "both")
+def jaccard_truth(rows, width=5, percent=80):
+    """n_shingles and component of each row, by comparing all documents that share a shingle."""
     sets = {}
-    for r in both.collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
-        sets[r.doc_id] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
     at = collections.defaultdict(list)
     for i, s in sets.items():
         for g in s:
@@ -135,14 +134,58 @@ def test_jaccard(spark, docs, texts):
         return x
 
     for a, b in {(min(p, q), max(p, q)) for g in at.values() for k, p in enumerate(g) for q in g[k + 1 :]}:
-        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard(spark, docs):
+    extra = spark.createDataFrame([(5000 + k, " ".join(f"t{j}" for j in range(200)) + f" v{k} w{k}") for k in range(40)], "doc_id long, text string")
+    both = jobs.stored(docs.select("doc_id", "text").filter("doc_id is not null").unionByName(extra), "both")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(both).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert got == jaccard_truth([(r.doc_id, r.text) for r in both.collect()])
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("tile", "sketch_tile"), [(512, 2048), (7, 11)])
+def test_jaccard_stars(spark, tile, sketch_tile):
+    """A large group of near-copies, some of which are linked only to each other, in one tile and in many."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"b{j}" for j in range(240)], []
+    for k in range(150):
+        words, sub = list(base), k % 3
+        for j in rng.choice(240, 4 if sub else 11, replace=False):
+            words[j] = f"x{k}.{j}"
+        if sub == 2:  # a family of its own, too far from the base
+            words[100:112] = [f"f{k // 30}.{j}" for j in range(12)]
+        rows.append((k, " ".join(words)))
+    docs = jobs.stored(spark.createDataFrame(rows, "doc_id long, text string"), "stars")
+    want = jaccard_truth(rows)
+    assert 1 < len({c for _, c in want.values()}) < 150
+    rows_, links = jaccard_join.jaccard_links(docs, tile=tile, sketch_tile=sketch_tile)
+    label = components.components(links)
+    got = rows_.join(label, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("c")).collect()
+    assert {r.doc_id: (r.n_shingles, r.c) for r in got} == want
+
+
+def test_jaccard_large_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200_000)
+    try:
+        docs = spark.range(0, 140_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c d"), F.col("id")).alias("text"))
+        assert jaccard_join.jaccard_components(jobs.stored(docs, "short")).filter("n_shingles <> 1 or component_id <> doc_id").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_jaccard_repeated_ids(spark):
+    """Two texts under one doc_id are linked by it; rows without one take the component of their set."""
+    a, b = " ".join(f"a{j}" for j in range(30)), " ".join(f"b{j}" for j in range(30))
+    docs = jobs.stored(spark.createDataFrame([(3, a), (3, b), (5, a), (7, b), (None, b), (9, None)], "doc_id long, text string"), "repeated")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == [(0, 3), (3, 3), (3, 3), (5, 3), (7, 3), (9, 9)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a long, b long")
     got = dict(components.components(edges).collect())

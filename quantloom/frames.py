@@ -95,6 +95,11 @@ class Dialect:
     def seconds(self, x: str) -> str:
         return f"unix_seconds(cast({x} as timestamp))" if self.spark else f"cast(floor(epoch({x})) as bigint)"
 
+    def fence(self, source: str, *columns: str) -> str:
+        """The columns of a source, computed once a row: Spark doesn't push a filter's copies of their formulas below it."""
+        names = ", ".join(columns)
+        return f"(select inline(array(struct({names}))) from {source} fenced)" if self.spark else f"(select {names} from {source} fenced)"
+
     def broadcast(self, *names: str) -> str:
         return ""
 
@@ -152,12 +157,21 @@ class Series:
         m, s = self.roll("avg", x, n), self.roll("stddev_samp", x, n)
         return f"greatest(-{clip}, least({clip}, ({x} - {m}) / greatest({s}, {floor})))"
 
-    def pct_rank(self, x: str, n: int) -> str:
-        """Average rank of the frame's last value, as a share of n."""
+    def twice_rank(self, x: str, n: int) -> str:
+        """Twice the average rank of the frame's last value, a whole number."""
         d = self.d
         a = f"{d.collect(x)} {self.R(n)}"
         less, same = d.size(d.filter(a, "v", f"v < {x}")), d.size(d.filter(a, "v", f"v = {x}"))
-        return f"case when count({x}) {self.R(n)} = {n} then ({less} + ({same} + 1) / 2.0) / {n} end"
+        return f"case when count({x}) {self.R(n)} = {n} then 2 * {less} + {same} + 1 end"
+
+    def share(self, x: str, n: int, sign: str = "<=") -> str:
+        """Share of the values in the last n rows, as far as there are any, that are below the row's, or not above it."""
+        d, a = self.d, f"{self.d.collect(x)} {self.R(n)}"
+        return f"cast({d.size(d.filter(a, 'v', f'v {sign} {x}'))} as double) / count({x}) {self.R(n)}"
+
+    def pct_rank(self, x: str, n: int) -> str:
+        """Average rank of the frame's last value, as a share of n."""
+        return f"({self.twice_rank(x, n)}) / cast({2 * n} as double)"
 
 
 def staged(source: str, *stages: Mapping[str, str]) -> str:

@@ -138,26 +138,25 @@ def trend_metrics(s: Series, source: str) -> str:
     )
 
 
-def ema(s: Series, x: str, span: int) -> str:
-    """Adjusted exponential mean: weights fall by (1 - 2 / (span + 1)) a row, over a frame whose tail is negligible."""
-    d, n = s.d, 20 * span
-    a = f"{d.collect(x)} {s.R(n)}"
+def ema(d, x: str, span: int, over: str) -> str:
+    """Adjusted exponential mean over the rows of `over`: weights fall by (1 - 2 / (span + 1)) a row."""
     keep = 1 - 2 / (span + 1)
-    if d.spark:
-        fold = f"aggregate({a}, struct(cast(0 as double) as v, cast(0 as double) as w), (acc, x) -> struct(acc.v * {keep!r} + x as v, acc.w * {keep!r} + 1 as w), acc -> acc.v / nullif(acc.w, 0))"
-        return fold
+    a = f"{d.collect(x)} {over}"
     weights = f"list_transform({a}, lambda v, i: v * pow({keep!r}, len({a}) - i))"
     return f"list_sum({weights}) / list_sum(list_transform({a}, lambda v, i: pow({keep!r}, len({a}) - i)))"
 
 
+def sma(s: Series, source: str) -> str:
+    """Simple means of ten and fifty rows."""
+    return staged(source, {"sma_10": s.roll("avg", "close", 10), "sma_50": s.roll("avg", "close", 50)})
+
+
 def sma_ema(s: Series, source: str) -> str:
-    """Simple and exponential means, and where they cross."""
+    """Simple and exponential means, and where they cross.  source: close, ema_12, ema_26, signal_9."""
     return staged(
-        source,
-        {"sma_10": s.roll("avg", "close", 10), "sma_50": s.roll("avg", "close", 50), "ema_12": ema(s, "close", 12), "ema_26": ema(s, "close", 26)},
+        sma(s, source),
         {"vs_sma_10": "close / sma_10 - 1", "macd": "ema_12 - ema_26", "prev_10": s.lag("sma_10"), "prev_50": s.lag("sma_50")},
-        {"signal_9": ema(s, "macd", 9), "cross_up": "case when sma_10 > sma_50 and prev_10 <= prev_50 then 1 else 0 end", "cross_down": "case when sma_10 < sma_50 and prev_10 >= prev_50 then 1 else 0 end"},
-        {"macd_histogram": "macd - signal_9"},
+        {"cross_up": "case when sma_10 > sma_50 and prev_10 <= prev_50 then 1 else 0 end", "cross_down": "case when sma_10 < sma_50 and prev_10 >= prev_50 then 1 else 0 end", "macd_histogram": "macd - signal_9"},
     )
 
 
@@ -170,10 +169,10 @@ def rsi(s: Series, source: str, periods=(7, 14)) -> str:
 
 
 def bollinger_keltner(s: Series, source: str, n: int = 20) -> str:
-    """Bands by deviation and by range around a mean."""
+    """Bands by deviation and by range around a mean.  source: close, high, low, ema_20."""
     return staged(
         source,
-        {"mid": s.roll("avg", "close", n), "dev": s.roll("stddev_samp", "close", n), "prev_close": s.lag("close"), "ema_20": ema(s, "close", 20)},
+        {"mid": s.roll("avg", "close", n), "dev": s.roll("stddev_samp", "close", n), "prev_close": s.lag("close")},
         {"upper": "mid + 2 * dev", "lower": "mid - 2 * dev", "true_range": TRUE_RANGE},
         {"percent_b": "(close - lower) / nullif(upper - lower, 0)", "band_width": "(upper - lower) / mid", "atr_20": s.roll("avg", "true_range", 20)},
         {"keltner_upper": "ema_20 + 2 * atr_20", "keltner_lower": "ema_20 - 2 * atr_20"},
@@ -229,21 +228,26 @@ def structure(s: Series, source: str) -> str:
     )
 
 
-def momentum_scores(s: Series, source: str, windows=(12, 60, 240)) -> str:
-    """Tiered velocity points, their signed mean, the state, and how long it has lasted."""
-    tiers = lambda v: f"case when abs({v}) >= 0.05 then 30 when abs({v}) >= 0.02 then 15 when abs({v}) >= 0.005 then 5 else 0 end"
-    v = {f"v_{n}": f"close / {s.lag('close', n)} - 1" for n in windows}
-    points = {f"score_{n}": f"sign(v_{n}) * {tiers(f'v_{n}')}" for n in windows}
+def momentum_scores(s: Series, source: str, windows=(12, 60, 240), lag: int = 1) -> str:
+    """Tiered points of lagged returns over several windows, their mean, the trend state, and how long it has lasted.
+
+    Points don't count direction; a signed score and the change of each return stand beside them.  A missing return has
+    no points.  States: 0 below 50, 1 below 80, 2 from there; the points end at 30, so the upper two are not reached.
+    """
+    tiers = lambda v: f"case when abs({v}) > 0.05 then 30.0 when abs({v}) > 0.02 then 15.0 when abs({v}) > 0.005 then 5.0 else 0.0 end"
+    v = {f"v_{n}": f"{s.lag('close', lag)} / {s.lag('close', n + lag)} - 1" for n in windows}
+    points = {f"score_{n}": f"cast({tiers(f'v_{n}')} as double)" for n in windows} | {f"accel_{n}": f"v_{n} - {s.lag(f'v_{n}', n)}" for n in windows} | {"log_volume": f"ln({s.lag('volume', lag)} + 1)"}
     mean = " + ".join(f"score_{n}" for n in windows)
+    signed = {f"signed_{n}": f"score_{n} * sign(v_{n})" for n in windows}
     return staged(
         source,
         v,
         points,
-        {"composite": f"({mean}) / {len(windows)}.0"},
-        {"state": "case when composite is null then null when composite >= 80 then 'strong_up' when composite >= 50 then 'up' when composite <= -80 then 'strong_down' when composite <= -50 then 'down' else 'neutral' end", "sgn": "sign(composite)"},
-        {"turn": f"case when sgn is distinct from {s.lag('sgn')} then 1 else 0 end"},
+        signed | {"composite": f"({mean}) / {len(windows)}", "mean_volume": s.roll("avg", "log_volume", 60)},
+        {"state": "case when composite >= 80 then 2 when composite >= 50 then 1 else 0 end", "power": "composite * log_volume / greatest(greatest(mean_volume, log_volume * 0.01), 0.01)"},
+        {"turn": f"case when state is distinct from {s.lag('state')} then 1 else 0 end"},
         {"island": f"sum(turn) {s.U}"},
-        {"run_length": f"row_number() over (partition by {', '.join(s.keys)}, island order by {', '.join(s.order)})", "power": "composite * volume"},
+        {"run_length": f"row_number() over (partition by {', '.join(s.keys)}, island order by {', '.join(s.order)})"},
     )
 
 
@@ -257,15 +261,13 @@ def mtf_momentum(s: Series, source: str) -> str:
     )
 
 
-def volatility_report(s: Series, source: str, n: int = 20) -> str:
-    """Rolling volatility, its share of the past below it, and a five-level label."""
-    d = s.d
-    below = d.size(d.filter(f"{d.collect('vol')} {s.U}", "v", "v < vol"))
+def volatility_report(s: Series, source: str, n: int = 20, history: int = 252) -> str:
+    """Rolling volatility, the share of the last year below it, and a five-level label."""
     return staged(
         source,
         {"lr": f"ln(close / {s.lag('close')})"},
         {"vol": f"{s.roll('stddev_samp', 'lr', n)} * sqrt(252.0)"},
-        {"percentile": f"case when vol is not null then 100.0 * {below} / count(vol) {s.U} end"},
+        {"percentile": f"case when vol is not null then 100.0 * ({s.share('vol', history, '<')}) end"},
         {"label": "case when percentile is null then null when percentile >= 90 then 'extreme' when percentile >= 75 then 'high' when percentile >= 25 then 'normal' when percentile >= 10 then 'low' else 'very_low' end"},
     )
 

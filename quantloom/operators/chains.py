@@ -59,12 +59,13 @@ def walls(d: Dialect, source: str) -> str:
 
 
 def zero_gamma(source: str) -> str:
-    """Price at which exposure summed over rising strikes first changes sign, by linear interpolation."""
+    """Price at which exposure summed over rising strikes first is zero or changes sign, by linear interpolation; else null."""
     e = exposure_by_strike(source)
     over = "over (partition by symbol, ts order by strike)"
     rows = staged(e, {"total": f"sum(gex) {over}"}, {"before": f"lag(total) {over}", "below": f"lag(strike) {over}"})
-    crossed = f"(select symbol, ts, spot, strike, below, total, before, row_number() over (partition by symbol, ts order by strike) as k from {rows} r where before * total < 0)"
-    return f"(select symbol, ts, spot, below + (strike - below) * (-before) / (total - before) as zero_gamma from {crossed} c where k = 1)"
+    at = "case when total = 0 then strike when before * total < 0 then below + (strike - below) * (-before) / (total - before) end"
+    crossed = staged(rows, {"crossing": at}, {"k": f"sum(case when crossing is not null then 1 else 0 end) {over}"})
+    return f"(select symbol, ts, spot, min(case when k = 1 then crossing end) as zero_gamma from {crossed} c group by symbol, ts, spot)"
 
 
 def gamma_flip(source: str) -> str:

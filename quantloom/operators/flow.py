@@ -22,7 +22,9 @@ def normal_cdf(x: str) -> str:
 
 
 def tick_sign(s: Series, source: str, price: str = "price") -> str:
-    """Sign of the price change; a tie carries the last sign, the first row is 0."""
+    """Sign of the price change; a tie carries the last sign, the first row is 0.  Rows that have one keep it."""
+    if " as tick_sign" in source:
+        return source
     return staged(source, {"step": f"sign({price} - {s.lag(price)})"}, {"tick_sign": f"coalesce({s.d.last_seen('case when step <> 0 then step end')} {s.U}, 0)"})
 
 
@@ -51,10 +53,9 @@ def vpin_buckets(s: Series, source: str, size: float, n: int = 50) -> str:
     return staged(sums, {"imbalance": "abs(buy - sell) / volume"}, {"vpin": over.roll("avg", "imbalance", n, least=1)})
 
 
-def vpin_cdf(s: Series, source: str, x: str = "vpin") -> str:
-    """Share of the history, including now, that does not exceed the current value."""
-    d = s.d
-    return staged(source, {"vpin_cdf": f"cast({d.size(d.filter(f'{d.collect(x)} {s.U}', 'v', f'v <= {x}'))} as double) / count({x}) {s.U}"})
+def vpin_cdf(s: Series, source: str, x: str = "vpin", history: int = 252) -> str:
+    """Share of the last year's values, this one included, that don't exceed the current value."""
+    return staged(source, {"vpin_cdf": s.share(x, history)})
 
 
 def price_impact(s: Series, source: str, n: int = 100, least: int = 50) -> str:
@@ -132,12 +133,17 @@ def sweeps(s: Series, source: str, n: int = 20, run: int = 3) -> str:
 
 
 def smart_money(s: Series, source: str, n: int = 100) -> str:
-    """Weighted, capped sum of block direction, balance and sweeps, one row late."""
-    blocks = large_blocks(s, source, n)
+    """Five signals of large traders, weighted and capped to 0 .. 1, a row late.
+
+    Blocks count by their z-score up to 5, a negative correlation of signed size and price change as a hedge, balanced
+    buying and selling as a spread, repeated sizes as an iceberg, runs in one direction as a sweep.
+    """
+    rows = sweeps(s, spread_iceberg(s, large_blocks(s, source, n)))
     return staged(
-        blocks,
-        {"pressure": f"sum(tick_sign * size) {s.R(n)} / greatest(sum(size) {s.R(n)}, 1e-10)"},
-        {"index_now": "greatest(-1, least(1, 0.5 * block_direction + 0.5 * pressure))"},
+        rows,
+        {"signed_size": "tick_sign * size", "move": f"price - {s.lag('price')}"},
+        {"hedge": f"case when count(move) {s.R(20)} = 20 then coalesce(covar_pop(signed_size, move) {s.R(20)} / nullif(stddev_pop(signed_size) {s.R(20)} * stddev_pop(move) {s.R(20)}, 0), 0) else 0 end"},
+        {"index_now": "greatest(0, least(1, case when block_z is not null then 0.25 * least(1, abs(block_z) / 5) else 0 end + case when hedge < -0.3 then 0.2 * least(1, abs(hedge)) else 0 end + case when balance > 0.3 then 0.15 * balance else 0 end + case when iceberg > 0.3 then 0.2 * iceberg else 0 end + case when sweep <> 0 then 0.2 else 0 end))"},
         {"smart_money_index": s.lag("index_now")},
     )
 
@@ -162,4 +168,4 @@ def inventory(s: Series, source: str, n: int = 100, gamma: float = 0.1, horizon:
 
 def hedge_footprint(s: Series, source: str, n: int = 20) -> str:
     """Correlation of two flows, option_flow and stock_flow, over the last rows."""
-    return staged(source, {"hedge_corr": f"case when count(option_flow) {s.R(n)} = {n} and stddev_pop(option_flow) {s.R(n)} > 0 and stddev_pop(stock_flow) {s.R(n)} > 0 then corr(option_flow, stock_flow) {s.R(n)} end"})
+    return staged(source, {"hedge_corr": f"case when count(option_flow) {s.R(n)} = {n} then covar_pop(option_flow, stock_flow) {s.R(n)} / nullif(stddev_pop(option_flow) {s.R(n)} * stddev_pop(stock_flow) {s.R(n)}, 0) end"})

@@ -31,7 +31,7 @@ _chain("a14_vol_surface", lambda d, c: A.vol_surface(c), ("symbol", "ts", "dte")
 _chain("a15_chain_features", lambda d, c: A.chain_features(d, c), DAY, ["put_call", "straddle", "implied", "term_ratio"])
 _chain("a32_wall_table", lambda d, c: A.wall_table(c), ("symbol", "ts", "kind", "rank_"), ["strike", "strength", "distance"])
 _chain("o23_pinning", lambda d, c: f"(select symbol, ts, strike, greatest(0, 1 - abs(strike / spot - 1) / 0.05) * cast(sum(oi) as double) / sum(sum(oi)) over (partition by symbol, ts) * least(1, 7.0 / min(dte)) as pin from {c} c group by symbol, ts, spot, strike)", ("symbol", "ts", "strike"), ["pin"])
-_chain("o22_nope_signal", lambda d, c: staged(A.nope(c), {"share": f"cast({d.size(d.filter(d.collect('round(nope, 9)') + ' ' + Series(d).U, 'v', 'v <= round(nope, 9)'))} as double) / count(*) {Series(d).U}"}, {"signal": "case when share >= 0.9 then 1 when share <= 0.1 then -1 else 0 end"}), DAY, ["nope", "share"], ["signal"])
+_chain("o22_nope_signal", lambda d, c: staged(f"(select symbol, ts, round(nope, 9) as nope from {A.nope(c)} n)", {"share": Series(d).share("nope", 252)}, {"signal": "case when share >= 0.9 then 1 when share <= 0.1 then -1 else 0 end"}), DAY, ["nope", "share"], ["signal"])
 _chain("g08_put_call", lambda d, c: staged(A.chain_features(d, c), {"velocity": f"put_call - {Series(d).lag('put_call')}", "flag": "case when put_call > 1.2 then 1 when put_call < 0.7 then -1 else 0 end"}), DAY, ["put_call", "velocity"], ["flag"])
 _chain("g35_exposure_dynamics", lambda d, c: staged(A.exposure_totals(c), {"velocity": f"net_gex - {Series(d).lag('net_gex')}"}, {"acceleration": f"velocity - {Series(d).lag('velocity')}"}), DAY, ["velocity", "acceleration"], digits=3)
 _chain("t11_flip_events", lambda d, c: f"(select * from {staged(A.exposure_totals(c), {'side': "case when net_vex >= 0 then 'LONG' else 'SHORT' end"}, {'was': Series(d).lag('side')})} x where side <> was)", DAY, ["net_vex"], ["was", "side"], 3)
@@ -39,7 +39,19 @@ _chain("i13_gamma_series", lambda d, c: staged(A.exposure_totals(c), {"mean_20":
 _chain("e40_structure_payoffs", lambda d, c: A.structure_returns(d, c), ("symbol", "ts", "dte", "structure"), ["r"], digits=6)
 _chain("e41_surface_stats", lambda d, c: A.surface_stats(f"(select symbol, ts, dte, structure, round(r, 9) as r from {A.structure_returns(d, c)} x)"), ("structure", "dte"), ["mean", "dev", "win_rate", "sharpe"], ["n", "rank_"])
 _chain("c02_with_dte", lambda d, c: f"(select symbol, ts, dte, {d.days(d.plus_days('ts', 'dte'), 'ts')} as days_left, count(*) as n from {c} c group by symbol, ts, dte)", ("symbol", "ts", "dte"), [], ["days_left", "n"])
-_chain("c03_filter_bad_quotes", lambda d, c: f"(select symbol, ts, dte, opt, strike, price, price * 0.99 as bid, price * 1.01 as ask from {A.greeks(c)} g where price > 0 and opt_volume > 0 and not (price > 0.5 and 0.02 > 0.20))", ("symbol", "ts", "dte", "opt", "strike"), ["price", "bid", "ask"])
+
+
+def quoted(d, c: str) -> str:
+    """Contracts with the quotes of a modelled spread around their price, wider in the wings and with time."""
+    priced = d.fence(A.greeks(c), *CONTRACT, "spot", "opt_volume", "price")
+    spread = staged(priced, {"half": "greatest(0.01, price * (0.02 + 0.9 * abs(strike / spot - 1) + 0.0008 * dte)) / 2"})
+    return staged(spread, {"bid": "price - half", "ask": "price + half"})
+
+
+GOOD = "price > 0 and bid > 0 and ask > 0 and ask >= bid and opt_volume > 0"
+CONTRACT = ("symbol", "ts", "dte", "opt", "strike")
+_chain("c03_filter_bad_quotes", lambda d, c: f"(select * from {quoted(d, c)} q where {GOOD} and not ((bid + ask) / 2 > 0.50 and (ask - bid) / ((bid + ask) / 2) > 0.20))", CONTRACT, ["price", "bid", "ask"])
+_chain("c04_filter_garbage", lambda d, c: f"(select * from {quoted(d, c)} q where {GOOD})", CONTRACT, ["price", "bid", "ask"])
 _chain("c06_spread_model", lambda d, c: f"(select symbol, ts, dte, opt, strike, greatest(0.01, 0.05 * (1 + 2 * abs(strike / spot - 1)) * case when dte <= 7 then 1.5 when dte <= 30 then 1.2 else 1 end * (1 + iv)) as spread from {c} c)", ("symbol", "ts", "dte", "opt", "strike"), ["spread"])
 _chain("c08_chain_filter", lambda d, c: f"(select * from {c} c where dte between 14 and 60 and abs(strike / spot - 1) <= 0.1)", ("symbol", "ts", "dte", "opt", "strike"), [], ["oi", "opt_volume"])
 _chain("j06_closest_contract", lambda d, c: f"(select symbol, ts, opt, dte, strike, k from (select *, row_number() over (partition by symbol, ts, opt order by abs(dte - 45), abs(strike - spot * 1.02), dte, strike) as k from {c} c where abs(dte - 45) <= 90 and abs(strike - spot * 1.02) <= 500) q where k = 1)", ("symbol", "ts", "opt"), ["strike"], ["dte"])

@@ -33,7 +33,7 @@ _bars("o03_bulk_volume", O.bulk_volume, ["buy_share", "buy_volume", "sell_volume
 query("o04_volume_buckets", lambda d: output(O.vpin_buckets(Series(d), views.bars(d), 2000.0), ("symbol", "bucket"), ["buy", "sell", "volume", "imbalance"], ["ts"], 5))
 query("o05_vpin", lambda d: output(O.vpin_buckets(Series(d), views.bars(d), 2000.0), ("symbol", "bucket"), ["vpin"], ["ts"], 6))
 query("o07_vpin_cdf", lambda d: output(O.vpin_cdf(Series(d, order=("bucket",)), f"(select symbol, bucket, ts, round(vpin, 9) as vpin from {O.vpin_buckets(Series(d), views.bars(d), 2000.0)} v)"), ("symbol", "bucket"), ["vpin_cdf"], [], 6))
-query("o06_vpin_alert", lambda d: output(staged(f"(select symbol, bucket, round(vpin, 9) as vpin from {O.vpin_buckets(Series(d), views.bars(d), 500.0)} v)", {"vpin_rank": Series(d, order=("bucket",)).pct_rank("vpin", 100)}, {"alert": "case when vpin_rank > 0.9 then 1 else 0 end"}), ("symbol", "bucket"), ["vpin", "vpin_rank"], ["alert"]))
+query("o06_vpin_alert", lambda d: output(staged(f"(select symbol, bucket, round(vpin, 9) as vpin from {O.vpin_buckets(Series(d), views.bars(d), 500.0)} v)", {"vpin_rank": Series(d, order=("bucket",)).pct_rank("vpin", 252)}, {"alert": "case when vpin_rank > 0.9 then 1 else 0 end"}), ("symbol", "bucket"), ["vpin", "vpin_rank"], ["alert"]))
 _bars("o08_price_impact", O.price_impact, ["impact", "fit", "impact_t"], ["n"])
 _bars("o09_impact_ratio", O.impact_ratio, ["impact_ratio"], digits=8)
 query("o10_order_flow_imbalance", lambda d: output(O.order_flow_imbalance(Series(d, order=("ts", "event_id")), book(d)), (*KEYS, "event_id"), ["bid_flow", "ask_flow", "ofi"]))
@@ -43,7 +43,7 @@ _ticks("o13_large_blocks", O.large_blocks, ["cut", "z_size", "block_direction",
 query("o14_hedge_footprint", lambda d: output(O.hedge_footprint(Series(d), f"(select *, (close - open) * volume as option_flow, (high + low - 2 * close) * volume as stock_flow from {views.bars(d)} b)"), KEYS, ["hedge_corr"]))
 _ticks("o15_spread_iceberg", O.spread_iceberg, ["balance", "same_size", "price_spread", "iceberg"])
 _ticks("o16_sweeps", O.sweeps, [], ["run_length", "longest_run", "sweep"])
-_ticks("o17_smart_money", O.smart_money, ["pressure", "smart_money_index"])
+_ticks("o17_smart_money", O.smart_money, ["hedge", "balance", "iceberg", "smart_money_index"], ["sweep"])
 query("o18_flow_features", lambda d: output(staged(O.price_impact(Series(d), O.bulk_volume(Series(d), views.bars(d))), {"impact_z": Series(d).z("impact", 252), "share_z": Series(d).z("buy_share", 252)}), KEYS, ["buy_share", "impact", "impact_z", "share_z"]))
 _bars("o19_cumulative_delta", O.cumulative_delta, ["delta", "cumulative_delta", "month_delta"], digits=4)
 _bars("o20_inventory", O.inventory, ["inventory_z", "pressure"], ["reversion"])
@@ -59,6 +59,11 @@ def vixed(d):
     return staged(views.bars(d), {"vix_return": f"ln(close / {s.lag('close')})"}, {"vix": f"round({s.roll('stddev_samp', 'vix_return', 20)} * 20, 6)"})
 
 
+def returned(d):
+    """Rows with a return."""
+    return f"(select symbol, ts, close, volume, r from {views.returns(d)} x where r is not null)"
+
+
 def labelled(d):
     """Bars with a trend label."""
     return f"(select symbol, ts, close, open, high, low, volume, label from {G.label_history(Series(d), views.bars(d))} l where label is not null)"
@@ -70,8 +75,8 @@ query("g03_combined_regime", lambda d: output(G.combined_regime(Series(d), G.tre
 _bars("g04_label_history", G.label_history, ["iv", "drawdown"], ["label"])
 query("g06_moment_regime", lambda d: output(G.moment_regime(Series(d), f"(select symbol, ts, round(skew, 7) as skew, round(kurtosis, 7) as kurtosis from {B.moments(Series(d), views.returns(d), 30)} m)"), KEYS, ["skew", "kurtosis"], ["moment_state"], 7))
 query("g07_term_structure", lambda d: output(G.term_structure(Series(d), f"(select symbol, ts, vix as front, {Series(d).roll('avg', 'vix', 60)} as back from {vixed(d)} v)"), KEYS, ["spread", "slope", "slope_change"], ["state", "zone"], 9))
-query("g15_cusum_mean", lambda d: output(G.cusum(Series(d), G.standardized(Series(d), views.returns(d))), KEYS, ["z", "cusum_up", "cusum_down"], ["alarm"], 4))
-query("g16_cusum_variance", lambda d: output(G.cusum(Series(d), G.standardized(Series(d), views.returns(d)), x="z_var"), KEYS, ["z_var", "cusum_up", "cusum_down"], ["alarm"], 4))
+query("g15_cusum_mean", lambda d: output(G.cusum_mean(Series(d), returned(d)), KEYS, ["z", "cusum_up", "cusum_down", "statistic"], ["alarm"], 4))
+query("g16_cusum_variance", lambda d: output(G.cusum_variance(Series(d), returned(d)), KEYS, ["score", "statistic"], ["alarm"], 4))
 query("g21_regime_runs", lambda d: f"select symbol, run, label, first_ts, last_ts, length, is_open from {G.regime_runs(Series(d), labelled(d))} r")
 query("g22_hazard_table", lambda d: output(G.hazard_table(Series(d), G.regime_runs(Series(d), labelled(d))), ("label", "length"), ["hazard", "survival", "cumulative_hazard", "residual"], ["ended", "at_risk", "rising"]))
 query("g23_fit_durations", lambda d: output(G.fit_durations(G.regime_runs(Series(d), labelled(d))), ("label",), ["mean", "variance", "log_mean", "log_dev", "geometric_p", "nb_p", "nb_r"], ["runs"]))
@@ -89,32 +94,28 @@ query("g24_duration_features", lambda d: output(timed(d), KEYS, ["hazard", "surv
 query("g26_transition_matrix", lambda d: output(G.transition_matrix(Series(d), labelled(d)), ("from_label", "to_label"), ["share"], ["n"]))
 query("g25_tv_transition", lambda d: f"select symbol, ts, label, to_label, round(cast(case when label = to_label then 1 - hazard else hazard * share / nullif(1 - stay, 0) end as double), 6) as p from (select t.symbol, t.ts, t.label, m.to_label, m.share, t.hazard, coalesce(k.share, 0) as stay from {timed(d)} t join {G.transition_matrix(Series(d), labelled(d))} m on t.label = m.from_label left join {G.transition_matrix(Series(d), labelled(d))} k on t.label = k.from_label and k.from_label = k.to_label where t.hazard is not null) x")
 _bars("g27_bar_state", G.bar_state, [], ["state"])
-query("g28_pattern_table", lambda d: output(G.pattern_table(Series(d), G.bar_state(Series(d), views.bars(d))), ("sequence",), ["p_up", "edge"], ["n"]))
-
-
-def predicted(d):
-    s = Series(d)
-    states = G.bar_state(s, views.bars(d))
-    seq = f"concat_ws('-', cast({s.lag('state', 2)} as varchar(10)), cast({s.lag('state', 1)} as varchar(10)), cast(state as varchar(10)))"
-    rows = f"(select symbol, ts, {seq} as sequence from {states} r where state is not null)"
-    return f"(select r.symbol, r.ts, r.sequence, coalesce(round(t.edge, 9), 0) as edge from {rows} r left join {G.pattern_table(s, states)} t on r.sequence = t.sequence)"
+def stated(d):
+    """Bars with their state code and the trend regime of the day."""
+    return f"(select symbol, ts, close, state, trend as regime from {G.trend_regime(Series(d), G.bar_state(Series(d), views.bars(d)))} t)"
 
 
-query("g29_pattern_predict", lambda d: output(staged(predicted(d), {"signal": "case when edge >= 0.05 then 1 when edge <= -0.05 then -1 else 0 end"}), KEYS, ["edge"], ["sequence", "signal"]))
+query("g28_pattern_table", lambda d: output(G.pattern_table(Series(d), stated(d)), ("sequence", "regime"), ["p_up", "edge"], ["n"]))
+query("g29_pattern_predict", lambda d: output(G.pattern_lookup(Series(d), stated(d)), KEYS, ["p_up", "edge"], ["sequence", "support", "fallback", "signal"]))
 
 
 def forces(d):
     """Long rows of several forces, each with its share of the past year below it, strength and velocity."""
     s = Series(d)
     wide = staged(O.bulk_volume(s, vixed(d)), {"momentum": f"close / {s.lag('close', 20)} - 1"})
-    long = " union all ".join(f"select symbol, ts, '{f}' as force, round(cast({f} as double), 9) as value from {wide} w" for f in ("vix", "momentum", "buy_share"))
+    long = " union all ".join(f"select symbol, ts, '{f}' as force, cast({f} as double) as value, round(cast({f} as double), 9) as ranked from {wide} w" for f in ("vix", "momentum", "buy_share"))
     f = Series(d, ("symbol", "force"))
-    return staged(f"({long})", {"share": f.pct_rank("value", 120), "velocity": f"(value - {f.lag('value', 5)}) / 5"}, {"strength": "case when share is null then null else least(8, cast(floor(share * 9) as int)) end"})
+    # strength is a ninth of the rank, from whole numbers, so that no share falls short of its bin
+    return staged(f"({long})", {"twice_rank": f.twice_rank("ranked", 252), "velocity": f"(value - {f.lag('value', 5)}) / 5"}, {"share": "twice_rank / cast(504 as double)", "strength": "least(8, cast(floor(twice_rank * 9 / cast(504 as double)) as int))"})
 
 
 query("g30_force_table", lambda d: output(forces(d), ("symbol", "ts", "force"), ["value", "share", "velocity"], ["strength"]))
 query("g32_slowdown_state", lambda d: f"select symbol, max(ts) as ts, round({d.last('ac_z', 'ts')}, 4) as ac_z, round({d.last('var_z', 'ts')}, 4) as var_z, case when {d.last('ac_z', 'ts')} > 1 and {d.last('var_z', 'ts')} > 1 then 'HIGH' when {d.last('ac_z', 'ts')} > 1 or {d.last('var_z', 'ts')} > 1 then 'ELEVATED' else 'NORMAL' end as state from {B.autocorr_warning(Series(d), views.returns(d))} a group by symbol")
-query("g33_parametric_hazard", lambda d: f"select label, t, round(cast(p as double), 6) as geometric, round(cast(1.5 / mean * power(t / mean, 0.5) as double), 6) as weibull, round(cast((1.5 / mean * power(t / mean, 0.5)) / (1 + power(t / mean, 1.5)) as double), 6) as log_logistic from (select label, geometric_p as p, mean, {d.explode(d.series('1', '30'), 't')} from {G.fit_durations(G.regime_runs(Series(d), labelled(d)))} f) g")
+query("g33_parametric_hazard", lambda d: output(G.duration_hazards(d, G.fit_durations(G.regime_runs(Series(d), labelled(d)))), ("label", "t"), ["geometric", "weibull", "log_logistic", "negative_binomial"], [], 6))
 query("g34_transition_risk", lambda d: f"select symbol, label, time_in, round(cast(hazard as double), 6) as hazard, round(cast(residual as double), 6) as residual from (select *, row_number() over (partition by symbol order by ts desc) as k from {timed(d)} t) x where k = 1")
 query("g36_dynamics_snapshot", lambda d: f"select symbol, round({d.last('vol', 'ts')}, 5) as vol, round({d.last('vol_velocity', 'ts')}, 5) as vol_velocity, {d.last('vol_trend', 'ts')} as vol_trend from {B.vol_dynamics(Series(d), views.bars(d))} v group by symbol")
 query("g37_publishable_regime", lambda d: f"select symbol, max(ts) as ts, {d.last('trend', 'ts')} as trend, round({d.last('s20', 'ts')}, 5) as s20, round({d.last('strength', 'ts')}, 6) as strength from {G.trend_regime(Series(d), views.bars(d))} v group by symbol")

@@ -69,7 +69,7 @@ query("e05_threshold_sharpe", lambda d: f"select symbol, p, n, {_r('mean / nulli
 query("e07_embargo", lambda d: f"select symbol, ts, close from {views.bars(d)} b where not exists (select 1 from (select distinct {d.plus_days('date_trunc(' + chr(39) + 'quarter' + chr(39) + ', ts)', 0)} as edge from {views.bars(d)} q) e where b.ts >= {d.plus_days('e.edge', -3)} and b.ts <= {d.plus_days('e.edge', 3)})")
 query("e08_signal_quality", lambda d: f"select symbol, {d.counts('trade = 1 and position = 1')} as entries, {_r('avg(case when position = 1 then case when r > 0 then 1 else 0 end end)')} as hit_rate, {_r('avg(case when position = 1 then r end)')} as mean, {_r('stddev_samp(case when position = 1 then r end)')} as dev from {B.momentum_backtest(Series(d), views.bars(d))} m group by symbol".replace("then 1 else 0 end end", f"then {ONE} else 0 end end"))
 query("e12_portfolio_metrics", lambda d: f"select {_r('sum(pnl)', 2)} as total, {_r('min(equity - peak)', 2)} as max_drawdown, {_r('max(pnl)', 2)} as best_day, {_r('min(pnl)', 2)} as worst_day from (select *, max(equity) over (order by entry rows between unbounded preceding and current row) as peak from (select *, sum(pnl) over (order by entry rows between unbounded preceding and current row) as equity from (select entry, sum(pnl) as pnl from {views.trades(d)} t group by entry) d) e) f")
-query("e19_combine_signals", lambda d: f"select symbol, ts, up + trend as votes, case when up = trend then up else 0 end as unanimous from (select symbol, ts, case when close > sma_10 then 1 else -1 end as up, case when sma_10 > sma_50 then 1 else -1 end as trend from {B.sma_ema(Series(d), views.bars(d))} x where sma_50 is not null) y")
+query("e19_combine_signals", lambda d: f"select symbol, ts, up + trend as votes, case when up = trend then up else 0 end as unanimous from (select symbol, ts, case when close > sma_10 then 1 else -1 end as up, case when sma_10 > sma_50 then 1 else -1 end as trend from {B.sma(Series(d), views.bars(d))} x where sma_50 is not null) y")
 query("e18_breakout_signals", lambda d: f"select symbol, ts, case when breakout_up = 1 then 1 when breakout_down = 1 then -1 else 0 end as breakout, case when up_score >= 8 then 1 when down_score >= 8 then -1 else 0 end as momentum from {B.structure(Series(d), views.bars(d))} s")
 query("e21_regime_filtered", lambda d: f"select symbol, label, count(*) as n, {_r('avg(nxt)')} as held, {_r('avg(case when up = 1 then nxt else 0 end)')} as filtered from (select symbol, label, lead(close) over (partition by symbol order by ts) / close - 1 as nxt, case when close > lag(close, 5) over (partition by symbol order by ts) then 1 else 0 end as up from {labelled(d)} l) x where nxt is not null group by symbol, label")
 query("e23_walk_forward", lambda d: f"select symbol, year(ts) as year_, count(r) as n, {_r('avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0)', 5)} as sharpe from {ret(d)} x group by symbol, year(ts)")

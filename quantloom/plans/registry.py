@@ -17,6 +17,13 @@ def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
 
 
+def _named(sql: str) -> str:
+    """The SQL with tables by their names."""
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", t)
+    return sql
+
+
 def query(name: str, build: Callable[[Dialect], str]) -> None:
     """Register a query that both engines can run from the SQL that `build` gives for each."""
 
@@ -26,14 +33,22 @@ def query(name: str, build: Callable[[Dialect], str]) -> None:
 
     run.__name__ = name
     QUERIES[name] = run
-    sql = build(DUCK)
-    for t in TABLES:
-        sql = sql.replace("{" + t + "}", t)
-    ORACLES[name] = sql
+    ORACLES[name] = _named(build(DUCK))
 
 
 def native(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     """Register a query written with the DataFrame API, with its SQL if there is one."""
     QUERIES[name] = run
     if sql:
-        ORACLES[name] = sql
+        ORACLES[name] = _named(sql)
+
+
+def bound(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL whose {names} stand for DataFrames."""
+    return spark_sql(spark, sql, **frames)
+
+
+def relation(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """A relation over the given tables as a DataFrame."""
+    sql = f"select * from {source} rel"
+    return spark_sql(spark, sql, **tables(spark, sf_dir, sql))

@@ -7,17 +7,19 @@ in one large map would scan it.  The ids go back to the blocks, where documents
 Decoding takes the binary piece of each id from the literal piece table and concatenates.
 
 Documents are never exploded into a row a piece.  The blocks are formed twice, once for the pieces and once for the
-documents, from the same input, which has to be a scan or a stored table; a block carries a fingerprint of its pieces,
-so that an input that changes between the two is an error, not a wrong result.
+documents, from the same input: an input that is more than a scan is stored first.  A block carries a fingerprint of its
+pieces, so that files that change between the two are an error, not a wrong result.
 
 A null text is empty and has no ids.  Repeated rows are each encoded.  Rows without a doc_id are encoded too.  Extra
-columns are ignored.  A piece of n bytes costs O(n) a merge.
+columns are ignored.  The fold copies a piece's parts for each merge; a piece of more than `LONG` bytes, for which that
+would take its square, is merged with a heap in the task that sends the ids back.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from functools import lru_cache
@@ -35,6 +37,10 @@ from .textops import U64, hash_spans, mix64
 
 #: Distinct pieces and bytes of text at which a block ends.
 BLOCK_PIECES, BLOCK_BYTES = 500_000, 64 << 20
+#: Bytes of text split at once: a piece takes many bytes of arrays.
+SLICE = 1 << 20
+#: Bytes of the longest piece that the fold merges.
+LONG = 2048
 _BUCKETS = 1 << 14
 
 
@@ -99,6 +105,37 @@ def _fold(word: Column, ranks: Column, let) -> Column:
     return let(text, lambda s: let(rank(s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(s) < 2, none).otherwise(fold(F.split(s, "")))))
 
 
+def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one long piece: its parts are a linked list, the ranked pairs a heap."""
+    end, after, before = list(range(1, len(word) + 1)), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    heap: list[tuple[int, int, int]] = []  # rank, first byte, last byte of a pair
+
+    def push(i: int) -> None:
+        if i >= 0 and after[i] < len(word):
+            stop = end[after[i]]
+            rank = ranks.get(word[i:stop])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, stop))
+
+    for i in range(len(word) - 1):
+        push(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if end[i] < 0 or after[i] >= len(word) or end[after[i]] != stop:
+            continue  # one of the two has been merged since
+        j = after[i]
+        end[i], end[j], after[i] = stop, -1, after[j]
+        if after[i] < len(word):
+            before[after[i]] = i
+        push(i)
+        push(before[i])
+    out, i = [], 0
+    while i < len(word):
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
+
+
 class _Blocks:
     """Numbers the distinct pieces of a task's documents, block by block."""
 
@@ -166,7 +203,7 @@ def _words(n: int):
 
     def run(batches):
         b = _Blocks()
-        for batch in jobs.slices(batches):
+        for batch in jobs.slices(batches, most=SLICE):
             p = Pretokens(batch.column("text"))
             if len(p.starts):
                 b.add(p, True)
@@ -208,17 +245,35 @@ def _distinct(batches):
             word = raw[ends[i] - size[i] : ends[i]].tobytes()
             for at in range(cut[k], stop[k], 1 << 16):  # a row's references are bounded
                 words.append(word), where.append(refs[at : min(stop[k], at + (1 << 16))].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(where, pa.binary())], ["word", "refs"])
+        yield pa.RecordBatch.from_arrays([jobs.binaries(words), jobs.binaries(where)], ["word", "refs"])
 
 
 _TO_BLOCK = "block long, kind int, blob binary"
 
 
-def _to_blocks(batches):
+def _with_long(batch: pa.RecordBatch, table) -> pa.Array:
+    """The ids of a batch's pieces, with those of long pieces, which the fold left out."""
+    ids, long = batch.column("ids"), batch.column("long")
+    if long.null_count == len(long):
+        return ids
+    ranks = {piece: r for r, piece in enumerate(table.value) if piece}
+    lists = [i if w is None else merged_long(w, ranks) for i, w in zip(ids.to_pylist(), long.to_pylist(), strict=True)]
+    return pa.array(lists, ids.type)
+
+
+def _to_blocks(table):
     """Ids of pieces on their way back: one blob for each block of numbers, counts and ids."""
+
+    def run(batches):
+        yield from _block_ids(batches, table)
+
+    return run
+
+
+def _block_ids(batches, table):
     nums, blocks, counts, flats = [], [], [], []
     for batch in batches:
-        ids = batch.column("ids")
+        ids = _with_long(batch, table)
         size = np.asarray(ids.value_lengths()).astype(np.int64)
         flat = np.asarray(ids.flatten())
         refs = batch.column("refs").to_pylist()
@@ -241,7 +296,7 @@ def _to_blocks(batches):
         ids = flat[np.repeat(starts[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
         names.append(block[w[0]])
         blobs.append(np.array([len(w)], "<u4").tobytes() + press.compress(num[w].tobytes() + c.astype("<u4").tobytes() + _planes(ids)))
-    yield pa.RecordBatch.from_arrays([pa.array(np.array(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(blobs, pa.binary())], ["block", "kind", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(names)), pa.array(np.zeros(len(names), np.int32)), jobs.binaries(blobs)], ["block", "kind", "blob"])
 
 
 def _documents(batches):
@@ -250,10 +305,10 @@ def _documents(batches):
     def emit(b: _Blocks):
         block = b.end()
         k = len(b.docs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.ones(k, np.int32)), pa.array(b.docs, pa.binary())], ["block", "kind", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.ones(k, np.int32)), jobs.binaries(b.docs)], ["block", "kind", "blob"])
 
     b, press = _Blocks(), zstandard.ZstdCompressor(3)
-    for batch in jobs.slices(batches):
+    for batch in jobs.slices(batches, most=SLICE):
         p = Pretokens(batch.column("text"))
         codes = b.add(p, False) if len(p.starts) else np.zeros(0, np.int64)
         ids = batch.column("doc_id")
@@ -303,15 +358,15 @@ def _assembled(table, digests: bool):
                 if not digests:
                     yield pa.RecordBatch.from_arrays([doc_id, jobs.lists(np.diff(off), pa.array(tokens))], ["doc_id", "ids"])
                     continue
-                pieces = pieces if pieces is not None else pa.array(table.value, pa.large_binary())
+                pieces = pieces if pieces is not None else jobs.binaries(table.value).cast(pa.large_binary())
                 view = memoryview(np.ascontiguousarray(tokens.astype("<u4"))).cast("B")
                 text = pieces.take(pa.array(tokens))
                 _, text_off, data = text.buffers()
                 text_off = np.frombuffer(text_off, np.int64)[text.offset : text.offset + len(text) + 1]
                 text_view, ends = memoryview(data if data is not None else b"").cast("B"), text_off[off].tolist()
-                sha = lambda x: hashlib.sha256(x).hexdigest()
+                sha = lambda x: hashlib.sha256(x).hexdigest().encode()
                 spans = off.tolist()
-                cols = [pa.array([sha(view[4 * a : 4 * b]) for a, b in zip(spans[:-1], spans[1:], strict=True)], pa.string()), pa.array([sha(text_view[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())]
+                cols = [jobs.binaries([sha(view[4 * a : 4 * b]) for a, b in zip(spans[:-1], spans[1:], strict=True)], pa.string()), jobs.binaries([sha(text_view[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())]
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(off)), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -321,10 +376,16 @@ def _encoded(docs: DataFrame, path: str, digests: bool, schema: str) -> DataFram
     spark = docs.sparkSession
     n, table = jobs.partitions(spark), rank_table(path)
     docs = docs.select("doc_id", "text")
-    words = jobs.exchange(docs.select("text"), _words(n), n).mapInArrow(_distinct, "word binary, refs binary")
-    coded = words.select("refs", merged(F.col("word"), table).alias("ids"))
-    back = coded.mapInArrow(_to_blocks, _TO_BLOCK).unionByName(docs.mapInArrow(_documents, _TO_BLOCK))
-    return back.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_assembled(spark.sparkContext.broadcast(table), digests), schema)
+    if not jobs.is_scan(docs):
+        docs = jobs.stored(docs, "documents")
+    shared = spark.sparkContext.broadcast(table)
+    # both reads take the same columns, so that their batches are cut alike
+    words = jobs.exchange(docs, _words(n), n).mapInArrow(_distinct, "word binary, refs binary")
+    short = F.octet_length("word") <= LONG
+    ids = F.when(short, merged(F.when(short, F.col("word")).otherwise(F.lit(b"")), table)).otherwise(F.array().cast("array<int>"))
+    coded = words.select("refs", ids.alias("ids"), F.when(~short, F.col("word")).alias("long"))
+    back = coded.mapInArrow(_to_blocks(shared), _TO_BLOCK).unionByName(docs.mapInArrow(_documents, _TO_BLOCK))
+    return back.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_assembled(shared, digests), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -337,7 +398,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     table = ids.sparkSession.sparkContext.broadcast(rank_table(path))
 
     def run(batches):
-        pieces = pa.array(table.value, pa.large_binary())
+        pieces = jobs.binaries(table.value).cast(pa.large_binary())
         for batch in batches:
             lists = batch.column("ids")
             text = pieces.take(lists.flatten())

@@ -167,11 +167,10 @@ def _pack(n: int, width: int, percent: int):
             owner = np.concatenate([g[0] for g in got])
             key = np.concatenate([g[1] for g in got])
             out = list(jobs.packed(((key >> U64(48)).astype(np.int64) * n >> 16).astype(np.int32), n, [key.astype("<u4"), ((key >> U64(32)) & U64(0xFFFF)).astype("<u2"), entity[owner].astype("<u8")]))
-            cols = [[1] * len(out), [b for b, _ in out], [x for _, x in out]]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), *[pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), np.int32)), pa.array(np.array([b for b, _ in out], np.int32)), jobs.binaries([x for _, x in out]), *[pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], _NAMES)
             to = (entity % U64(n)).astype(np.int32)
             blob = _sketches(row, mixed, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), pa.array(to), pa.nulls(rows, pa.binary()), batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), pa.array(blob, pa.binary())], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), pa.array(to), pa.nulls(rows, pa.binary()), batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), jobs.binaries(blob)], _NAMES)
 
     return run
 
@@ -282,8 +281,8 @@ def _sets(width: int):
                     seen[1].add(int(names[k]))
                     keep.append(k)
                     blobs.append(raw[ends[k] : ends[k + 1]].tobytes())
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column("entity"), kept.column("rep"), pa.array(blobs, pa.binary()), kept.column("partner"), kept.column("partner_rep")], ["entity", "rep", "ids", "partner", "partner_rep"])
+            kept = batch.take(pa.array(np.array(keep, np.int64)))
+            yield pa.RecordBatch.from_arrays([kept.column("entity"), kept.column("rep"), jobs.binaries(blobs), kept.column("partner"), kept.column("partner_rep")], ["entity", "rep", "ids", "partner", "partner_rep"])
 
     return run
 

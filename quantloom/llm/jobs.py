@@ -100,7 +100,17 @@ def exchange(df: DataFrame, pack: Callable, n: int) -> DataFrame:
 
 
 def blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(np.array([b for b, _ in rows], np.int32)), binaries([x for _, x in rows])], ["bucket", "blob"])
+
+
+def binaries(values: Sequence[bytes], kind: pa.DataType | None = None) -> pa.Array:
+    """Bytes as an Arrow array of binary or string, none of them null.
+
+    pa.array of a list loads pandas into the worker, which takes as much memory as all else that a worker loads.
+    """
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, values), np.int64, len(values)), out=offsets[1:])
+    return pa.Array.from_buffers(kind or pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(values))])
 
 
 def lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:

@@ -93,13 +93,12 @@ class Pretokens:
         self.hashes = hash_spans(raw, self.starts, self.ends)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first piece of each distinct kind, and each piece's number among them."""
-        import pandas as pd
-
-        codes, kinds = pd.factorize(self.hashes)
-        at = np.empty(len(kinds), np.int64)
-        at[codes[::-1]] = np.arange(len(codes))[::-1]
-        return at, codes
+        """Index of the first piece of each distinct kind, in their order, and each piece's number among them."""
+        _, at, codes = np.unique(self.hashes, return_index=True, return_inverse=True)
+        order = np.argsort(at)
+        number = np.empty(len(at), np.int64)
+        number[order] = np.arange(len(at))
+        return at[order], number[codes]
 
     def piece(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]].tobytes()

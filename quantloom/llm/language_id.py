@@ -7,10 +7,13 @@ character is chosen.  A document whose lowest cross-entropy exceeds what calibra
 score is the calibrated softmax share of the chosen language.
 
 The models are fitted on at most `SAMPLE_DOCS` labelled documents a language, calibrated on `CALIBRATION_DOCS` more, both
-picked by a hash of doc_id: the fit is bounded, every text is judged whole.
+picked by a hash of doc_id: the fit is bounded, every text is judged whole.  What is broadcast is bounded by that and by
+`MOST_LANGUAGES`; more are an error.
 
 A null text, or one without letters, is `und` with score 0, and rejected; so is every text if nothing is labelled.
-Ties go to the first language by name.  Repeated rows and rows without a doc_id are judged alike.
+Ties go to the first language by name.  Repeated rows and rows without a doc_id are judged alike; of the rows of one
+doc_id at most one is learned from, that of the smallest language and text.  A column of the documents that has the name
+of one of the results is replaced; `known` returns the documents' own columns.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import jobs
 from .pretokens import _byte_classes
@@ -33,7 +37,12 @@ SAMPLE_DOCS, CALIBRATION_DOCS = 600, 200
 MARGIN = 0.25
 UNKNOWN = "und"
 #: Words that a worker keeps the scores of, and scores at once.
-_CACHE_WORDS, _WORDS_AT_ONCE = 1_500_000, 8_000
+_CACHE_WORDS, _WORDS_AT_ONCE = 400_000, 8_000
+#: Languages at most, and parts in which a language's documents are ranked first.
+MOST_LANGUAGES, _PARTS = 512, 32
+RESULTS = "lang_pred string, score double, cross_entropy double, rejected boolean"
+#: Bytes of text split at once.
+_SLICE = 1 << 20
 
 
 def _letters(column: pa.Array):
@@ -180,12 +189,8 @@ class _Seen:
 
 def _entropies(batch: pa.RecordBatch, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy a character of each row under each language, and its number of characters (0: no letters)."""
-    import pandas as pd
-
     raw, starts, ends, rows = _letters(batch.column("text"))
-    codes, kinds = pd.factorize(hash_spans(raw, starts, ends))
-    first = np.empty(len(kinds), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    kinds, first, codes = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
     langs = len(seen.models.languages)
     if not len(kinds):
         return np.full((batch.num_rows, langs), np.inf), np.zeros(batch.num_rows, np.int64)
@@ -197,17 +202,17 @@ def _entropies(batch: pa.RecordBatch, seen: _Seen) -> tuple[np.ndarray, np.ndarr
 
 def _lang_words(batches):
     """Distinct words of each batch by language, with counts."""
-    for batch in jobs.slices(batches):
+    for batch in jobs.slices(batches, most=_SLICE):
         raw, starts, ends, rows = _letters(batch.column("text"))
         if not len(starts):
             continue
-        lang = batch.column("lang").to_numpy(zero_copy_only=False)
+        lang = np.array(batch.column("lang").to_pylist())
         row = np.repeat(np.arange(batch.num_rows), np.diff(rows))
-        names, which = np.unique(lang.astype(str), return_inverse=True)
+        names, which = np.unique(lang, return_inverse=True)
         with np.errstate(over="ignore"):
             key = hash_spans(raw, starts, ends) + mix64(which.astype(U64))[row]
         _, first, count = np.unique(key, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names[which[row[first]]].astype(object), pa.string()), pa.array([raw[starts[i] : ends[i]].tobytes() for i in first.tolist()], pa.binary()), pa.array(count)], ["lang", "word", "n"])
+        yield pa.RecordBatch.from_arrays([jobs.binaries([x.encode() for x in names[which[row[first]]].tolist()], pa.string()), jobs.binaries([raw[starts[i] : ends[i]].tobytes() for i in first.tolist()]), pa.array(count)], ["lang", "word", "n"])
 
 
 def _fit_language(table: pa.Table) -> pa.Table:
@@ -233,10 +238,18 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: i
     """Models of the languages in `labelled` (doc_id, text, lang), from a bounded sample; None without any."""
     spark = labelled.sparkSession
     labelled = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = labelled.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= sample_docs + calibration_docs)
-    # the picked ids are bounded by the parameters and the number of languages
-    texts = jobs.stored(labelled.join(F.broadcast(picked.select("doc_id", F.col("rank"))), "doc_id"), "language-sample")
+    most = sample_docs + calibration_docs
+    order = (F.xxhash64("doc_id"), "doc_id")
+    # ranked in parts first, so that a language's ids don't meet in one task; one doc_id has one rank
+    ids = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(_PARTS)).alias("part"))
+    ids = ids.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= most).select("doc_id", "lang").distinct()
+    picked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= most)
+    # the picked ids are bounded by the parameters and the number of languages, which is checked
+    languages = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    texts = labelled.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id").agg(F.min(F.struct("lang", "text", "rank")).alias("row")).select("doc_id", "row.*")
+    texts = jobs.stored(texts, "language-sample")
     counted = texts.filter(F.col("rank") <= sample_docs).select("lang", "text").mapInArrow(_lang_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counted.groupBy("lang").applyInArrow(_fit_language, "lang string, kind int, key long, value double").toArrow()
     languages = sorted(set(rows.column("lang").to_pylist()))
@@ -250,7 +263,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: i
 
     def entropies(batches):
         seen = _Seen(shared.value)
-        for batch in jobs.slices(batches):
+        for batch in jobs.slices(batches, most=_SLICE):
             e, n = _entropies(batch, seen)
             ok = n > 0
             yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(ok)), pa.array(list(e[ok]), pa.list_(pa.float64()))], ["lang", "e"])
@@ -270,19 +283,26 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: i
     return models
 
 
-def _predict(shared):
+def _predict(shared, only_known: bool = False):
+    clash = {c.split()[0] for c in RESULTS.split(", ")}
+
     def run(batches):
         models = shared.value
         seen = models.__dict__.setdefault("_words", _Seen(models))  # kept while the worker holds the broadcast
-        names = np.array([*models.languages, UNKNOWN], object)
-        for batch in jobs.slices(batches):
+        names = [x.encode() for x in (*models.languages, UNKNOWN)]
+        for batch in jobs.slices(batches, most=_SLICE):
             e, n = _entropies(batch, seen)
             best = np.where(n > 0, e.argmin(axis=1), len(models.languages))
             low = np.where(n > 0, e.min(axis=1), 0)
+            rejected = (n == 0) | (low > models.limit)
+            if only_known:
+                yield batch.filter(pa.array(~rejected))
+                continue
             z = np.exp(-models.sharpness * (np.where(n[:, None] > 0, e, 0) - low[:, None]))
             score = np.where(n > 0, 1 / z.sum(axis=1), 0.0)
-            cols = [pa.array(names[best], pa.string()), pa.array(score), pa.array(low), pa.array((n == 0) | (low > models.limit))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "lang_pred", "score", "cross_entropy", "rejected"])
+            cols = [jobs.binaries([names[k] for k in best.tolist()], pa.string()), pa.array(score), pa.array(low), pa.array(rejected)]
+            kept = [k for k, c in enumerate(batch.schema.names) if c not in clash]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *cols], [*(batch.schema.names[k] for k in kept), "lang_pred", "score", "cross_entropy", "rejected"])
 
     return run
 
@@ -291,9 +311,16 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """The rows of docs with lang_pred, score (0 to 1), cross_entropy (nats a character) and rejected."""
     if models is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "rejected": F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return docs.mapInArrow(_predict(shared), schema)
+    results = StructType.fromDDL(RESULTS)
+    schema = StructType([*(f for f in docs.schema if f.name not in results.names), *results])
+    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(models)), schema)
+
+
+def known(docs: DataFrame, models: Models | None) -> DataFrame:
+    """The rows of docs that are not rejected, with their own columns."""
+    if models is None:
+        return docs.limit(0)
+    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(models), True), docs.schema)
 
 
 def held_out():

@@ -114,6 +114,42 @@ def test_substring_dedup(spark, docs, texts):
         want[i, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone).encode())] += 1
     assert rows_of(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
+    # every factor is a stretch of its source, which is earlier
+    keyed = docs.filter("doc_id is not null").select("doc_id", "text", F.monotonically_increasing_id().alias("row_key"))
+    keyed = jobs.stored(keyed, "keyed")
+    of = {r.row_key: (r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in keyed.collect()}
+    texts_of = collections.defaultdict(list)
+    for i, w in of.values():
+        texts_of[i].append(" ".join(["", *w, ""]))
+    n = 0
+    for r in substring_dedup.duplicate_factors(keyed).collect():
+        i, w = of[r.row_key]
+        for first, windows, source in zip(r.first, r.windows, r.source, strict=True):
+            assert source < i and any(" ".join(["", *w[first : first + windows + 49], ""]) in t for t in texts_of[source])
+            n += 1
+    assert n > 100
+
+
+def test_substring_factors_of_chained_sources(spark):
+    """A document made of pieces of several earlier ones, repeated words, and two texts under one doc_id."""
+    rng = np.random.default_rng(8)
+    word = lambda k: f"w{k}"
+    base = [list(map(word, rng.integers(0, 5000, 400))) for _ in range(6)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)]
+    rows += [(10, " ".join(base[0][:120] + base[1][50:200] + base[2][300:])), (11, " ".join(["a"] * 300)), (12, " ".join(["a"] * 200)), (13, " ".join(base[3][10:59])), (13, " ".join(base[3][10:60])), (5, " ".join(base[4]))]
+    rows += [(100 + k, " ".join(base[5][40:140])) for k in range(300)]
+    docs = jobs.stored(spark.createDataFrame(rows, "doc_id long, text string"), "chained")
+    first: dict = {}
+    split = [(i, t.split()) for i, t in rows]
+    for i, w in split:
+        for j in range(len(w) - 49):
+            k = tuple(w[j : j + 50])
+            first[k] = min(i, first.get(k, i))
+    want = collections.Counter()
+    for i, w in split:
+        gone = {p for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i for p in range(j, j + 50)}
+        want[i, len(w), len(gone)] += 1
+    assert rows_of(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed") == want
 
 
 def jaccard_truth(rows, width=5, percent=80):
@@ -280,7 +316,22 @@ def test_language(spark, sf, docs):
     assert all(0 <= r.score <= 1 for r in found) and not any(r.rejected for r in found)
     odd = {r.doc_id: r for r in language_id.identify(docs.filter("doc_id > 90000").select("doc_id", "text"), models).collect()}
     assert odd[90001].lang_pred == odd[90002].lang_pred == "und" and odd[90001].score == 0 and odd[90001].rejected
-    assert language_id.fit(empty(spark)) is None
+    assert language_id.fit(empty(spark)) is None and language_id.identify(empty(spark), models).count() == language_id.known(empty(spark), None).count() == 0
+
+
+def test_language_clashes_and_repeats(spark):
+    """Columns with the results' names, a doc_id of two languages, and many rows of one doc_id."""
+    rows = [(k % 40, f"{'the cat sat on the mat' if k % 2 else 'der hund lief durch den wald'} {k}", "en" if k % 2 else "de") for k in range(400)]
+    rows += [(7, "der hund lief", "de")] * 50 + [(None, "the cat", "en"), (900, None, "en"), (901, "  12 ", "de")]
+    docs = jobs.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("mine"), "rejected": F.lit(7), "lang_pred": F.lit(1.5)}), "clash")
+    models = language_id.fit(docs, 15, 5)
+    assert models.languages == ["de", "en"]
+    got = language_id.identify(docs, models)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "cross_entropy", "rejected"] and got.count() == len(rows)
+    kept = language_id.known(docs, models)
+    assert kept.columns == docs.columns and kept.filter("score = 'mine'").count() == kept.count() == got.filter("not rejected").count()
+    assert kept.filter("doc_id in (900, 901)").count() == 0
+    assert got.filter("lang_pred <> lang and not rejected").count() == 0
 
 
 def test_vectors(spark):

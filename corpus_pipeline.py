@@ -1,10 +1,9 @@
-"""A corpus pipeline of five stages; each calls one operator and returns the columns of documents."""
+"""A corpus pipeline of five stages; each calls one operator, and all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantloom.llm import byte_bpe, decontaminate, jaccard_join, jobs, language_id, pii
 
@@ -12,8 +11,7 @@ from quantloom.llm import byte_bpe, decontaminate, jaccard_join, jobs, language_
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: those without letters, or unlike every language learned."""
     jobs.ship(spark)
-    found = language_id.identify(docs, language_id.fit(docs.filter(~language_id.held_out())))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.known(docs, language_id.fit(docs.filter(~language_id.held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

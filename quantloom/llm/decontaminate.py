@@ -238,14 +238,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return spans.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _cut(coverage: float):
+def _cut(coverage: float, starts: str, ends: str):
     def run(batches):
         for batch in jobs.slices(batches):
             col = batch.column("text")
             words = Words(col, ALNUM, True)
             raw, off = text_buffer(col)
             texts = []
-            for r, (s, e) in enumerate(zip(batch.column("__starts").to_pylist(), batch.column("__ends").to_pylist(), strict=True)):
+            for r, (s, e) in enumerate(zip(batch.column(starts).to_pylist(), batch.column(ends).to_pylist(), strict=True)):
                 if not s:
                     texts.append(col[r].as_py())
                     continue
@@ -258,9 +258,9 @@ def _cut(coverage: float):
                     at = int(words.ends[words.rows[r] + b - 1])
                 out.append(raw[at : off[r + 1]].tobytes())
                 texts.append(b"".join(out).decode())
-            gone = pa.array([bool(s) and t is None for s, t in zip(batch.column("__starts").to_pylist(), texts, strict=True)])
+            gone = pa.array([bool(s) and t is None for s, t in zip(batch.column(starts).to_pylist(), texts, strict=True)])
             i = batch.schema.get_field_index("text")
-            out = batch.set_column(i, "text", pa.array(texts, pa.string())).drop_columns(["__starts", "__ends"])
+            out = batch.set_column(i, "text", pa.array(texts, pa.string())).drop_columns([starts, ends])
             yield out.filter(pc.invert(gone))
 
     return run
@@ -268,9 +268,10 @@ def _cut(coverage: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """The documents without the words of contaminated spans; those with more than `coverage` of their words hit go."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    spans = contaminated_spans(keyed.select("doc_id", "text", F.col("__key").alias("row_key")), benchmark, window).filter(F.size("starts") > 0)
-    spans = spans.select(F.col("row_key").alias("__key"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends")).dropDuplicates(["__key"])
+    key, starts, ends = jobs.free_names(docs, "_key", "_starts", "_ends")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    spans = contaminated_spans(keyed.select("doc_id", "text", F.col(key).alias("row_key")), benchmark, window).filter(F.size("starts") > 0)
+    spans = spans.select(F.col("row_key").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends)).dropDuplicates([key])
     empty = F.array().cast("array<int>")
-    both = keyed.join(spans.hint("merge"), "__key", "left").select(*docs.columns, *[F.coalesce(c, empty).alias(c) for c in ("__starts", "__ends")])
-    return both.mapInArrow(_cut(coverage), docs.schema)
+    both = keyed.join(spans.hint("merge"), key, "left").select(*docs.columns, *[F.coalesce(c, empty).alias(c) for c in (starts, ends)])
+    return both.mapInArrow(_cut(coverage, starts, ends), docs.schema)

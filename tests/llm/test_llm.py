@@ -308,6 +308,45 @@ def test_personal_data(docs, texts):
     assert pii.personal_data(empty(docs.sparkSession)).count() == 0
 
 
+def test_personal_data_beyond_the_base(spark):
+    """Planted forms that no base pattern matches are found; documents without personal data get no span; names may clash."""
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(rng.choice(list("abdefghilmnorstu"), rng.integers(2, 9))) for _ in range(n))
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    phone = lambda: f"({rng.integers(200, 990)}) 555-{digits(4)}"
+
+    def card():
+        body = "4" + digits(14)
+        total = sum(int(c) if k % 2 else (int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(reversed(body)))
+        n = body + str(-total % 10)
+        return " ".join(n[k : k + 4] for k in range(0, 16, 4))
+
+    plain = {"email": lambda: f"{words(1)}.{words(1)}@{words(1)}.org", "ip": lambda: ".".join(map(str, rng.integers(1, 255, 4))), "card": card, "phone": lambda: f"+1 {phone()}"}
+    other = {"email": lambda: f"{words(1)}.{words(1)} (at) {words(1)} (dot) org", "phone": lambda: f"call {phone()}", "card": lambda: card().replace(" ", ".")}
+    rows, planted, clean = [], {}, set()
+    for k in range(1200):
+        if k % 4 == 0:
+            kind = list(plain)[k // 4 % 4]
+            rows.append((k, f"{words(8)} {plain[kind]()} {words(5)}"))
+        elif k % 4 == 1:
+            kind = list(other)[k // 4 % 3]
+            planted[k] = kind
+            rows.append((k, f"{words(8)} {other[kind]()} {words(5)}"))
+        else:
+            clean.add(k)
+            noise = [f"id = {sha(digits(9).encode())}", f"page {digits(3)}, {digits(4)}", f"ref-{digits(5)}-{digits(3)}x", "version 1.2.3"][k // 4 % 4]
+            rows.append((k, f"{words(9)} {noise} {words(4)}"))
+    docs = jobs.stored(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_key": F.lit("mine"), "_spans": F.lit(3)}), "planted")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for kind in other:
+        ids = [i for i, k in planted.items() if k == kind]
+        assert np.mean([f"{kind}:" in got[i].spans for i in ids]) >= 0.8, kind
+    assert all(got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone == 0 for i in planted)
+    assert sum(bool(got[i].spans) for i in clean) <= 0.01 * len(clean)
+    redacted = pii.redact(docs)
+    assert redacted.columns == docs.columns and redacted.filter("_key = 'mine' and _spans = 3").count() == len(rows)
+
+
 def test_language(spark, sf, docs):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     models = language_id.fit(rows.filter(~language_id.held_out()))

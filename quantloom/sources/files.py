@@ -40,14 +40,17 @@ def parse_contract(df: DataFrame, column: str = "ticker") -> DataFrame:
     pattern = r"^O:([A-Z.]+\d?)(\d{6})([CP])(\d{8})$"
     part = lambda k: F.regexp_extract(column, pattern, k)
     out = df.filter(F.col(column).rlike(pattern))
-    out = out.withColumns({"root": part(1), "expiry": F.try_to_timestamp(part(2), F.lit("yyMMdd")).cast("date"), "opt": part(3), "strike": part(4).cast("double") / 1000})
+    day = F.try_to_timestamp(part(2), F.lit("yyMMdd")).cast("date")
+    expiry = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)  # two digits from 69 on are of the last century
+    out = out.withColumns({"root": part(1), "expiry": expiry, "opt": part(3), "strike": part(4).cast("double") / 1000})
     return out.filter(F.col("expiry").isNotNull())
 
 
-def scan_option_days(spark: SparkSession, path: str, root: str | None = None, start=None, end=None) -> DataFrame:
-    """Gzip CSV files of a day each, named YYYY-MM-DD; the date comes from the file's name."""
+def scan_option_days(spark: SparkSession, path: str, root: str | None = None, start=None, end=None, date_column: str = "") -> DataFrame:
+    """Gzip CSV files of a day each, named YYYY-MM-DD or in a folder date_column=YYYY-MM-DD; the date comes from that name."""
     df = spark.read.schema(OPTION_DAY).csv(path, header=True)
-    df = df.withColumn("date", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1).cast("date"))
+    name, pattern = ("_metadata.file_path", rf"{date_column}=(\d{{4}}-\d{{2}}-\d{{2}})") if date_column else ("_metadata.file_name", r"(\d{4}-\d{2}-\d{2})")
+    df = df.withColumn("date", F.regexp_extract(F.col(name), pattern, 1).cast("date"))
     if start is not None:
         df = df.filter(F.col("date") >= F.lit(start))
     if end is not None:
@@ -64,9 +67,9 @@ def scan_futures(spark: SparkSession, path: str, symbol: str, timeframe: str = "
     return df.select(*columns) if columns else df
 
 
-def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_partitioned(df: DataFrame, path: str, mode: str = "append", day: str = "ts") -> None:
     """One directory for each symbol and day, zstd; a key's rows are together, and large keys split by row count."""
-    out = df.withColumn("date", F.to_date("ts")).repartition("symbol", "date")
+    out = df.withColumn("date", F.to_date(day)).repartition("symbol", "date")
     out.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", 5_000_000).partitionBy("symbol", "date").parquet(path)
 
 
@@ -90,3 +93,34 @@ def load_macro(series: DataFrame, start: str, end: str, names: Sequence[str]) ->
     # a row a day: one partition holds the calendar, not the data
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return days.join(wide, "date", "left").select("date", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names])
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """One folder of features for each symbol, in order of time."""
+    df.repartition("symbol").sortWithinPartitions("symbol", "ts").write.option("compression", "zstd").partitionBy("symbol").parquet(path)
+
+
+def load_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """Events (ts, event_name, impact) of a CSV file with timestamp, event_name and impact_level; rows without a time go."""
+    df = spark.read.schema("timestamp timestamp, event_name string, impact_level string").csv(path, header=True)
+    return df.filter("timestamp is not null").select(F.col("timestamp").alias("ts"), "event_name", F.upper("impact_level").alias("impact"))
+
+
+def read_trade_paths(spark: SparkSession, path: str) -> DataFrame:
+    """Nested trade records as a row a day, with the peak so far and a label by how near the day is to the trade's peak."""
+    schema = "trade_id long, entry struct<spot: double>, path array<struct<day: int, pnl: double, spot: double>>, exit struct<final_pnl: double, peak: double>"
+    days = spark.read.schema(schema).json(path).select("trade_id", F.col("exit.peak").alias("peak"), "path", F.posexplode("path").alias("at", "row"))
+    so_far = F.array_max(F.transform(F.slice("path", F.lit(1), F.col("at") + 1), lambda x: x["pnl"]))
+    label = F.when(F.col("peak") <= 20, "peakless").when(F.col("row.pnl") >= 0.8 * F.col("peak"), "near_peak").otherwise("off_peak")
+    return days.select("trade_id", "row.day", "row.pnl", so_far.alias("peak_so_far"), label.alias("label"))
+
+
+def lake_sql(spark: SparkSession, views: dict[str, DataFrame], text: str) -> DataFrame:
+    """SQL over named views; the names are the query's own and hold for it alone."""
+    return spark.sql(_named_views(text, views), **views)
+
+
+def _named_views(text: str, views: dict[str, DataFrame]) -> str:
+    import re
+
+    return re.sub(r"\b(" + "|".join(map(re.escape, views)) + r")\b", r"{\1}", text)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,10 @@ def deduplicated(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if ticks.isStreaming else ticks.dropDuplicates(["event_id"])
 
 
-def drop_stale(ticks: DataFrame, age: str) -> DataFrame:
-    """Ticks no older than `age` by the clock."""
-    return ticks.filter(F.col("ts") >= F.current_timestamp() - F.expr(f"interval {age}"))
+def drop_stale(ticks: DataFrame, age: str, received: str | None = None) -> DataFrame:
+    """Ticks no older than `age` when they were received: by a column, or by the clock."""
+    at = F.col(received) if received else F.current_timestamp()
+    return ticks.filter(F.col("ts") >= at - F.expr(f"interval {age}"))
 
 
 def latest_quote(quotes: DataFrame) -> DataFrame:
@@ -74,21 +76,39 @@ def trade_quote(trades: DataFrame, quotes: DataFrame, within: str = "5 minutes",
 
 
 def rolling_state(bars: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
-    """The mean of each symbol's last n closes as bars arrive, and whether enough have come."""
+    """The mean of each symbol's last n closes as bars (symbol, ts, event_id, close) arrive, and whether enough have come."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        out = []
-        for pdf in frames:
-            for row in pdf.sort_values("ts").itertuples():
-                kept = (kept + [float(row.close)])[-n:]
-                out.append((key[0], row.ts, sum(kept) / len(kept), len(kept) >= least))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "mean", "ready"])
+        kept = np.array(state.get[0] if state.exists else [], float)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        closes = np.concatenate([kept, rows["close"].to_numpy(float)])
+        ends = np.arange(len(kept) + 1, len(closes) + 1)
+        starts = np.maximum(ends - n, 0)
+        sums = np.append(0.0, np.cumsum(closes))
+        state.update((closes[-n:].tolist(),))
+        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "mean": (sums[ends] - sums[starts]) / (ends - starts), "ready": ends - starts >= least})
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp, mean double, ready boolean", "closes array<double>", "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp, event_id long, mean double, ready boolean", "closes array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_bars(bars: DataFrame, path: str, checkpoint: str):
     """Write closed bars as they come; started once, resumed from its checkpoint."""
     return bars.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").start(path)
+
+
+def seed(history: DataFrame, path: str, n: int = 20) -> None:
+    """Write the last n bars of each symbol's history to the bar table that a stream then appends to."""
+    from pyspark.sql import Window
+
+    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("event_id")))
+    history.withColumn("k", last).filter(F.col("k") <= n).drop("k").write.mode("append").parquet(path)
+
+
+def signals(bars: DataFrame, n: int = 3) -> DataFrame:
+    """Closed bars with the direction of their last n closes: 1 or -1 where all moved alike, else 0."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("ts")
+    step = F.signum(F.col("close") - F.lag("close").over(w))
+    moved = F.sum("step").over(w.rowsBetween(1 - n, 0))
+    return bars.withColumn("step", step).withColumn("signal", F.when(moved == n, 1).when(moved == -n, -1).otherwise(0)).drop("step")

@@ -55,14 +55,14 @@ def entropy_dynamics(s: Series, source: str, x: str = "r", window: int = 20, bin
 
 
 def entropy_equilibrium(s: Series, source: str, recent: int = 50, **params) -> str:
-    """Mean entropy so far, the distance from it, and the rate at which the recent distance falls, with its half-life."""
+    """Mean entropy so far, the distance from it, and the rate at which the recent distance falls, with its half-life; null where it hardly falls."""
     rows = staged(entropy_dynamics(s, source, **params), {"level": f"avg(entropy) {s.U}", "row_": f"cast(row_number() {s.W} as double)"})
     return staged(
         rows,
         {"distance": "entropy - level"},
         {"log_distance": f"ln(abs(distance) + {TINY})"},
         {"slope": f"case when count(log_distance) {s.R(recent)} = {recent} then covar_pop(log_distance, row_) {s.R(recent)} / nullif(var_pop(row_) {s.R(recent)}, 0) end"},
-        {"decay_rate": "-slope", "half_life": "case when slope < 0 then ln(2.0) / -slope end"},
+        {"decay_rate": "-slope", "half_life": "case when slope < -0.001 then ln(2.0) / -slope end"},
     )
 
 

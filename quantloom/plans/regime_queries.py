@@ -24,7 +24,7 @@ def with_skew(d: Dialect) -> str:
     return staged(vixed(d), {"short_vol": f"{s.roll('stddev_samp', 'vix_return', 9)} * 20"}, {"vix9d": "case when short_vol > vix then round(short_vol, 6) end", "skew": "case when close < open then round(100 * (open - close) / open, 6) end"})
 
 
-query("g05_tag_regimes", lambda d: output(G.tag(Series(d), with_skew(d)), DAY, ["v", "slope", "momentum", "confidence"], ["regime"], 6))
+query("g05_tag_regimes", lambda d: output(G.tag(Series(d), with_skew(d)), DAY, ["v", "slope", "momentum", "confidence"], ["regime"], 8))
 
 
 def benched(d: Dialect) -> str:

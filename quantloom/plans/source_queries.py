@@ -112,13 +112,13 @@ def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two series of the orders, each filled forward over every day of the calendar."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     day = F.col("o_orderdate").cast("date").alias("date")
-    long = orders.filter("o_orderstatus = 'F'").groupBy(day).agg(F.round(F.avg("o_totalprice"), 3).alias("value")).withColumn("series_id", F.lit("filled"))
-    long = long.unionByName(orders.filter("o_orderstatus = 'P'").groupBy(day).agg(F.round(F.avg("o_totalprice"), 3).alias("value")).withColumn("series_id", F.lit("partial")))
+    long = orders.filter("o_orderstatus = 'F'").groupBy(day).agg(F.round(F.avg("o_totalprice"), 7).alias("value")).withColumn("series_id", F.lit("filled"))
+    long = long.unionByName(orders.filter("o_orderstatus = 'P'").groupBy(day).agg(F.round(F.avg("o_totalprice"), 7).alias("value")).withColumn("series_id", F.lit("partial")))
     ends = orders.agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).first()
     return files.load_macro(long, str(ends.a), str(ends.b), ["filled", "partial"]).withColumn("date", F.col("date").cast("string"))
 
 
-_SERIES = "(select cast(o_orderdate as date) as date, round(avg(o_totalprice), 3) as value from orders where o_orderstatus = '{}' group by cast(o_orderdate as date))"
+_SERIES = "(select cast(o_orderdate as date) as date, round(avg(o_totalprice), 7) as value from orders where o_orderstatus = '{}' group by cast(o_orderdate as date))"
 native("s10_load_macro", macro_series, f"select cast(date as varchar) as date, last_value(filled ignore nulls) over (order by date rows between unbounded preceding and current row) as filled, last_value(partial ignore nulls) over (order by date rows between unbounded preceding and current row) as partial from (select d.date, f.value as filled, p.value as partial from (select cast(unnest(generate_series((select min(o_orderdate) from orders), (select max(o_orderdate) from orders), interval 1 day)) as date) as date) d left join {_SERIES.format('F')} f on d.date = f.date left join {_SERIES.format('P')} p on d.date = p.date) x")
 
 
@@ -151,11 +151,11 @@ def trade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.col("day").cast("int").alias("day"), "pnl", F.round("spot", 6).alias("spot"))
     nested = rows.groupBy("trade_id").agg(F.sort_array(F.collect_list(one)).alias("path")).withColumns({"entry": F.struct(F.element_at("path", 1)["spot"].alias("spot")), "exit": F.struct(F.element_at("path", -1)["pnl"].alias("final_pnl"), F.array_max(F.col("path.pnl")).alias("peak"))})
     nested.write.json(path)
-    return files.read_trade_paths(spark, path).select("trade_id", "day", F.round("pnl", 4).alias("pnl"), F.round("peak_so_far", 4).alias("peak_so_far"), "label")
+    return files.read_trade_paths(spark, path).select("trade_id", "day", (F.round("pnl", 4) + F.lit(0.0)).alias("pnl"), (F.round("peak_so_far", 4) + F.lit(0.0)).alias("peak_so_far"), "label")
 
 
 _PEAK = "max(pnl) over (partition by trade_id order by day rows between unbounded preceding and current row)"
-native("s13_trade_paths", trade_paths, f"select trade_id, cast(day as int) as day, round(pnl, 4) as pnl, round({_PEAK}, 4) as peak_so_far, case when max(pnl) over (partition by trade_id) <= 20 then 'peakless' when pnl >= 0.8 * max(pnl) over (partition by trade_id) then 'near_peak' else 'off_peak' end as label from {views.paths(DUCK)} p")
+native("s13_trade_paths", trade_paths, f"select trade_id, cast(day as int) as day, round(pnl, 4) + 0.0::double as pnl, round({_PEAK}, 4) + 0.0::double as peak_so_far, case when max(pnl) over (partition by trade_id) <= 20 then 'peakless' when pnl >= 0.8 * max(pnl) over (partition by trade_id) then 'near_peak' else 'off_peak' end as label from {views.paths(DUCK)} p")
 query("s15_contract_minutes", lambda d: f"select ticker, minute_, min(price) as low, max(price) as high, sum(size) as volume from (select c.ticker, c.window_start // 60000000000 as minute_, c.price, c.size from {contracts(d)} c join (select ticker from {contracts(d)} w group by ticker having count(*) >= 2) k on c.ticker = k.ticker) x group by ticker, minute_".replace("//", "div" if d.spark else "//"))
 query("j02_cross_asset_features", lambda d: output(f"(select a.symbol, a.ts, a.r, m.mean_r, m.spread_r, a.r - m.mean_r as excess from {views.returns(d)} a left join (select ts, avg(r) as mean_r, max(r) - min(r) as spread_r from {views.returns(d)} x where r is not null group by ts) m on a.ts = m.ts where a.r is not null)", DAY, ["mean_r", "spread_r", "excess"], [], 6))
 query("c09_normalized_columns", lambda d: f"select symbol, ts, open, close, coalesce(volume, 0) as volume from (select p_type as symbol, l_shipdate as ts, l_extendedprice as open, l_extendedprice * (1 - l_discount) as close, nullif(l_quantity, 1) as volume from {{lineitem}} join {{part}} on l_partkey = p_partkey) x where symbol is not null and ts is not null and open is not null and close is not null")

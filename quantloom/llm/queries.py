@@ -27,11 +27,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(jobs.table(spark, sf_dir, "documents"), texts=False)
 
 
+#: Words in a host's name that label its pages bad.
+BAD_HOSTS = ("casino", "bets", "pills", "spam", "ads-track")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled bad if the document of its number is toxic or of low quality."""
+    """A page is labelled bad if its host's name has a word that speaks for it, else good; templates are judged by those labels."""
     jobs.ship(spark)
-    labels = jobs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
-    return url_filter.url_verdicts(jobs.table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    pages = jobs.table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = url_filter.host_path(F.col("url"))
+    labels = pages.filter("url is not null").select("page_id", F.greatest(*[F.contains(host, F.lit(w)).cast("int") for w in BAD_HOSTS]).alias("bad"))
+    return url_filter.url_verdicts(pages, labels)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,12 +380,12 @@ def _encoded(docs: DataFrame, path: str, digests: bool, schema: str) -> DataFram
         docs = jobs.stored(docs, "documents")
     shared = spark.sparkContext.broadcast(table)
     # both reads take the same columns, so that their batches are cut alike
-    words = jobs.exchange(docs, _words(n), n).mapInArrow(_distinct, "word binary, refs binary")
+    words = jobs.exchange(docs, _words(n), n).mapInArrow(jobs.tidy(_distinct), "word binary, refs binary")
     short = F.octet_length("word") <= LONG
     ids = F.when(short, merged(F.when(short, F.col("word")).otherwise(F.lit(b"")), table)).otherwise(F.array().cast("array<int>"))
     coded = words.select("refs", ids.alias("ids"), F.when(~short, F.col("word")).alias("long"))
-    back = coded.mapInArrow(_to_blocks(shared), _TO_BLOCK).unionByName(docs.mapInArrow(_documents, _TO_BLOCK))
-    return back.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_assembled(shared, digests), schema)
+    back = coded.mapInArrow(jobs.tidy(_to_blocks(shared)), _TO_BLOCK).unionByName(docs.mapInArrow(jobs.tidy(_documents), _TO_BLOCK))
+    return back.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(jobs.tidy(_assembled(shared, digests)), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -408,7 +408,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
             out = [raw[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return ids.mapInArrow(run, StructType([*ids.schema, StructField("decoded", BinaryType())]))
+    return ids.mapInArrow(jobs.tidy(run), StructType([*ids.schema, StructField("decoded", BinaryType())]))
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

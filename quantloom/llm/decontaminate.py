@@ -221,12 +221,12 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # one block: its size is bounded
         automaton = spark.sparkContext.broadcast(Automaton(_item_words(rows), window))
-        part = docs.mapInArrow(_scan(automaton, b == 0), _OUT).withColumn("_rows", F.lit(int(b == 0)))  # the first block gives every row
+        part = docs.mapInArrow(jobs.tidy(_scan(automaton, b == 0)), _OUT).withColumn("_rows", F.lit(int(b == 0)))  # the first block gives every row
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
         found = found.groupBy("row_key", "doc_id", "n_words").agg(flat("starts"), flat("ends"), flat("items"), F.sum("_rows").alias("_rows"))
-        found = found.mapInArrow(_united, f"{_OUT}, _rows long").withColumn("_rows", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+        found = found.mapInArrow(jobs.tidy(_united), f"{_OUT}, _rows long").withColumn("_rows", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
     return found.drop("_rows")
 
 
@@ -274,4 +274,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     spans = spans.select(F.col("row_key").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends)).dropDuplicates([key])
     empty = F.array().cast("array<int>")
     both = keyed.join(spans.hint("merge"), key, "left").select(*docs.columns, *[F.coalesce(c, empty).alias(c) for c in (starts, ends)])
-    return both.mapInArrow(_cut(coverage, starts, ends), docs.schema)
+    return both.mapInArrow(jobs.tidy(_cut(coverage, starts, ends)), docs.schema)

@@ -442,8 +442,8 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     spark = docs.sparkSession
     n = jobs.partitions(spark)
     docs = docs.select("doc_id", "text")
-    packed = docs.mapInArrow(_pack(n, width, percent), _PACKED).repartitionById(n, F.col("bucket"))
-    grouped = jobs.stored(packed.mapInArrow(_groups, _GROUPED), "segments")
+    packed = docs.mapInArrow(jobs.tidy(_pack(n, width, percent)), _PACKED).repartitionById(n, F.col("bucket"))
+    grouped = jobs.stored(packed.mapInArrow(jobs.tidy(_groups), _GROUPED), "segments")
     meta = grouped.filter("kind = 0").select("doc_id", "n_shingles", "entity", "sketch")
     reps = jobs.stored(meta.filter("n_shingles > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("s")).filter("rep is not null"), "representatives")
     of = lambda x, *columns: reps.select(F.col("entity").alias(x), *[F.col(c).alias(c[0] + x) for c in columns])
@@ -452,21 +452,21 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     stars = jobs.stored(_pivots(grouped.filter("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("e"))), "stars")
     pairs = grouped.filter("kind = 1").select("a", "b").unionByName(stars.select(F.col("t").alias("a"), F.col("e").alias("b"))).distinct()
     pairs = pairs.join(of("a", "rep", "n", "s"), "a").join(of("b", "rep", "n", "s"), "b").select(*_NEAR_NAMES, "sa", "sb")
-    near = jobs.stored(pairs.mapInArrow(_close(percent), _NEAR), "candidates")
+    near = jobs.stored(pairs.mapInArrow(jobs.tidy(_close(percent)), _NEAR), "candidates")
     large = not stars.isEmpty()
     if large:
         whole = stars.unionByName(stars.select("t", F.col("t").alias("e")).distinct()).withColumn("odd", F.lit(True))
         sketched = whole.join(reps.select(F.col("entity").alias("e"), "n", "s", F.octet_length("s").alias("size")), "e")
-        members = jobs.stored(_tile_pairs(sketched, ["e", "n", "s"], sketch_tile, sketch_bytes).mapInArrow(_may_link(percent), "t long, e long").distinct(), "members")
+        members = jobs.stored(_tile_pairs(sketched, ["e", "n", "s"], sketch_tile, sketch_bytes).mapInArrow(jobs.tidy(_may_link(percent)), "t long, e long").distinct(), "members")
 
     # the sets of documents that may link; sets and texts move by joins of one form at every size
     ends = near.select(F.explode(F.array("a", "b")).alias("entity"))
     ends = (ends.unionByName(members.select(F.col("e").alias("entity"))) if large else ends).distinct()
     wanted = ends.join(_nearest(near).withColumnRenamed("x", "entity"), "entity", "left").join(reps.select("entity", "rep"), "entity")
     wanted = wanted.select(F.col("rep").alias("doc_id"), "entity", "rep", F.col("y").alias("partner"), F.col("ry").alias("partner_rep"))
-    sets = jobs.stored(docs.join(wanted.hint("merge"), "doc_id").drop("doc_id").mapInArrow(_sets(width), _SETS), "sets")
+    sets = jobs.stored(docs.join(wanted.hint("merge"), "doc_id").drop("doc_id").mapInArrow(jobs.tidy(_sets(width)), _SETS), "sets")
     other = lambda key, ids: sets.select(F.col("entity").alias(key), F.col("ids").alias(ids)).hint("merge")
-    verified = lambda rows: jobs.stored(rows.select("ra", "rb", "ia", "ib").mapInArrow(_verify(percent), "a long, b long"), "links")
+    verified = lambda rows: jobs.stored(rows.select("ra", "rb", "ia", "ib").mapInArrow(jobs.tidy(_verify(percent)), "a long, b long"), "links")
 
     first = sets.filter("partner is not null").select(F.col("rep").alias("ra"), F.col("partner_rep").alias("rb"), F.col("ids").alias("ia"), F.col("partner").alias("b"))
     links = verified(first.join(other("b", "ib"), "b"))
@@ -478,7 +478,7 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
         home = star.groupBy("t").agg(F.mode("c").alias("home"), F.count_distinct("c").alias("components")).filter("components > 1").select("t", "home")
         star = star.join(home, "t").select("t", "e", "r", "c", (F.col("c") != F.col("home")).alias("odd"), (F.col("n") * _ID).alias("size"))
         held = star.join(sets.select(F.col("entity").alias("e"), F.col("ids").alias("s")).hint("merge"), "e")
-        more = _tile_pairs(held, ["r", "c", "s"], tile, tile_bytes).mapInArrow(_across(percent), "a long, b long")
+        more = _tile_pairs(held, ["r", "c", "s"], tile, tile_bytes).mapInArrow(jobs.tidy(_across(percent)), "a long, b long")
         links = links.unionByName(jobs.stored(more, "links"))
     return meta.join(reps.select("entity", "rep"), "entity", "left").select("doc_id", "n_shingles", "rep"), links
 

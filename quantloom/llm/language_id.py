@@ -250,7 +250,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: i
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     texts = labelled.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id").agg(F.min(F.struct("lang", "text", "rank")).alias("row")).select("doc_id", "row.*")
     texts = jobs.stored(texts, "language-sample")
-    counted = texts.filter(F.col("rank") <= sample_docs).select("lang", "text").mapInArrow(_lang_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = texts.filter(F.col("rank") <= sample_docs).select("lang", "text").mapInArrow(jobs.tidy(_lang_words), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counted.groupBy("lang").applyInArrow(_fit_language, "lang string, kind int, key long, value double").toArrow()
     languages = sorted(set(rows.column("lang").to_pylist()))
     if not languages:
@@ -268,9 +268,9 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: i
             ok = n > 0
             yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(ok)), pa.array(list(e[ok]), pa.list_(pa.float64()))], ["lang", "e"])
 
-    held = texts.filter(F.col("rank") > sample_docs).select("lang", "text").mapInArrow(entropies, "lang string, e array<double>").toArrow()
+    held = texts.filter(F.col("rank") > sample_docs).select("lang", "text").mapInArrow(jobs.tidy(entropies), "lang string, e array<double>").toArrow()
     if not held.num_rows:  # few documents: calibrate on those that were counted
-        held = texts.select("lang", "text").mapInArrow(entropies, "lang string, e array<double>").toArrow()
+        held = texts.select("lang", "text").mapInArrow(jobs.tidy(entropies), "lang string, e array<double>").toArrow()
     if held.num_rows:
         e = np.array(held.column("e").to_pylist())
         truth = np.array([languages.index(x) if x in languages else 0 for x in held.column("lang").to_pylist()])
@@ -313,14 +313,14 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "rejected": F.lit(True)})
     results = StructType.fromDDL(RESULTS)
     schema = StructType([*(f for f in docs.schema if f.name not in results.names), *results])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(models)), schema)
+    return docs.mapInArrow(jobs.tidy(_predict(docs.sparkSession.sparkContext.broadcast(models))), schema)
 
 
 def known(docs: DataFrame, models: Models | None) -> DataFrame:
     """The rows of docs that are not rejected, with their own columns."""
     if models is None:
         return docs.limit(0)
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(models), True), docs.schema)
+    return docs.mapInArrow(jobs.tidy(_predict(docs.sparkSession.sparkContext.broadcast(models), True)), docs.schema)
 
 
 def held_out():

@@ -218,8 +218,8 @@ def duplicate_factors(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR)
     docs: doc_id, text, row_key.  A factor of n windows is a run of n + width - 1 words.
     """
     n = jobs.partitions(docs.sparkSession)
-    pieces = docs.select("doc_id", "text", "row_key").mapInArrow(_pack(n, width, anchor), _PACKED).repartitionById(n, F.col("bucket"))
-    return pieces.mapInArrow(_factors, _FACTORS)
+    pieces = docs.select("doc_id", "text", "row_key").mapInArrow(jobs.tidy(_pack(n, width, anchor)), _PACKED).repartitionById(n, F.col("bucket"))
+    return pieces.mapInArrow(jobs.tidy(_factors), _FACTORS)
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -263,4 +263,4 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) ->
     docs = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     factors = duplicate_factors(docs, width, min(ANCHOR, width)).groupBy("row_key").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("windows")).alias("windows"))
     found = docs.join(factors, "row_key", "left").select("doc_id", "text", "first", "windows")
-    return found.mapInArrow(_remove(width, texts), _OUT + ", kept_text string" * texts)
+    return found.mapInArrow(jobs.tidy(_remove(width, texts)), _OUT + ", kept_text string" * texts)

@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     row = F.xxhash64("doc_id").alias("row")
     missing = digests.join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.min(row).alias("row"))
     texts = rows.select("content_digest", row, "text").join(missing, ["content_digest", "row"], "left_semi")
-    new = texts.select("content_digest", "text").mapInArrow(_count(tokenizer), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])
+    new = texts.select("content_digest", "text").mapInArrow(jobs.tidy(_count(tokenizer)), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])
     new.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     known = read_cache(spark, cache).filter(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     return digests.join(known, "content_digest").select("doc_id", "n_bytes", "n_tokens")

@@ -45,7 +45,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Encode every text, append `end_id`, and write the ORC files at `path`."""
     n = jobs.partitions(docs.sparkSession)
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    coded = ranged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, row long, n_tokens long, ids array<int>").withColumn("part", F.spark_partition_id())
+    coded = ranged.mapInArrow(jobs.tidy(_encode(tokenizer, end_id)), "doc_id long, row long, n_tokens long, ids array<int>").withColumn("part", F.spark_partition_id())
     writer = coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
     writer.option("orc.row.index.stride", ROWS_AN_INDEX).option("orc.stripe.size", STRIPE_BYTES).option("compression", "zstd").orc(path)
 
@@ -75,6 +75,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("part").orderBy("row")
-    rows = files.mapInArrow(_checksums, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(jobs.tidy(_checksums), "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
     rows = rows.withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     return rows.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

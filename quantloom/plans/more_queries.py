@@ -44,12 +44,33 @@ def transfer_entropy(d) -> str:
 
 query("i04_transfer_entropy", lambda d: f"select source, target, {_r('te')} as te from {transfer_entropy(d)} t")
 query("i06_net_flow", lambda d: f"select a.source as a, a.target as b, {_r('a.te - b.te')} as net, case when a.te - b.te > 0.01 then 'a' when a.te - b.te < -0.01 then 'b' else 'none' end as dominant from {transfer_entropy(d)} a join {transfer_entropy(d)} b on a.source = b.target and a.target = b.source where a.source < a.target")
-query("i08_wasserstein", lambda d: f"select a, b, {_r('sum(abs(fa - fb) * step)', 5)} as distance from (select a, b, fa, fb, coalesce(lead(v) over (partition by a, b order by v, side, k) - v, 0) as step from (select p.a, p.b, u.v, u.side, u.k, sum(case when u.side = 0 then {ONE} / u.n else 0 end) over (partition by p.a, p.b order by u.v, u.side, u.k) as fa, sum(case when u.side = 1 then {ONE} / u.n else 0 end) over (partition by p.a, p.b order by u.v, u.side, u.k) as fb from (select distinct a, b from {pairs(d)} z) p join (select symbol, 0 as side, round(r, 9) as v, row_number() over (partition by symbol order by r, ts) as k, count(*) over (partition by symbol) as n from {views.returns(d)} x where r is not null union all select symbol, 1 as side, round(r, 9) as v, row_number() over (partition by symbol order by r, ts) as k, count(*) over (partition by symbol) as n from {views.returns(d)} y where r is not null) u on (u.side = 0 and u.symbol = p.a) or (u.side = 1 and u.symbol = p.b)) q) w group by a, b")
+
+
+def wasserstein(d) -> str:
+    """Distance between the values of two instruments: the gap between their distribution functions, over all steps of either."""
+    values = f"(select symbol, round(r, 9) as v, row_number() over (partition by symbol order by r, ts) as k, count(*) over (partition by symbol) as n from {views.returns(d)} x where r is not null)"
+    keys = f"(select distinct a, b from {pairs(d)} z)"
+    side = lambda key, k: f"select p.a, p.b, {k} as side, u.v, u.k, u.n from {keys} p join {values} u on u.symbol = p.{key}"
+    over = "over (partition by a, b order by v, side, k)"
+    steps = staged(f"({side('a', 0)} union all {side('b', 1)})", {"fa": f"sum(case when side = 0 then {ONE} / n else 0 end) {over}", "fb": f"sum(case when side = 1 then {ONE} / n else 0 end) {over}", "step": f"coalesce(lead(v) {over} - v, 0)"})
+    return f"select a, b, {_r('sum(abs(fa - fb) * step)', 5)} as distance from {steps} q group by a, b"
+
+
+query("i08_wasserstein", wasserstein)
 
 # ---- calendars and joins
-CAL = "(select o_orderdate as at, count(*) as n from {orders} group by o_orderdate)"
-query("c16_event_windows", lambda d: f"select b.symbol, b.ts, cast(sum(c.n) as bigint) as events, min({d.days('c.at', 'b.ts')}) as nearest_ahead from {views.bars(d)} b join {CAL} c on c.at >= {d.plus_days('b.ts', -2)} and c.at <= {d.plus_days('b.ts', 3)} group by b.symbol, b.ts")
-query("c17_upcoming_events", lambda d: f"select b.symbol, b.ts, min({d.days('c.at', 'b.ts')}) as days_until, case when min({d.days('c.at', 'b.ts')}) <= 1 then 1 else 0 end as tighten from {views.bars(d)} b join {CAL} c on c.at >= b.ts and c.at < {d.plus_days('b.ts', 5)} group by b.symbol, b.ts")
+CAL = "(select o_orderdate as due, count(*) as n from {orders} group by o_orderdate)"
+
+
+def near_events(d, first: int, last: int) -> str:
+    """Bars with the events from `first` to `last` days after them: each event goes to the days whose window it is in."""
+    days = f"(select due, n, {d.explode(d.series(str(-last), str(-first)), 'k')} from {CAL} c)"
+    dated = f"(select cast(due as date) as due, n, cast({d.plus_days('due', 'k')} as date) as day from {days} e)"
+    return f"(select b.symbol, b.ts, e.n, {d.days('e.due', 'cast(b.ts as date)')} as ahead from (select *, cast(ts as date) as day from {views.bars(d)} x) b join {dated} e on b.day = e.day)"
+
+
+query("c16_event_windows", lambda d: f"select symbol, ts, cast(sum(n) as bigint) as events, min(ahead) as nearest_ahead from {near_events(d, -2, 3)} x group by symbol, ts")
+query("c17_upcoming_events", lambda d: f"select symbol, ts, min(ahead) as days_until, case when min(ahead) <= 1 then 1 else 0 end as tighten from {near_events(d, 0, 4)} x group by symbol, ts")
 query("j07_bulk_prices", lambda d: f"select w.symbol, w.ts, w.dte, w.opt, w.strike, c.oi from (select symbol, ts, dte, opt, strike from {views.chain(d)} x where dte = 30 and strike > spot) w join {views.chain(d)} c on w.symbol = c.symbol and w.ts = c.ts and w.dte = c.dte and w.opt = c.opt and w.strike = c.strike")
 query("j11_array_members", lambda d: f"select user_id, member, count(*) as n from (select user_id, {d.explode('ids', 'member')} from (select user_id, {d.collect('event_type')} as ids from {{events}} group by user_id) x) y group by user_id, member")
 
@@ -57,7 +78,7 @@ query("j11_array_members", lambda d: f"select user_id, member, count(*) as n fro
 query("a03_resample_contract", lambda d: f"select symbol, dte, opt, date_trunc('month', ts) as ts, sum(opt_volume) as volume, max(oi) as top_oi from {views.chain(d)} c group by symbol, dte, opt, date_trunc('month', ts)")
 query("a17_regime_timeline", lambda d: f"select ts, min(top) as label, sum(n) as symbols from (select ts, n, first_value(label) over (partition by ts order by n desc, label) as top from (select ts, label, count(*) as n from {labelled(d)} l group by ts, label) x) y group by ts")
 query("a19_fragility_report", lambda d: f"select symbol, {_r('dev * sqrt(252.0)', 5)} as vol, rank_vol from (select symbol, dev, rank() over (order by dev desc) as rank_vol from (select symbol, stddev_samp(r) as dev from {views.returns(d)} x group by symbol) y) z")
-query("a26_regime_coverage", lambda d: f"select s.strategy, s.regime, coalesce(t.n, 0) as n, case when t.n is null then 1 else 0 end as gap from (select distinct a.strategy, b.regime from {views.trades(d)} a join {views.trades(d)} b on a.account = b.account) s left join (select strategy, regime, count(*) as n from {views.trades(d)} c group by strategy, regime) t on s.strategy = t.strategy and s.regime = t.regime")
+query("a26_regime_coverage", lambda d: f"select s.strategy, s.regime, coalesce(t.n, 0) as n, case when t.n is null then 1 else 0 end as gap from (select a.strategy, b.regime from (select distinct strategy from {views.trades(d)} x) a cross join (select distinct regime from {views.trades(d)} y) b) s left join (select strategy, regime, count(*) as n from {views.trades(d)} c group by strategy, regime) t on s.strategy = t.strategy and s.regime = t.regime")
 query("a30_day_summary", lambda d: f"select l_shipdate as day, {d.counts(chr(39) + 'O' + chr(39) + ' = l_linestatus')} as filled, {_r('sum(l_extendedprice)', 3)} as gross, {_r('sum(l_extendedprice * l_tax)', 6)} as fees from {{lineitem}} group by l_shipdate")
 query("a33_exposure_snapshot", lambda d: f"select symbol, ts, {_r('net_gex', 3)} as net_gex, position from (select *, row_number() over (partition by symbol order by ts desc) as k from {A.exposure_totals(views.chain(d))} e) x where k = 1")
 query("a35_key_runs", lambda d: f"select strategy, {d.last('trade_id', 'pnl', 'trade_id')} as best, {d.first('trade_id', 'pnl', 'trade_id')} as worst, {d.last('trade_id', 'entry', 'trade_id')} as latest from {views.trades(d)} t group by strategy")
@@ -66,7 +87,16 @@ query("a38_graduation_ready", lambda d: f"select strategy, n, {_r('sharpe')} as
 
 # ---- evaluation
 query("e05_threshold_sharpe", lambda d: f"select symbol, p, n, {_r('mean / nullif(dev, 0) * sqrt(252.0)', 5)} as sharpe, {_r('mean / nullif(dev / sqrt(n), 0)', 5)} as t from (select symbol, p, count(*) as n, avg(nxt) as mean, stddev_samp(nxt) as dev from (select symbol, nxt, pct, {d.explode(d.series('1', '9'), 'p')} from (select symbol, lead(r) over (partition by symbol order by ts) as nxt, ntile(10) over (partition by symbol order by r, ts) as pct, r from {views.returns(d)} x where r is not null) y) z where nxt is not null and pct > p group by symbol, p) w")
-query("e07_embargo", lambda d: f"select symbol, ts, close from {views.bars(d)} b where not exists (select 1 from (select distinct {d.plus_days('date_trunc(' + chr(39) + 'quarter' + chr(39) + ', ts)', 0)} as edge from {views.bars(d)} q) e where b.ts >= {d.plus_days('e.edge', -3)} and b.ts <= {d.plus_days('e.edge', 3)})")
+
+
+def embargoed(d, before: int = 3, after: int = 3) -> str:
+    """Bars that are not within some days of a quarter's start; the days around each start are joined by equality."""
+    starts = f"(select distinct cast(date_trunc('quarter', ts) as date) as edge from {views.bars(d)} q)"
+    days = f"(select distinct cast({d.plus_days('edge', 'k')} as date) as day from (select edge, {d.explode(d.series(str(-before), str(after)), 'k')} from {starts} s) t)"
+    return f"select b.symbol, b.ts, b.close from {views.bars(d)} b left join {days} e on cast(b.ts as date) = e.day where e.day is null"
+
+
+query("e07_embargo", embargoed)
 query("e08_signal_quality", lambda d: f"select symbol, {d.counts('trade = 1 and position = 1')} as entries, {_r('avg(case when position = 1 then case when r > 0 then 1 else 0 end end)')} as hit_rate, {_r('avg(case when position = 1 then r end)')} as mean, {_r('stddev_samp(case when position = 1 then r end)')} as dev from {B.momentum_backtest(Series(d), views.bars(d))} m group by symbol".replace("then 1 else 0 end end", f"then {ONE} else 0 end end"))
 query("e12_portfolio_metrics", lambda d: f"select {_r('sum(pnl)', 2)} as total, {_r('min(equity - peak)', 2)} as max_drawdown, {_r('max(pnl)', 2)} as best_day, {_r('min(pnl)', 2)} as worst_day from (select *, max(equity) over (order by entry rows between unbounded preceding and current row) as peak from (select *, sum(pnl) over (order by entry rows between unbounded preceding and current row) as equity from (select entry, sum(pnl) as pnl from {views.trades(d)} t group by entry) d) e) f")
 query("e19_combine_signals", lambda d: f"select symbol, ts, up + trend as votes, case when up = trend then up else 0 end as unanimous from (select symbol, ts, case when close > sma_10 then 1 else -1 end as up, case when sma_10 > sma_50 then 1 else -1 end as trend from {B.sma(Series(d), views.bars(d))} x where sma_50 is not null) y")
@@ -89,7 +119,7 @@ query("e64_position_greeks", lambda d: f"select symbol, ts, {_r('sum(case when o
 # ---- recall and ordering
 _recall("r04_similar", 10, lambda d, top: f"select q, vec_id, similarity from {top} t where similarity > 0.2")
 query("r07_provenance", lambda d: "select conv_id, turn, role, length(text) as n from (select *, row_number() over (partition by conv_id order by turn desc) as k from {conversations}) c where k <= 2")
-query("z02_topk_edge", lambda d: f"select symbol, ts, {_r('r')} as r from (select *, row_number() over (order by round(abs(r), 9) desc, symbol, ts) as k from {views.returns(d)} x where r is not null) y where k <= 25")
+query("z02_topk_edge", lambda d: f"select symbol, ts, {_r('r')} as r from {views.returns(d)} x where r is not null order by round(abs(x.r), 9) desc, symbol, ts limit 25")
 query("z03_first_rule", lambda d: f"select symbol, ts, case when r > 0.5 then 'spike' when r < -0.3 then 'drop' when volume > 150 then 'busy' else 'none' end as rule from {views.returns(d)} x")
 query("z04_union_counts", lambda d: "select 'events' as source, count(*) as n from {events} union all select 'orders', count(*) from {orders} union all select 'documents', count(*) from {documents}")
 query("e67_batch_significance", lambda d: output(staged(performance(d, ret(d)), {"rank_t": "row_number() over (order by round(t_stat, 6) desc, symbol)"}), ("symbol",), PERF[:4], ["rank_t"], 5))

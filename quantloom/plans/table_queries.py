@@ -156,7 +156,7 @@ query("a16_metrics_by_regime", lambda d: f"select regime, days, {_r('total', 3)}
 query("a18_regime_stability", lambda d: f"select symbol, year(ts) as year_, label, count(*) as n, {_r('cast(count(*) as double) / sum(count(*)) over (partition by symbol, year(ts))')} as share from {labelled(d)} l group by symbol, year(ts), label")
 query("a20_regime_profile_matrix", lambda d: f"select regime, strategy, count(*) as runs, {_r('avg(pnl)', 4)} as mean_pnl from {views.trades(d)} t group by regime, strategy")
 query("a21_stage_counts", lambda d: f"select event_type as stage, count(*) as n, {d.counts('value < 10')} as in_progress, {d.counts('value >= 10')} as completed from {{events}} group by event_type")
-query("a22_funnel", lambda d: f"select reach, count(*) as users, {_r('100.0 * count(*) / max(total)')} as share from (select user_id, total, {d.explode(d.series('1', 'cast(stages as int)'), 'reach')} from (select user_id, count(distinct event_type) as stages, (count(*) over ()) as total from {{events}} group by user_id) x) y group by reach")
+query("a22_funnel", lambda d: f"select reach, count(*) as users, {_r('100.0 * count(*) / max(total)')} as share from (select reached, total, {d.explode(d.series('1', 'cast(reached as int)'), 'reach')} from (select u.reached, t.total from (select user_id, count(distinct event_type) as reached from {{events}} group by user_id) u cross join (select count(distinct user_id) as total from {{events}}) t) x) y group by reach")
 query("a23_failure_stats", lambda d: f"select l_returnflag as failure, count(*) as n, {_r('100.0 * count(*) / sum(count(*)) over ()')} as share, max(l_shipdate) as last_seen from {{lineitem}} group by l_returnflag")
 query("a24_graduation_metrics", lambda d: f"select strategy, count(*) as n, {_r('sum(pnl)', 3)} as pnl, {_r('avg(case when pnl > 0 then cast(1 as double) else 0 end)')} as win_rate, {_r('sum(case when pnl > 0 then pnl else 0 end) / nullif(-sum(case when pnl < 0 then pnl else 0 end), 0)')} as profit_factor, {_r('case when count(*) < 3 then 0 when stddev_samp(pnl) = 0 then 0 else avg(pnl) / stddev_samp(pnl) * sqrt(252.0) end')} as sharpe from {views.trades(d)} t group by strategy")
 query("a25_run_risk_summary", lambda d: f"select strategy, {_r('min(pnl)', 4)} as worst, {_r(d.quantile('pnl', 0.5), 4)} as median_pnl, {_r(d.quantile('pnl', 0.05), 4)} as tail, count(distinct year(entry)) as years from {views.trades(d)} t group by strategy")

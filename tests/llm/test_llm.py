@@ -248,6 +248,23 @@ def test_url_templates(spark):
     assert all(got[a] == (("/bad/*", "block") if c else ("/good/*", "allow")) for a, _, c in rows)
 
 
+def test_url_merging(spark):
+    """A small bad host is rejected as a whole, a bad section of a good host alone; empty tables, repeated and null rows, extra columns."""
+    rows = [(k, f"http://bad.org/{'en' if k % 3 else 'de'}/{k}", 1) for k in range(30)]
+    rows += [(100 + k, f"http://ok.org/{('a', 'b', 'spam')[k % 3]}/{'x' if k % 2 else 'y'}/{k}?q", int(k % 3 == 2)) for k in range(300)]
+    rows += [(900, None, None), (901, "http://new.org/" + "/".join("abc" * 20), None), (None, "http://bad.org/en/77", None), (5, "http://bad.org/de/5", 1)]
+    pages = spark.createDataFrame([(a, b, "x", 1, "y") for a, b, _ in rows], "page_id long, url string, template string, _s int, parent string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows if a is not None and c is not None], "page_id long, bad int")
+    got = url_filter.url_verdicts(pages, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        bad = r.host == "bad.org" or r.host == "ok.org" and r.path.startswith("/spam")
+        assert r.verdict == ("block" if bad else "allow"), r
+    assert {r.branch for r in got if r.host == "bad.org"} == {""} and "/spam" in {r.branch for r in got if r.host == "ok.org"}
+    assert url_filter.url_verdicts(pages.limit(0), labels).count() == 0
+    assert {r.verdict for r in url_filter.url_verdicts(pages, labels.limit(0)).collect()} == {"allow"}
+
+
 def test_token_files(spark, docs):
     path, tok = jobs.scratch(spark, "orc"), public_tokenizers.path("byte_bpe_50k.json")
     token_files.write_token_files(docs, tok, path)

@@ -167,10 +167,12 @@ def _parsed(window: np.ndarray, piece: np.ndarray, docs: np.ndarray) -> tuple[np
     follows = same & np.append(False, found[:-1]) & found
     onward = follows & np.append(False, (ref[1:] == ref[:-1] + 1)) & same[ref]
     begin = np.flatnonzero(found & ~onward)
+    if not len(begin):
+        return begin, begin, begin
     stop = np.append(begin[1:], len(window))
     run = np.cumsum(found)  # all found symbols from one start to the next stand together
     first, at = begin.copy(), ref[begin]
-    length = np.minimum(stop - begin, run[stop - 1] - run[begin] + 1) if len(begin) else stop
+    length = np.minimum(stop - begin, run[stop - 1] - run[begin] + 1)
     # a start that follows a factor directly: that factor goes on as far as its own reference text agrees
     owner = np.arange(len(begin))
     for k in np.flatnonzero(follows[begin]).tolist():

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, jobs, language_id, pii, substring_dedup, token_counts, token_files, url_filter, vector_dedup
+from . import byte_bpe, decontaminate, jaccard_join, jobs, language_id, pii, quality_conv, spelling_variants, substring_dedup, token_counts, token_files, url_filter, vector_codes, vector_dedup
 
 #: Where the public tokenizers' files are.
 tokenizer_path = public_tokenizers.path
@@ -76,13 +76,60 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(jobs.table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.ship(spark)
+    docs = jobs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_conv.quality(docs, quality_conv.fit(docs, jobs.table(spark, sf_dir, "labels")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.ship(spark)
+    counts = spelling_variants.word_counts(jobs.table(spark, sf_dir, "documents"), shortest=5, every=97)
+    return spelling_variants.variants(counts.filter("n >= 3"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.ship(spark)
+    coded = vector_codes.vector_codes(jobs.table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_token_files, op6_personal_data, op7_language_id, op8_token_counts, op9_jaccard_join, op10_vector_dedup)
-}
+    for f in (
+        op1_byte_bpe, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_token_files, op6_personal_data, op7_language_id, op8_token_counts, op9_jaccard_join,
+        op10_vector_dedup, op11_quality, op12_spelling_variants, op13_vector_codes,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _codes_sql() -> str:
+    """The rounds of fitting written out; distances and sums are whole numbers."""
+    sql = """
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+     x AS (SELECT r, p, list_transform(embedding[p * len(embedding) // 16 + 1:(p + 1) * len(embedding) // 16], lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS v FROM k, range(16) t(p)),
+     b0 AS (SELECT p, r - 1 AS e, v FROM x WHERE r <= 64)"""
+    for i in (0, 1, 2):
+        sql += f""",
+     d{i} AS MATERIALIZED (SELECT x.r, x.p, x.v, b.e, CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda j: (x.v[j] - b.v[j]) * (x.v[j] - b.v[j]))) AS BIGINT) AS d FROM x JOIN b{i} b ON x.p = b.p),
+     a{i} AS MATERIALIZED (SELECT r, p, first(v) AS v, first(e ORDER BY d, e) AS e, min(d) AS d FROM d{i} GROUP BY r, p)"""
+        if i < 2:
+            sql += f""",
+     m{i} AS (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS v FROM (SELECT p, e, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS j FROM a{i}) GROUP BY p, e, j) GROUP BY p, e),
+     b{i + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.e = m.e)"""
+    return (
+        sql
+        + """,
+     c AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+     h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c ON k.r = c.r, h"""
+    )
+
+
 ORACLES = {
     "op2_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -108,4 +155,21 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
      kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS t, count(*) AS n FROM k ANTI JOIN x ON k.doc_id = x.doc_id AND k.p = x.p GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE t8 AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+       UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t8 WHERE k < 8),
+     tab AS (SELECT list(c ORDER BY i) AS t FROM t8 WHERE k = 8),
+     runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) GROUP BY ALL),
+     hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) + 1),
+              lambda p: ('0x' || hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w))[2 * p - 1:2 * p])::BIGINT)), lambda acc, b: xor(t[(xor(acc, b) & 255) + 1], acc >> 8)), 4294967295) AS h FROM runs, tab),
+     words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM hashed) GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+     less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+     near AS (SELECT DISTINCT a.word, a.n, b.word AS o, b.n AS m FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+       UNION SELECT DISTINCT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.s = b.word
+       UNION SELECT DISTINCT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.s = b.word),
+     best AS (SELECT word, count(*) AS n_near, first(o ORDER BY m DESC, o) AS o, max(m) AS m FROM near GROUP BY word),
+     forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN o END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+     up AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT up.word, f.word, f.form FROM up JOIN forms f ON up.next = f.word)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM forms f JOIN up ON f.word = up.word AND up.next IS NULL""",
+    "op13_vector_codes": _codes_sql(),
 }

@@ -159,21 +159,6 @@ def pattern_table(s: Series, source: str, length: int = 3, least: int = 10) -> s
     return f"(select t.*, t.p_up - b.base as edge from {table} t cross join (select avg(rose) as base from {rows} q where rose is not null) b)"
 
 
-def pattern_lookup(s: Series, source: str, length: int = 3, least: int = 10) -> str:
-    """Rows with the probability of a rise: of their sequence and regime, else of the sequence's regimes on average, else the base rate."""
-    table = pattern_table(s, source, length, least)
-    by_sequence = f"(select sequence, avg(p_up) as p_up, sum(n) as n from {table} t group by sequence)"
-    rows = sequences(s, source, length)
-    base = f"(select avg(rose) as base from {rows} q where rose is not null)"
-    joined = f"(select r.*, t.p_up as exact_p, t.n as exact_n, u.p_up as loose_p, u.n as loose_n, b.base from {rows} r left join {table} t on r.sequence = t.sequence and r.regime = t.regime left join {by_sequence} u on r.sequence = u.sequence cross join {base} b)"
-    return staged(
-        joined,
-        {"p_up": "coalesce(exact_p, loose_p, base)", "support": "coalesce(exact_n, loose_n, 0)", "fallback": "case when exact_p is not null then 'none' when loose_p is not null then 'sequence_only' else 'base_rate' end"},
-        {"edge": "p_up - base"},
-        {"signal": "case when edge >= 0.05 then 1 when edge <= -0.05 then -1 else 0 end"},
-    )
-
-
 def duration_hazards(d, fits: str, longest: int = 30) -> str:
     """Hazards over a grid of durations by label: geometric, Weibull and log-logistic by moments, and negative binomial.
 

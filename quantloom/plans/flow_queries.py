@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..frames import Series, output, staged
+from ..operators import asof as P
 from ..operators import bars as B
 from ..operators import flow as O
 from ..operators import regimes as G
 from . import views
-from .registry import query
+from .registry import query, stored_query
 
 KEYS = ("symbol", "ts")
 
@@ -83,24 +84,34 @@ query("g23_fit_durations", lambda d: output(G.fit_durations(G.regime_runs(Series
 
 
 def timed(d):
-    """Rows with the time they have been in their regime, and the hazard and remaining life at it."""
-    s = Series(d)
-    rows = staged(labelled(d), {"turn": f"case when label is distinct from {s.lag('label')} then 1 else 0 end"}, {"run": f"sum(turn) {s.U}"}, {"time_in": "row_number() over (partition by symbol, run order by ts)"})
-    table = G.hazard_table(s, G.regime_runs(s, labelled(d)))
-    return f"(select r.symbol, r.ts, r.label, r.time_in, h.hazard, h.survival, h.residual from {rows} r left join {table} h on r.label = h.label and r.time_in = h.length)"
+    """Labelled bars with the time they have been in their regime, its length and the day it was known to be over."""
+    return P.timed_runs(Series(d), labelled(d))
 
 
-query("g24_duration_features", lambda d: output(timed(d), KEYS, ["hazard", "survival", "residual"], ["label", "time_in"]))
+stored_query("g24_duration_features", timed, lambda d, rows: output(P.duration_features(Series(d), rows), KEYS, ["hazard", "survival", "remaining"], ["label", "time_in"]))
+stored_query("g25_tv_transition", timed, lambda d, rows: output(P.transitions(d, Series(d), rows), (*KEYS, "to_label"), ["share", "p"], ["label", "time_in"]))
+stored_query("g34_transition_risk", timed, lambda d, rows: output(P.transition_risk(d, Series(d), rows), KEYS, ["hazard", "remaining", "percentile"], ["label", "time_in", "runs"]))
 query("g26_transition_matrix", lambda d: output(G.transition_matrix(Series(d), labelled(d)), ("from_label", "to_label"), ["share"], ["n"]))
-query("g25_tv_transition", lambda d: f"select symbol, ts, label, to_label, round(cast(case when label = to_label then 1 - hazard else hazard * share / nullif(1 - stay, 0) end as double), 6) as p from (select t.symbol, t.ts, t.label, m.to_label, m.share, t.hazard, coalesce(k.share, 0) as stay from {timed(d)} t join {G.transition_matrix(Series(d), labelled(d))} m on t.label = m.from_label left join {G.transition_matrix(Series(d), labelled(d))} k on t.label = k.from_label and k.from_label = k.to_label where t.hazard is not null) x")
 _bars("g27_bar_state", G.bar_state, [], ["state"])
+
+
 def stated(d):
     """Bars with their state code and the trend regime of the day."""
     return f"(select symbol, ts, close, state, trend as regime from {G.trend_regime(Series(d), G.bar_state(Series(d), views.bars(d)))} t)"
 
 
 query("g28_pattern_table", lambda d: output(G.pattern_table(Series(d), stated(d)), ("sequence", "regime"), ["p_up", "edge"], ["n"]))
-query("g29_pattern_predict", lambda d: output(G.pattern_lookup(Series(d), stated(d)), KEYS, ["p_up", "edge"], ["sequence", "support", "fallback", "signal"]))
+
+
+def sequenced(d):
+    """Rows with their sequence of states, their regime, and the next day, on which it is known whether they rose."""
+    s = Series(d)
+    return staged(G.sequences(s, stated(d)), {"next_ts": s.lead("ts")})
+
+
+#: The levels of `regimes.trend_regime`.
+TRENDS = (-1, 0, 1, 2, 3, 4)
+stored_query("g29_pattern_predict", sequenced, lambda d, rows: output(P.pattern_lookup(d, Series(d), rows, TRENDS), KEYS, ["p_up", "edge"], ["sequence", "support", "fallback", "signal"]))
 
 
 def forces(d):
@@ -116,6 +127,5 @@ def forces(d):
 query("g30_force_table", lambda d: output(forces(d), ("symbol", "ts", "force"), ["value", "share", "velocity"], ["strength"]))
 query("g32_slowdown_state", lambda d: f"select symbol, max(ts) as ts, round({d.last('ac_z', 'ts')}, 4) as ac_z, round({d.last('var_z', 'ts')}, 4) as var_z, case when {d.last('ac_z', 'ts')} > 1 and {d.last('var_z', 'ts')} > 1 then 'HIGH' when {d.last('ac_z', 'ts')} > 1 or {d.last('var_z', 'ts')} > 1 then 'ELEVATED' else 'NORMAL' end as state from {B.autocorr_warning(Series(d), views.returns(d))} a group by symbol")
 query("g33_parametric_hazard", lambda d: output(G.duration_hazards(d, G.fit_durations(G.regime_runs(Series(d), labelled(d)))), ("label", "t"), ["geometric", "weibull", "log_logistic", "negative_binomial"], [], 6))
-query("g34_transition_risk", lambda d: f"select symbol, label, time_in, round(cast(hazard as double), 6) as hazard, round(cast(residual as double), 6) as residual from (select *, row_number() over (partition by symbol order by ts desc) as k from {timed(d)} t) x where k = 1")
 query("g36_dynamics_snapshot", lambda d: f"select symbol, round({d.last('vol', 'ts')}, 5) as vol, round({d.last('vol_velocity', 'ts')}, 5) as vol_velocity, {d.last('vol_trend', 'ts')} as vol_trend from {B.vol_dynamics(Series(d), views.bars(d))} v group by symbol")
 query("g37_publishable_regime", lambda d: f"select symbol, max(ts) as ts, {d.last('trend', 'ts')} as trend, round({d.last('s20', 'ts')}, 5) as s20, round({d.last('strength', 'ts')}, 6) as strength from {G.trend_regime(Series(d), views.bars(d))} v group by symbol")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import DUCK, SPARK, Dialect, spark_sql
+from ..sources.shared import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,18 @@ def query(name: str, build: Callable[[Dialect], str]) -> None:
     ORACLES[name] = _named(build(DUCK))
 
 
+def stored_query(name: str, base: Callable[[Dialect], str], build: Callable[[Dialect, str], str]) -> None:
+    """Register a query over rows that it needs more than once: Spark writes them first, the checking engine holds them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = stored(relation(spark, sf_dir, base(SPARK)), name)
+        return spark_sql(spark, build(SPARK, "{rows}"), rows=rows)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = _named(f"with base_rows as materialized (select * from {base(DUCK)} b) {build(DUCK, 'base_rows')}")
+
+
 def native(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     """Register a query written with the DataFrame API, with its SQL if there is one."""
     QUERIES[name] = run

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import DUCK, SPARK, Dialect, Series, output
 from ..sources import files
+from ..sources.shared import new_path
 from . import views
 from .registry import native, query, relation
-from .stream_queries import shared_folder
 
 DAY = ("symbol", "ts")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def contracts(d: Dialect) -> str:
     """A traded contract of each tick: its code, price, size and time in nanoseconds."""
     right = "case when l_orderkey % 2 = 0 then 'C' else 'P' end"
@@ -41,7 +35,7 @@ def option_days(d: Dialect) -> str:
 
 def scan_option_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Option days written as gzip CSV, a folder a year with the day in each file's name, and read back by declared schema."""
-    path = _folder(spark, "option-days")
+    path = new_path(spark, "option-days")
     rows = relation(spark, sf_dir, option_days(SPARK))
     columns = ["ticker", "volume", "open", "close", "high", "low", "window_start", "transactions"]
     rows.select(F.year("day").alias("year"), F.col("day").cast("string").alias("day_"), *columns).repartition("year").write.partitionBy("year", "day_").option("header", True).option("compression", "gzip").csv(path)
@@ -59,7 +53,7 @@ def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_futures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as one file name for each symbol and timeframe, under other column names, and scanned by symbol."""
-    path = _folder(spark, "futures")
+    path = new_path(spark, "futures")
     bars = written_bars(spark, sf_dir)
     out = None
     for symbol in ("ECONOMY", "PROMO"):
@@ -76,7 +70,7 @@ query("s04_scan_many", lambda d: f"select symbol, ts, open, close from {views.ba
 
 def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars in a store of a folder a symbol and day, read back with the partition columns."""
-    path = _folder(spark, "partitioned")
+    path = new_path(spark, "partitioned")
     bars = written_bars(spark, sf_dir).withColumn("month", F.date_trunc("month", "ts"))
     files.write_partitioned(bars, path, day="month")
     return spark.read.schema("ts timestamp, close double, volume double, symbol string, date date").parquet(path).groupBy("symbol", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("closes"), F.sum("volume").alias("volume"))
@@ -87,7 +81,7 @@ native("s06_write_partitioned", partitioned, f"select symbol, cast(cast(date_tru
 
 def minute_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars of one kind of event, added to a store that has the first days: existing days are left out."""
-    path = _folder(spark, "minutes")
+    path = new_path(spark, "minutes")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'click'").select(F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
     order = F.struct("ts", "event_id")
     minutes = rows.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("n")).withColumns({"symbol": F.lit("click"), "date": F.to_date("minute")})
@@ -124,7 +118,7 @@ native("s10_load_macro", macro_series, f"select cast(date as varchar) as date, l
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event calendar written as CSV, one event for each day's largest order, and read back by declared schema."""
-    path = _folder(spark, "calendar")
+    path = new_path(spark, "calendar")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     top = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.max("o_totalprice").alias("value"), F.max_by("o_orderpriority", F.struct("o_totalprice", "o_orderkey")).alias("name"))
     top.select(F.col("day").cast("timestamp").alias("timestamp"), F.col("name").alias("event_name"), F.when(F.col("value") > 300000, "HIGH").when(F.col("value") > 200000, "MEDIUM").otherwise("LOW").alias("impact_level")).write.option("header", True).csv(path)
@@ -136,7 +130,7 @@ native("s11_load_calendar", calendar, "select cast(cast(o_orderdate as date) as
 
 def features_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features written to a folder a symbol and read back."""
-    path = _folder(spark, "features")
+    path = new_path(spark, "features")
     files.write_features(relation(spark, sf_dir, f"(select symbol, ts, round(r, 9) as r, volume from {views.returns(SPARK)} r where r is not null)"), path)
     return spark.read.schema("ts timestamp, r double, volume double, symbol string").parquet(path).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("r"), 5).alias("total"), F.countDistinct("ts").alias("days"))
 
@@ -146,7 +140,7 @@ native("s12_write_features", features_written, f"select symbol, count(*) as n, r
 
 def trade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades written as nested JSON records, and read back as a labelled row a day."""
-    path = _folder(spark, "trades")
+    path = new_path(spark, "trades")
     rows = relation(spark, sf_dir, views.paths(SPARK))
     one = F.struct(F.col("day").cast("int").alias("day"), "pnl", F.round("spot", 6).alias("spot"))
     nested = rows.groupBy("trade_id").agg(F.sort_array(F.collect_list(one)).alias("path")).withColumns({"entry": F.struct(F.element_at("path", 1)["spot"].alias("spot")), "exit": F.struct(F.element_at("path", -1)["pnl"].alias("final_pnl"), F.array_max(F.col("path.pnl")).alias("peak"))})

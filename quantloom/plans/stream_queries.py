@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
 from ..streaming import streams as T
 from .registry import native
 
@@ -28,20 +26,10 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one on one machine only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="streams-")
-    return base.rstrip("/")
-
-
 def _drained(df: DataFrame, mode: str) -> DataFrame:
     """The rows of a stream after it has read what is there; in complete mode, the last result."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
@@ -80,7 +68,7 @@ native(
 
 def warmed_up(spark: SparkSession, sf_dir: str, cut: str = "2024-01-15") -> DataFrame:
     """Means of the last twenty closes from the first streamed bar on, as the table was seeded from history."""
-    path = f"{shared_folder(spark)}/warm-{uuid.uuid4().hex}"
+    path = new_path(spark, "warm")
     columns = ("symbol", "ts", "event_id", "price")
     T.seed(_ticks(spark, sf_dir, False).select(*columns).filter(F.col("ts") < F.lit(cut)), path)
     live = _ticks(spark, sf_dir).select(*columns).filter(F.col("ts") >= F.lit(cut))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..frames import DUCK, SPARK, Series, output, spark_sql, staged
 from ..operators import bars as B
+from ..sources.shared import new_path
+from ..sources.store import KeyedTable
 from . import views
 from .flow_queries import labelled, vixed
-from .registry import native, query, tables
+from .registry import native, query, relation, tables
 
 D = "cast({} as double)"
 
@@ -40,6 +42,19 @@ def _flags(d) -> str:
     return f"array({parts})" if d.spark else f"[{parts}]"
 
 
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and kind, merged from a stream into a keyed table batch by batch; one batch comes twice."""
+    d = SPARK
+    ticks = relation(spark, sf_dir, views.events_ticks(d)).select("user_id", "symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price", "size")
+    feed = new_path(spark, "feed")
+    ticks.repartitionByRange(4, F.col("event_id") % 97).write.parquet(feed)
+    table = KeyedTable(spark, new_path(spark, "state"), ticks.schema, ("user_id", "symbol"), ("ts", "event_id"))
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    table.follow(stream, new_path(spark, "checkpoint"), "events").trigger(availableNow=True).start().awaitTermination()
+    table.merge(ticks, table.version()["done"].get("events"), "events")
+    return table.read().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 #: One vector in so many is a query.
 EVERY = 20
 #: Vectors, and queries, that are compared in one task.
@@ -110,6 +125,11 @@ query("s01_scan_bars", lambda d: f"select symbol, ts, open, high, low, close, vo
 query("s05_ingest_quality", lambda d: f"select symbol, ts, count(*) as ticks, {d.counts('price <= 0')} as bad_price, {d.counts('size <= 0')} as zero_size, {d.counts('jump > 0.5')} as jumps, case when {d.counts('price <= 0')} > 0.01 * count(*) then 1 else 0 end as rejected from (select *, abs(price / lag(price) over (partition by symbol order by ts, l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1) as jump from {views.ticks(d)} t) x group by symbol, ts")
 query("s08_coverage", lambda d: f"select symbol, min(ts) as first_ts, max(ts) as last_ts, count(distinct ts) as days, count(*) as ticks from {views.ticks(d)} t group by symbol")
 query("s14_latest_per_key", lambda d: f"select symbol, ts, close, volume from (select *, row_number() over (partition by symbol order by ts desc) as k from {views.bars(d)} b) x where k = 1")
+native(
+    "s14_upsert_state",
+    upserted,
+    "select user_id, symbol, ts, event_id, price, size from (select user_id, event_type as symbol, ts, event_id, value as price, cast(json_extract_string(props, '$.k') as double) as size, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from {events}) x where k = 1",
+)
 query("s16_day_slice", lambda d: f"select symbol, ts, close, k from (select *, row_number() over (partition by symbol order by ts desc) as k from {views.bars(d)} b where ts <= timestamp '2000-06-30') x where k <= 100")
 query("c01_parse_contract", lambda d: f"select code, {d.matches('code', 'O:([A-Z]+)[0-9]+[CP][0-9]+', 1)} as root, {d.matches('code', 'O:[A-Z]+[0-9]+([CP])[0-9]+', 1)} as opt, cast({d.matches('code', 'O:[A-Z]+[0-9]+[CP]([0-9]+)', 1)} as double) / 1000 as strike, cast(concat('20', substr({d.matches('code', 'O:[A-Z]+([0-9]+)[CP][0-9]+', 1)}, 1, 2)) as int) as year from (select concat('O:', upper(p_type), '240119', case when p_size % 2 = 0 then 'C' else 'P' end, lpad(cast(cast(p_retailprice * 1000 as bigint) as varchar(20)), 8, '0')) as code from {{part}}) x")
 query("c05_synthetic_quotes", lambda d: f"select symbol, ts, l_orderkey, l_linenumber, price, {_r('price * 0.99')} as bid, {_r('price * 1.01')} as ask, {_r('greatest(price - 0.5 * greatest(0.01, 0.02 * price), 0.005)')} as modelled_bid from {views.ticks(d)} t")

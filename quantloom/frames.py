@@ -62,6 +62,10 @@ class Dialect:
     def filter(self, a: str, v: str, body: str) -> str:
         return f"{'filter' if self.spark else 'list_filter'}({a}, {self.fn(v, body)})"
 
+    def fold(self, a: str, start: str, acc: str, v: str, body: str) -> str:
+        """Fold a list of doubles from the left."""
+        return f"aggregate({a}, cast({start} as double), ({acc}, {v}) -> {body})" if self.spark else f"list_reduce(list_prepend(cast({start} as double), {a}), lambda {acc}, {v}: {body})"
+
     def size(self, a: str) -> str:
         return f"size({a})" if self.spark else f"len({a})"
 

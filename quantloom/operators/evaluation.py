@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from ..frames import Dialect, Series, staged
+from . import tails
 from .flow import normal_cdf
 
 ONE = "cast(1 as double)"
@@ -23,35 +24,31 @@ def mixed(*parts: str) -> str:
     return f"(({once} % 65536) * 48271 + {once} * 31 + 12345) % 2147483647"
 
 
-def poisson_weight(u: str) -> str:
-    """How often a row is drawn in a resampling: a Poisson count of mean 1 from a uniform number."""
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    return "case " + " ".join(f"when {u} < {c} then {k}" for k, c in enumerate(steps)) + " else 6 end"
-
-
 def unpivot(source: str, keys: Sequence[str], features: Sequence[str]) -> str:
     """A row for each feature: the keys, feature and value."""
     return "(" + " union all ".join(f"select {', '.join(keys)}, '{f}' as feature, cast({f} as double) as value from {source} u{k}" for k, f in enumerate(features)) + ")"
 
 
-def permutation_test(d: Dialect, source: str, key: str = "symbol", seeds: int = 50) -> str:
-    """Share of shuffles of the outcomes whose mean product with the signal is at least the observed one.
+def rule_counts(source: str, key: str = "symbol") -> str:
+    """True and false alarms and misses of a rule by key.  source: key, hit and label (0 or 1)."""
+    count = lambda h, y: f"sum(case when hit = {h} and label = {y} then 1 else 0 end)"
+    return f"(select {key}, {count(1, 1)} as tp, {count(1, 0)} as fp, {count(0, 1)} as fn, {count(0, 0)} as tn from {source} s where hit is not null and label is not null group by {key})"
+
+
+def permutation_test(d: Dialect, source: str, key: str = "symbol") -> str:
+    """Share of all permutations of the labels in which the rule has as many true over false alarms as it has, and what they have on average.
 
-    source: key, i (a row's number in its key), signal, outcome.  A shuffle orders the rows by mixed numbers.
+    source: key, hit and label (0 or 1).
     """
-    rows = f"(select *, {d.explode(d.series('1', str(seeds)), 'seed')} from {source} s)"
-    placed = f"(select {key}, seed, signal, row_number() over (partition by {key}, seed order by {mixed('i', 'seed')}, i) as place from {rows} r)"
-    shuffled = f"(select p.{key}, p.seed, avg(p.signal * o.outcome) as statistic from {placed} p join {source} o on p.{key} = o.{key} and p.place = o.i group by p.{key}, p.seed)"
-    seen = f"(select {key}, avg(signal * outcome) as observed, count(*) as n from {source} s group by {key})"
-    return f"(select v.{key}, min(v.observed) as observed, min(v.n) as n, avg(case when h.statistic >= v.observed then {ONE} else 0 end) as p_value, avg(h.statistic) as expected from {seen} v join {shuffled} h on v.{key} = h.{key} group by v.{key})"
+    rows = tails.permutation_tail(d, rule_counts(source, key), "p_value", "tp", "fp", "fn", "tn")
+    return staged(rows, {"observed": "tp - fp", "n": "tp + fp + fn + tn", "expected": f"{ONE} * (tp + fp) * (tp + fn - fp - tn) / (tp + fp + fn + tn)"})
 
 
-def bootstrap(d: Dialect, source: str, key: str = "symbol", seeds: int = 100) -> str:
-    """Fifth percentile, median and spread of the mean over resamplings.  source: key, i, outcome."""
-    rows = f"(select *, {d.explode(d.series('1', str(seeds)), 'seed')} from {source} s)"
-    weighted = f"(select {key}, seed, outcome, {poisson_weight(f'({mixed("i", "seed")}) / cast(2147483647 as double)')} as w from {rows} r)"
-    means = f"(select {key}, seed, sum(w * outcome) / nullif(sum(w), 0) as mean from {weighted} x group by {key}, seed)"
-    return f"(select {key}, {d.quantile('mean', 0.05)} as low, {d.quantile('mean', 0.5)} as middle, stddev_samp(mean) as spread from {means} m group by {key})"
+def bootstrap(d: Dialect, source: str, key: str = "symbol") -> str:
+    """Of resampled true over false alarms: the fifth percentile, the median, the deviation, and how often they aren't above zero.  source: as above."""
+    counts = rule_counts(source, key)
+    parts = [tails.resampled_quantile(d, counts, key, 0.05), tails.resampled_quantile(d, counts, key, 0.5), tails.resampled_tail(d, counts, key)]
+    return f"(select c.{key}, c.tp, c.fp, sqrt({ONE} * (c.tp + c.fp)) as spread, l.low, m.low as middle, b.p_below from {counts} c join {parts[0]} l on c.{key} = l.{key} join {parts[1]} m on c.{key} = m.{key} join {parts[2]} b on c.{key} = b.{key})"
 
 
 PERCENTILES = tuple(range(10, 100, 10))
@@ -75,13 +72,13 @@ def confusion(long: str, limits: str, by: Sequence[str]) -> str:
     return f"(select {plain}, pct, direction, min(threshold) as threshold, {count(1, 1)} as tp, {count(1, 0)} as fp, {count(0, 1)} as fn, {count(0, 0)} as tn from (select *, {hit} as hit from {both} b) h group by {plain}, pct, direction)"
 
 
-def rule_search(d: Dialect, source: str, features: Sequence[str], net: float = 0.1, seeds: int = 20) -> str:
+def rule_search(d: Dialect, source: str, features: Sequence[str], net: float = 0.1) -> str:
     """Rules of one feature, percentile and direction with seven gates.  source: i, year_, label, and the features.
 
     G1 more true than false alarms; G2 a net benefit; G3 the first in every year of five rows or more, by the year's own
-    percentile; G4 neighbouring percentiles have the same sign; G5 the fifth percentile of resampled benefits is above
-    zero; G6 few shuffles of the labels do as well; G7 ten rows of either label.  The last two tests run for those rules
-    only that pass the others.
+    percentile; G4 neighbouring percentiles have the same sign; G5 fewer than a twentieth of all resamplings leave no
+    benefit; G6 fewer than a twentieth of all permutations of the labels do as well; G7 ten rows of either label.  G5 and
+    G6 come from the rules' counts; G5 is asked of those rules only that pass G1, G2, G4 and G7.
     """
     long = unpivot(source, ("i", "year_", "label"), features)
     rules = confusion(long, thresholds(d, long, ("feature",)), ("feature",))
@@ -92,37 +89,65 @@ def rule_search(d: Dialect, source: str, features: Sequence[str], net: float = 0
     gates = f"""(select r.*, y.g3, case when tp >= fp then 1 else 0 end as g1, case when tp + fp > 0 and cast(gain as double) / nullif(tp + fp, 0) >= {net} then 1 else 0 end as g2,
       case when coalesce(before, sign(gain)) = sign(gain) and coalesce(after, sign(gain)) = sign(gain) then 1 else 0 end as g4, case when tp + fn >= 10 and fp + tn >= 10 then 1 else 0 end as g7
       from {near} r join {years} y on r.feature = y.feature and r.pct = y.pct and r.direction = y.direction)"""
-    passed = f"(select * from {gates} g where g1 = 1 and g2 = 1 and g4 = 1 and g7 = 1)"
-    hits = f"(select p.feature, p.pct, p.direction, p.gain, l.i, l.label, case when p.direction = 'below' then case when l.value <= p.threshold then 1 else 0 end else case when l.value >= p.threshold then 1 else 0 end end as hit from {passed} p join {long} l on p.feature = l.feature where l.value is not null)"
-    drawn = f"(select *, {d.explode(d.series('1', str(seeds)), 'seed')} from {hits} h)"
+    tested = tails.permutation_tail(d, gates, "p_value", "tp", "fp", "fn", "tn")
     rule = "feature, pct, direction"
-    weight = poisson_weight(f"({mixed('i', 'seed')}) / cast(2147483647 as double)")
-    resampled = f"(select {rule}, seed, sum(hit * (2 * label - 1) * ({weight})) as net from {drawn} w group by {rule}, seed)"
-    low = f"(select {rule}, {d.quantile('net', 0.05)} as low from {resampled} s group by {rule})"
-    # shuffled labels: a row takes the label of the row whose place it has in a mixed order
-    order = f"(select {rule}, seed, gain, hit, row_number() over (partition by {rule}, seed order by {mixed('i', 'seed')}, i) as place from {drawn} m)"
-    labels = f"(select {rule}, label, row_number() over (partition by {rule} order by i) as place from {hits} h)"
-    shuffles = f"(select o.feature, o.pct, o.direction, o.seed, min(o.gain) as gain, sum(o.hit * (2 * n.label - 1)) as net from {order} o join {labels} n on o.feature = n.feature and o.pct = n.pct and o.direction = n.direction and o.place = n.place group by o.feature, o.pct, o.direction, o.seed)"
-    beaten = f"(select {rule}, avg(case when net >= gain then {ONE} else 0 end) as p_value from {shuffles} z group by {rule})"
-    joined = f"(select g.*, l.low, b.p_value from {gates} g left join {low} l on g.feature = l.feature and g.pct = l.pct and g.direction = l.direction left join {beaten} b on g.feature = b.feature and g.pct = b.pct and g.direction = b.direction)"
-    return staged(joined, {"g5": "case when low > 0 then 1 else 0 end", "g6": "case when p_value < 0.05 then 1 else 0 end"}, {"gates": "g1 + g2 + g3 + g4 + g5 + g6 + g7"})
-
-
-def group_tests(source: str, keys: Sequence[str], features: Sequence[str], least: int = 5) -> str:
+    passed = f"(select {rule}, tp, fp from {gates} g where g1 = 1 and g2 = 1 and g4 = 1 and g7 = 1)"
+    low = tails.resampled_tail(d, passed, rule)
+    joined = f"(select g.*, l.p_below from {tested} g left join {low} l on g.feature = l.feature and g.pct = l.pct and g.direction = l.direction)"
+    return staged(joined, {"g5": "case when p_below < 0.05 then 1 else 0 end", "g6": "case when p_value < 0.05 then 1 else 0 end"}, {"gates": "g1 + g2 + g3 + g4 + g5 + g6 + g7"})
+
+
+def group_tests(d: Dialect, source: str, keys: Sequence[str], features: Sequence[str], least: int = 5) -> str:
     """t, p and effect size of each feature between winners and losers.  source: keys, winner (0 or 1), the features."""
     k = ", ".join(keys)
     long = unpivot(source, (*keys, "winner"), features)
     side = lambda f, w: f"{f}(case when winner = {w} then value end)"
     base = f"(select {k}, feature, {side('count', 1)} as n1, {side('count', 0)} as n0, {side('avg', 1)} as m1, {side('avg', 0)} as m0, {side('var_samp', 1)} as v1, {side('var_samp', 0)} as v0 from {long} l group by {k}, feature)"
-    return staged(
+    rows = staged(
         f"(select * from {base} b where n1 >= {least} and n0 >= {least})",
         {"pooled": "((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)", "tests": f"count(*) over (partition by {k})"},
         {"t": "(m1 - m0) / nullif(sqrt(pooled * (cast(1 as double) / n1 + cast(1 as double) / n0)), 0)", "effect": "(m1 - m0) / nullif(sqrt(pooled), 0)"},
-        {"p": two_sided("t")},
+    )
+    return staged(
+        tails.t_tail(d, rows, "p", "t", "n1 + n0 - 2"),
         {"significant": "case when p < 0.05 / tests and abs(effect) > 0.3 then 1 else 0 end", "rank_": f"row_number() over (partition by {k} order by round(abs(effect), 9) desc, feature)"},
     )
 
 
+def welch(d: Dialect, source: str, name: str, a: str, b: str) -> str:
+    """Adds `name`, its degrees of freedom and its p-value: Welch's t of two groups.  a, b: prefixes of columns n, mean and var."""
+    se = lambda x: f"{x}_var / {x}_n"
+    rows = staged(
+        source,
+        {f"{name}_se": f"{se(a)} + {se(b)}"},
+        {name: f"({a}_mean - {b}_mean) / nullif(sqrt({name}_se), 0)", f"{name}_df": f"{name}_se * {name}_se / nullif(power({se(a)}, 2) / ({a}_n - 1) + power({se(b)}, 2) / ({b}_n - 1), 0)"},
+    )
+    return tails.t_tail(d, rows, f"{name}_p", name, f"{name}_df")
+
+
+LEVELS = tuple(range(20, 81, 5))
+
+
+def threshold_search(d: Dialect, source: str, key: str = "symbol", least: int = 20, factor: float = 0.5) -> str:
+    """Each percentile of x as a threshold of y's mean: Welch's t of the rows above against the rest, and the best one in either direction.
+
+    source: key, x, y.  Rows are counted once, into the bins between thresholds; the sides of a threshold are sums of bins.
+    `best_above` and `best_below` mark a key's least p-value where the mean is higher above, or at and below; `exit_level` is
+    the threshold scaled by 1 - `factor`.  Sides of fewer than `least` rows count for nothing.
+    """
+    rows = f"(select {key}, cast(x as double) as x, cast(y as double) as y from {source} s where x is not null and y is not null)"
+    cuts = f"(select {key}, {', '.join(f'{d.quantile("x", p / 100)} as c{p}' for p in LEVELS)}, avg(y) as centre from {rows} q group by {key})"
+    bins = f"(select r.{key}, {' + '.join(f'case when r.x > c.c{p} then 1 else 0 end' for p in LEVELS)} as bin, r.y - c.centre as y from {rows} r join {cuts} c on r.{key} = c.{key})"
+    sums = f"(select {key}, bin, count(*) as n, sum(y) as s, sum(y * y) as ss from {bins} b group by {key}, bin)"
+    levels = " union all ".join(f"select {key}, {p} as p, {k} as bin, c{p} as threshold, centre from {cuts} l{p}" for k, p in enumerate(LEVELS))
+    side = lambda x, test: f"sum(case when m.bin {test} l.bin then m.{x} else 0 end)"
+    sides = f"(select l.{key}, l.p, l.threshold, l.centre, {', '.join(f'{side(x, t)} as {g}_{x}' for g, t in (('high', '>'), ('low', '<=')) for x in ('n', 's', 'ss'))} from ({levels}) l join {sums} m on l.{key} = m.{key} group by l.{key}, l.p, l.threshold, l.centre)"
+    stats = staged(f"(select * from {sides} z where high_n >= {least} and low_n >= {least})", {f"{g}_mean": f"{g}_s / {g}_n" for g in ("high", "low")} | {f"{g}_var": f"greatest({g}_ss - {g}_s * {g}_s / {g}_n, 0) / ({g}_n - 1)" for g in ("high", "low")})
+    tested = welch(d, stats, "t", "high", "low")
+    first = lambda sign: f"case when t {sign} 0 and row_number() over (partition by {key}, sign(t) order by round(t_p, 12), p) = 1 then 1 else 0 end"
+    return staged(tested, {"best_above": first(">"), "best_below": first("<"), "exit_level": f"threshold * {1 - factor}", "high_average": "high_mean + centre", "low_average": "low_mean + centre"})
+
+
 def mutual_information(source: str, features: Sequence[str], bins: int = 10) -> str:
     """Mutual information, in bits, of each feature in equal-count bins with a target.  source: i, target, the features."""
     long = unpivot(source, ("i", "target"), features)

@@ -62,8 +62,13 @@ def signalled(d: Dialect) -> str:
     return f"(select symbol, row_number() over (partition by symbol order by ts) as i, before as signal, r as outcome from {rows} x where before is not null)"
 
 
-query("e30_permutation_test", lambda d: output(E.permutation_test(d, signalled(d)), ("symbol",), ["observed", "expected", "p_value"], ["n"], 7))
-query("e31_bootstrap", lambda d: output(E.bootstrap(d, f"(select symbol, i, signal * outcome as outcome from {signalled(d)} s)"), ("symbol",), ["low", "middle", "spread"], [], 6))
+def hit_or_miss(d: Dialect) -> str:
+    """Whether yesterday's momentum was up, and whether the return was."""
+    return f"(select symbol, case when signal > 0 then 1 else 0 end as hit, case when outcome > 0 then 1 else 0 end as label from {signalled(d)} h0)"
+
+
+query("e30_permutation_test", lambda d: output(E.permutation_test(d, hit_or_miss(d)), ("symbol",), ["expected", "p_value"], ["observed", "n", "tp", "fp", "fn", "tn"], 7))
+query("e31_bootstrap", lambda d: output(E.bootstrap(d, hit_or_miss(d)), ("symbol",), ["spread", "p_below"], ["tp", "fp", "low", "middle"], 6))
 
 
 def noise(d: Dialect, paths: int = 20) -> str:
@@ -98,8 +103,8 @@ def entries(d: Dialect) -> str:
 
 
 ENTRY = ("spot", "first_pnl", "day_of_month", "month_")
-query("e32_rule_search", lambda d: output(E.rule_search(d, entries(d), ("spot", "first_pnl", "month_")), ("feature", "pct", "direction"), ["threshold"], ["tp", "fp", "fn", "tn", "g1", "g2", "g3", "g4", "g5", "g6", "g7", "gates"], 5))
-query("e33_winner_loser_tests", lambda d: output(f"(select * from {E.group_tests(entries(d), ('profile',), ENTRY)} t where rank_ <= 3)", ("profile", "feature"), ["m1", "m0", "t", "p", "effect"], ["n1", "n0", "significant", "rank_"], 5))
+query("e32_rule_search", lambda d: output(E.rule_search(d, entries(d), ("spot", "first_pnl", "month_")), ("feature", "pct", "direction"), ["threshold", "p_value", "p_below"], ["tp", "fp", "fn", "tn", "g1", "g2", "g3", "g4", "g5", "g6", "g7", "gates"], 5))
+query("e33_winner_loser_tests", lambda d: output(f"(select * from {E.group_tests(d, entries(d), ('profile',), ENTRY)} t where rank_ <= 3)", ("profile", "feature"), ["m1", "m0", "t", "p", "effect"], ["n1", "n0", "significant", "rank_"], 5))
 
 
 def two_rules(d: Dialect) -> str:

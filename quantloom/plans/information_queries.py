@@ -10,6 +10,7 @@ from ..frames import DUCK, SPARK, Dialect, Series, output, spark_sql, staged
 from ..operators import bars as B
 from ..operators import information as I
 from ..operators import recursions as R
+from ..operators import tails
 from . import views
 from .more_queries import pairs
 from .registry import bound, native, query, relation
@@ -41,7 +42,7 @@ def shaped(d: Dialect, window: int = 60) -> str:
 
 query("i12_shape_velocity", lambda d: output(I.shape_velocity(Series(d), shaped(d)), DAY, ["skew_velocity", "kurtosis_velocity", "transition"], ["direction"]))
 query("i08_js_divergence", lambda d: output(I.pair_divergence(d, f"(select distinct a, b from {pairs(d)} z)", returned(d)), ("a", "b"), ["js"]))
-query("i23_granger", lambda d: output(I.granger(f"(select a, b, ts, ra, rb from {pairs(d)} p union all select b as a, a as b, ts, rb as ra, ra as rb from {pairs(d)} q)", Series(d, ("a", "b"))), ("a", "b"), ["f"], ["n"], 4))
+query("i23_granger", lambda d: output(tails.f_tail(d, I.granger(f"(select a, b, ts, ra, rb from {pairs(d)} p union all select b as a, a as b, ts, rb as ra, ra as rb from {pairs(d)} q)", Series(d, ("a", "b"))), "p", "f", "5", "n - 11"), ("a", "b"), ["f", "p"], ["n"], 4))
 
 
 def profile(d: Dialect, bins: int = 10) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frames import DUCK, SPARK, Series, output, spark_sql, staged
 from ..operators import bars as B
+from ..operators import evaluation as E
 from ..sources.shared import new_path
 from ..sources.store import KeyedTable
 from . import views
@@ -195,15 +196,11 @@ query("e03_lookahead_check", lambda d: f"select symbol, {_r('early')} as early,
 
 
 def threshold_search(d) -> str:
-    """Welch t of next returns above and below each percentile of today's return, all thresholds in one pass."""
-    base = f"(select symbol, r, lead(r) over (partition by symbol order by ts) as nxt from {views.returns(d)} x)"
-    levels = d.explode("array(" + ", ".join(str(p) for p in range(20, 81, 5)) + ")" if d.spark else "[" + ", ".join(str(p) for p in range(20, 81, 5)) + "]", "p")
-    ranked = f"(select symbol, nxt, ntile(100) over (partition by symbol order by r) as pct from {base} b where r is not null and nxt is not null)"
-    grid = f"(select symbol, nxt, pct, {levels} from {ranked} q)"
-    return f"(select symbol, p, {d.counts('pct > p')} as high_n, avg(case when pct > p then nxt end) as high_mean, avg(case when pct <= p then nxt end) as low_mean, var_samp(case when pct > p then nxt end) as hv, var_samp(case when pct <= p then nxt end) as lv, {d.counts('pct <= p')} as low_n from {grid} g group by symbol, p)"
+    """Today's return as a factor of the next one's."""
+    return E.threshold_search(d, f"(select symbol, round(r, 9) as x, lead(r) over (partition by symbol order by ts) as y from {views.returns(d)} x)")
 
 
-query("e04_threshold_search", lambda d: f"select symbol, p, high_n, low_n, {_r('high_mean')} as high_mean, {_r('low_mean')} as low_mean, {_r('(high_mean - low_mean) / nullif(sqrt(hv / high_n + lv / low_n), 0)', 5)} as t from {threshold_search(d)} x")
+query("e04_threshold_search", lambda d: output(threshold_search(d), ("symbol", "p"), ["threshold", "high_average", "low_average", "t", "t_df", "t_p", "exit_level"], ["high_n", "low_n", "best_above", "best_below"], 5))
 query("e06_hysteresis_signals", lambda d: output(staged(B.rsi(Series(d), views.bars(d)), {"signal": f"coalesce({d.last_seen('case when rsi_14 < 40 then 1 when rsi_14 > 60 then 0 end')} {Series(d).U}, 0)"}), ("symbol", "ts"), ["rsi_14"], ["signal"], 4))
 query("e09_three_set_split", lambda d: f"select symbol, ts, case when year(ts) = 2001 then 'holdout' when month(ts) % 2 = 1 then 'train' else 'test' end as part, case when row_number() over (partition by symbol, date_trunc('month', ts) order by ts) <= 2 then 1 else 0 end as embargo from {views.bars(d)} b")
 query("e10_trades_from_signals", lambda d: f"select symbol, trade, min(ts) as entry_ts, max(ts) as exit_ts, count(*) as days_held, {_r('exp(sum(ln(1 + strategy_return))) - 1')} as pnl from (select *, sum(case when position = 1 and coalesce(was, 0) = 0 then 1 else 0 end) over (partition by symbol order by ts rows between unbounded preceding and current row) as trade_no from (select symbol, ts, position, strategy_return, lag(position) over (partition by symbol order by ts) as was from {B.momentum_backtest(Series(d), views.bars(d))} m) x) y where position = 1 group by symbol, trade_no".replace("symbol, trade, min", "symbol, trade_no, min"))

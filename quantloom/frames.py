@@ -168,11 +168,6 @@ class Series:
         less, same = d.size(d.filter(a, "v", f"v < {x}")), d.size(d.filter(a, "v", f"v = {x}"))
         return f"case when count({x}) {self.R(n)} = {n} then 2 * {less} + {same} + 1 end"
 
-    def share(self, x: str, n: int, sign: str = "<=") -> str:
-        """Share of the values in the last n rows, as far as there are any, that are below the row's, or not above it."""
-        d, a = self.d, f"{self.d.collect(x)} {self.R(n)}"
-        return f"cast({d.size(d.filter(a, 'v', f'v {sign} {x}'))} as double) / count({x}) {self.R(n)}"
-
     def pct_rank(self, x: str, n: int) -> str:
         """Average rank of the frame's last value, as a share of n."""
         return f"({self.twice_rank(x, n)}) / cast({2 * n} as double)"

@@ -261,15 +261,9 @@ def mtf_momentum(s: Series, source: str) -> str:
     )
 
 
-def volatility_report(s: Series, source: str, n: int = 20, history: int = 252) -> str:
-    """Rolling volatility, the share of the last year below it, and a five-level label."""
-    return staged(
-        source,
-        {"lr": f"ln(close / {s.lag('close')})"},
-        {"vol": f"{s.roll('stddev_samp', 'lr', n)} * sqrt(252.0)"},
-        {"percentile": f"case when vol is not null then 100.0 * ({s.share('vol', history, '<')}) end"},
-        {"label": "case when percentile is null then null when percentile >= 90 then 'extreme' when percentile >= 75 then 'high' when percentile >= 25 then 'normal' when percentile >= 10 then 'low' else 'very_low' end"},
-    )
+def rolling_vol(s: Series, source: str, n: int = 20) -> str:
+    """Annualised deviation of the last n log returns."""
+    return staged(source, {"lr": f"ln(close / {s.lag('close')})"}, {"vol": f"{s.roll('stddev_samp', 'lr', n)} * sqrt(252.0)"})
 
 
 def vol_dynamics(s: Series, source: str) -> str:

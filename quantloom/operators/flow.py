@@ -53,11 +53,6 @@ def vpin_buckets(s: Series, source: str, size: float, n: int = 50) -> str:
     return staged(sums, {"imbalance": "abs(buy - sell) / volume"}, {"vpin": over.roll("avg", "imbalance", n, least=1)})
 
 
-def vpin_cdf(s: Series, source: str, x: str = "vpin", history: int = 252) -> str:
-    """Share of the last year's values, this one included, that don't exceed the current value."""
-    return staged(source, {"vpin_cdf": s.share(x, history)})
-
-
 def price_impact(s: Series, source: str, n: int = 100, least: int = 50) -> str:
     """Regression of returns on signed root volume over the rows before: slope, fit and t."""
     return staged(

@@ -41,7 +41,6 @@ _bars("b23_pivots", B.pivots, ["pivot_level", "r1", "s1", "r2", "s2", "from_pivo
 _bars("b24_structure", B.structure, ["resistance", "support"], ["hh", "hl", "lh", "ll", "up_score", "down_score", "breakout_up", "breakout_down"])
 _bars("b26_momentum_scores", B.momentum_scores, ["v_12", "v_60", "v_240", "accel_12", "signed_12", "composite", "power"], ["state", "run_length"], digits=5)
 _bars("b28_mtf_momentum", B.mtf_momentum, ["short", "medium", "long"], ["alignment", "full_bull", "full_bear", "divergence"])
-_bars("b31_volatility_report", B.volatility_report, ["vol", "percentile"], ["label"], digits=4)
 _bars("b37_vol_dynamics", B.vol_dynamics, ["vol", "vol_velocity"], ["vol_trend"], digits=5)
 _bars("b38_ou_fit", B.ou_fit, ["beta", "kappa", "half_life"], digits=4)
 _bars("b39_autocorr_warning", B.autocorr_warning, ["ac1", "var60", "ac_z", "var_z"], ["warning"], digits=4, source=views.returns)

@@ -31,7 +31,6 @@ _chain("a14_vol_surface", lambda d, c: A.vol_surface(c), ("symbol", "ts", "dte")
 _chain("a15_chain_features", lambda d, c: A.chain_features(d, c), DAY, ["put_call", "straddle", "implied", "term_ratio"])
 _chain("a32_wall_table", lambda d, c: A.wall_table(c), ("symbol", "ts", "kind", "rank_"), ["strike", "strength", "distance"])
 _chain("o23_pinning", lambda d, c: f"(select symbol, ts, strike, greatest(0, 1 - abs(strike / spot - 1) / 0.05) * cast(sum(oi) as double) / sum(sum(oi)) over (partition by symbol, ts) * least(1, 7.0 / min(dte)) as pin from {c} c group by symbol, ts, spot, strike)", ("symbol", "ts", "strike"), ["pin"])
-_chain("o22_nope_signal", lambda d, c: staged(f"(select symbol, ts, round(nope, 9) as nope from {A.nope(c)} n)", {"share": Series(d).share("nope", 252)}, {"signal": "case when share >= 0.9 then 1 when share <= 0.1 then -1 else 0 end"}), DAY, ["nope", "share"], ["signal"])
 _chain("g08_put_call", lambda d, c: staged(A.chain_features(d, c), {"velocity": f"put_call - {Series(d).lag('put_call')}", "flag": "case when put_call > 1.2 then 1 when put_call < 0.7 then -1 else 0 end"}), DAY, ["put_call", "velocity"], ["flag"])
 _chain("g35_exposure_dynamics", lambda d, c: staged(A.exposure_totals(c), {"velocity": f"net_gex - {Series(d).lag('net_gex')}"}, {"acceleration": f"velocity - {Series(d).lag('velocity')}"}), DAY, ["velocity", "acceleration"], digits=3)
 _chain("t11_flip_events", lambda d, c: f"(select * from {staged(A.exposure_totals(c), {'side': "case when net_vex >= 0 then 'LONG' else 'SHORT' end"}, {'was': Series(d).lag('side')})} x where side <> was)", DAY, ["net_vex"], ["was", "side"], 3)

@@ -33,7 +33,6 @@ _ticks("o01_tick_sign", O.tick_sign, [], ["tick_sign"])
 _bars("o03_bulk_volume", O.bulk_volume, ["buy_share", "buy_volume", "sell_volume"])
 query("o04_volume_buckets", lambda d: output(O.vpin_buckets(Series(d), views.bars(d), 2000.0), ("symbol", "bucket"), ["buy", "sell", "volume", "imbalance"], ["ts"], 5))
 query("o05_vpin", lambda d: output(O.vpin_buckets(Series(d), views.bars(d), 2000.0), ("symbol", "bucket"), ["vpin"], ["ts"], 6))
-query("o07_vpin_cdf", lambda d: output(O.vpin_cdf(Series(d, order=("bucket",)), f"(select symbol, bucket, ts, round(vpin, 9) as vpin from {O.vpin_buckets(Series(d), views.bars(d), 2000.0)} v)"), ("symbol", "bucket"), ["vpin_cdf"], [], 6))
 query("o06_vpin_alert", lambda d: output(staged(f"(select symbol, bucket, round(vpin, 9) as vpin from {O.vpin_buckets(Series(d), views.bars(d), 500.0)} v)", {"vpin_rank": Series(d, order=("bucket",)).pct_rank("vpin", 252)}, {"alert": "case when vpin_rank > 0.9 then 1 else 0 end"}), ("symbol", "bucket"), ["vpin", "vpin_rank"], ["alert"]))
 _bars("o08_price_impact", O.price_impact, ["impact", "fit", "impact_t"], ["n"])
 _bars("o09_impact_ratio", O.impact_ratio, ["impact_ratio"], digits=8)

@@ -8,7 +8,7 @@ from ..operators import chains as A
 from . import views
 from .flow_queries import labelled
 from .registry import query
-from .table_queries import PERF, _r, _recall, performance, ret
+from .table_queries import PERF, _r, performance, ret
 
 ONE = "cast(1 as double)"
 
@@ -117,7 +117,6 @@ query("e66_concentration", lambda d: f"select l_returnflag as grp, {_r('cast(sum
 query("e64_position_greeks", lambda d: f"select symbol, ts, {_r('sum(case when opt = ' + chr(39) + 'C' + chr(39) + ' then delta else -delta end)', 5)} as net_delta, {_r('sum(gamma)', 8)} as net_gamma, {_r('sum(theta)', 5)} as net_theta from {A.greeks(views.chain(d))} g where dte = 30 group by symbol, ts")
 
 # ---- recall and ordering
-_recall("r04_similar", 10, lambda d, top: f"select q, vec_id, similarity from {top} t where similarity > 0.2")
 query("r07_provenance", lambda d: "select conv_id, turn, role, length(text) as n from (select *, row_number() over (partition by conv_id order by turn desc) as k from {conversations}) c where k <= 2")
 query("z02_topk_edge", lambda d: f"select symbol, ts, {_r('r')} as r from {views.returns(d)} x where r is not null order by round(abs(x.r), 9) desc, symbol, ts limit 25")
 query("z03_first_rule", lambda d: f"select symbol, ts, case when r > 0.5 then 'spike' when r < -0.3 then 'drop' when volume > 150 then 'busy' else 'none' end as rule from {views.returns(d)} x")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import DUCK, SPARK, Series, output, spark_sql, staged
+from ..frames import SPARK, Series, output, staged
 from ..operators import bars as B
 from ..operators import evaluation as E
 from ..sources.shared import new_path
 from ..sources.store import KeyedTable
 from . import views
 from .flow_queries import labelled, vixed
-from .registry import native, query, relation, tables
+from .registry import native, query, relation
 
 D = "cast({} as double)"
 
@@ -45,8 +43,7 @@ def _flags(d) -> str:
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and kind, merged from a stream into a keyed table batch by batch; one batch comes twice."""
-    d = SPARK
-    ticks = relation(spark, sf_dir, views.events_ticks(d)).select("user_id", "symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price", "size")
+    ticks = relation(spark, sf_dir, views.events_ticks(SPARK)).select("user_id", "symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price", "size")
     feed = new_path(spark, "feed")
     ticks.repartitionByRange(4, F.col("event_id") % 97).write.parquet(feed)
     table = KeyedTable(spark, new_path(spark, "state"), ticks.schema, ("user_id", "symbol"), ("ts", "event_id"))
@@ -56,71 +53,6 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-#: One vector in so many is a query.
-EVERY = 20
-#: Vectors, and queries, that are compared in one task.
-BLOCK = 8192
-
-
-def _topk(d, k: int = 5) -> str:
-    """The k nearest vectors of each query by cosine; ties by id."""
-    dot = lambda a, b: f"list_dot_product({a}::double[], {b}::double[])"
-    pair = f"(select a.vec_id as q, b.vec_id, {dot('a.embedding', 'b.embedding')} / sqrt({dot('a.embedding', 'a.embedding')} * {dot('b.embedding', 'b.embedding')}) as similarity from (select vec_id, embedding from {{embeddings}} where vec_id % {EVERY} = 0) a join {{embeddings}} b on a.vec_id <> b.vec_id)"
-    return f"(select q, vec_id, round(similarity, 6) as similarity, k from (select *, row_number() over (partition by q order by round(similarity, 6) desc, vec_id) as k from {pair} p) x where k <= {k})"
-
-
-def topk(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The rows of `_topk`: blocks of queries meet blocks of vectors, and their best are ranked again."""
-
-    def nearest(table: pa.Table) -> pa.Table:
-        v = np.asarray(table.column("embedding").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
-        ids, asks = np.asarray(table.column("vec_id")), np.asarray(table.column("asks"))
-        size = np.sqrt(np.einsum("ij,ij->i", v, v))
-        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for a in range(0, len(mine), 256):
-            q = mine[a : a + 256]
-            s = v[q] @ v[others].T / (size[q][:, None] * size[others])
-            s[ids[q][:, None] == ids[others]] = -np.inf
-            least = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(q), 1), -2.0)
-            i, j = np.nonzero((s >= least - 2e-6) & (s > -np.inf))  # equal after rounding stays
-            found.append((ids[q[i]], ids[others[j]], s[i, j]))
-        return pa.table(dict(zip(("q", "vec_id", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    rows = vectors.select("vec_id", "embedding").filter("vec_id is not null and embedding is not null")
-    blocks = 1 + rows.count() // block
-    asked = 1 + blocks // EVERY
-    salt = F.xxhash64("vec_id")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.filter(F.col("vec_id") % EVERY == 0).select(F.pmod(salt, F.lit(asked)).cast("int").alias("a"), each(blocks).alias("b"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    right = rows.select(each(asked).alias("a"), F.pmod(salt, F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    near = left.unionByName(right).groupBy("a", "b").applyInArrow(nearest, "q long, vec_id long, similarity double")
-    near = near.withColumn("similarity", F.round("similarity", 6))
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("k") <= k)
-
-
-def _recall(name: str, k: int, build) -> None:
-    """Register a query over the k nearest vectors: build(dialect, relation of them) gives the SQL."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = build(SPARK, "{topk}")
-        return spark_sql(spark, sql, **tables(spark, sf_dir, sql), topk=topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k))
-
-    run.__name__ = name
-    native(name, run, build(DUCK, _topk(DUCK, k)).replace("{embeddings}", "embeddings").replace("{documents}", "documents"))
-
-
-def _bm25(d, k: int = 10) -> str:
-    """BM25 of three query terms over all documents, best ten of each."""
-    words = "split(lower(text), ' ')" if d.spark else "string_split(lower(text), ' ')"
-    docs = f"(select doc_id, {d.size(words)} as n, {d.explode(words, 'term')} from {{documents}} where text is not null)"
-    tf = f"(select doc_id, term, min(n) as n, count(*) as f from {docs} w where term in ('the', 'para', 'und') group by doc_id, term)"
-    stats = "(select count(*) as docs, avg(cast(length(text) - length(replace(text, ' ', '')) + 1 as double)) as mean from {documents} where text is not null)"
-    score = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))"
-    ranked = f"(select term, doc_id, {score} as score from (select t.*, count(*) over (partition by term) as df from {tf} t) x cross join {stats} s)"
-    return f"select term, doc_id, {_r('score', 5)} as score, k from (select *, row_number() over (partition by term order by round(score, 7) desc, doc_id) as k from {ranked} r) y where k <= {k}"
-
-
 # ---- sources and cleaning
 query("s01_scan_bars", lambda d: f"select symbol, ts, open, high, low, close, volume from {views.bars(d)} b where symbol in ('ECONOMY', 'SMALL') and ts >= timestamp '1996-01-01' and ts < timestamp '1998-01-01'")
 query("s05_ingest_quality", lambda d: f"select symbol, ts, count(*) as ticks, {d.counts('price <= 0')} as bad_price, {d.counts('size <= 0')} as zero_size, {d.counts('jump > 0.5')} as jumps, case when {d.counts('price <= 0')} > 0.01 * count(*) then 1 else 0 end as rejected from (select *, abs(price / lag(price) over (partition by symbol order by ts, l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1) as jump from {views.ticks(d)} t) x group by symbol, ts")
@@ -160,7 +92,6 @@ query("o02_quote_sign", lambda d: f"select user_id, ts, event_id, case when pric
 query("j04_exposure_onto_bars", lambda d: f"select symbol, ts, close, lag(filled, 1) over (partition by symbol order by ts) as month_close from (select b.symbol, b.ts, b.close, {d.last_seen('m.last_close')} over (partition by b.symbol order by b.ts rows between unbounded preceding and current row) as filled from {views.bars(d)} b left join (select symbol, max(ts) as ts, {d.last('close', 'ts')} as last_close from {views.bars(d)} x group by symbol, date_trunc('month', ts)) m on b.symbol = m.symbol and b.ts = m.ts) y")
 query("j08_macro_by_date", lambda d: f"select symbol, ts, lag(rate) over (partition by symbol order by ts) as rate from (select b.symbol, b.ts, m.rate from {views.bars(d)} b left join (select date_trunc('month', o_orderdate) as month_, {_r('avg(o_totalprice)', 3)} as rate from {{orders}} group by date_trunc('month', o_orderdate)) m on date_trunc('month', b.ts) = m.month_) x")
 query("j09_pair_series", lambda d: f"select a.symbol as a, b.symbol as b, count(*) as n, {_r('corr(a.r, b.r)')} as correlation from {views.returns(d)} a join {views.returns(d)} b on a.ts = b.ts and a.symbol < b.symbol group by a.symbol, b.symbol")
-query("j10_full_outer_hits", lambda d: f"select coalesce(t.doc_id, v.vec_id) as id, coalesce(t.n, 0) as text_hits, coalesce(v.label, -1) as vec_label from (select doc_id, length(text) - length(replace(text, 'the', 'th')) as n from {{documents}} where text like '%the%') t full outer join (select vec_id, label from {{embeddings}} where label < 5) v on t.doc_id = v.vec_id")
 query("j12_best_run", lambda d: f"select c_mktsegment, count(o_orderkey) as runs, max(o_totalprice) as best, {d.last('o_orderkey', 'o_totalprice', 'o_orderkey')} as best_run from {{customer}} left join {{orders}} on c_custkey = o_custkey group by c_mktsegment")
 query("j13_next_day", lambda d: f"select symbol, ts, next_ts, {_r('next_close / close - 1')} as r from (select symbol, ts, close, lead(ts) over (partition by symbol order by ts) as next_ts, lead(close) over (partition by symbol order by ts) as next_close from {views.bars(d)} b) x where {d.days('next_ts', 'ts')} <= 5")
 query("j14_missing_dates", lambda d: f"select distinct ts from {views.bars(d)} b where not exists (select 1 from {{orders}} o where o.o_orderdate = b.ts)")
@@ -262,9 +193,6 @@ query("i03_entropy_features", lambda d: output(staged(entropy(d), {"lagged": Ser
 query("i09_shape_features", lambda d: output(staged(f"(select symbol, ts, round(skew, 8) as skew, round(kurtosis, 8) as kurtosis from {B.moments(Series(d), views.returns(d), 60)} m)", {"shape": "case when skew is null then null when skew > 0.5 then 'P' when skew < -0.5 then 'b' when kurtosis > 1 then 'fat_tail' else 'normal' end"}), ("symbol", "ts"), ["skew", "kurtosis"], ["shape"], 8))
 
 # ---- recall
-query("r01_text_rank", lambda d: _bm25(d))
 query("r06_categorise", lambda d: "select doc_id, case when lower(text) like '%token =%' then 'secret' when lower(text) like '%license%' then 'license' when lower(text) like '%@%' then 'contact' else 'other' end as category from {documents}")
-_recall("r02_vector_topk", 5, lambda d, top: f"select q, vec_id, similarity, k from {top} t")
-_recall("r03_hybrid_search", 5, lambda d, top: f"select q, vec_id, {_r('0.3 * text_score + 0.7 * similarity', 5)} as score from (select v.q, v.vec_id, v.similarity, cast(length(x.text) % 100 as double) / 100 as text_score from {top} v left join {{documents}} x on v.vec_id = x.doc_id) y")
 
 

@@ -79,8 +79,8 @@ def test_whole_inputs(spark, sf, name):
 
 
 def test_topk_in_blocks(spark, sf):
-    from quantloom.plans.table_queries import topk
+    from quantloom.operators.search import nearest_vectors
 
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
-    canonical = lambda block: sorted(map(tuple, topk(rows, 5, block).collect()))
+    canonical = lambda block: sorted(map(tuple, nearest_vectors(rows, 5, 20, block).collect()))
     assert canonical(10) == canonical(1000)

@@ -43,6 +43,13 @@ class Dialect:
     def plus_months(self, x: str, n: str | int) -> str:
         return f"add_months({x}, cast({n} as int))" if self.spark else f"cast({x} + to_months(cast({n} as int)) as date)"
 
+    def bucket(self, x: str, minutes: int) -> str:
+        """The start of the time's bucket of so many minutes; buckets begin with the day."""
+        if not self.spark:
+            return f"time_bucket(interval '{minutes} minutes', {x}, timestamp '2000-01-01')"
+        into = f"cast(floor((hour({x}) * 60 + minute({x})) / {minutes}) * {minutes} as int)"
+        return f"cast(timestampadd(MINUTE, {into}, date_trunc('day', {x})) as timestamp_ntz)"
+
     def series(self, a: str, b: str) -> str:
         """The integers from a to b, as a list."""
         return f"sequence({a}, {b})" if self.spark else f"range({a}, {b} + 1)"

@@ -53,5 +53,3 @@ _chain("c03_filter_bad_quotes", lambda d, c: f"(select * from {quoted(d, c)} q w
 _chain("c04_filter_garbage", lambda d, c: f"(select * from {quoted(d, c)} q where {GOOD})", CONTRACT, ["price", "bid", "ask"])
 _chain("c06_spread_model", lambda d, c: f"(select symbol, ts, dte, opt, strike, greatest(0.01, 0.05 * (1 + 2 * abs(strike / spot - 1)) * case when dte <= 7 then 1.5 when dte <= 30 then 1.2 else 1 end * (1 + iv)) as spread from {c} c)", ("symbol", "ts", "dte", "opt", "strike"), ["spread"])
 _chain("c08_chain_filter", lambda d, c: f"(select * from {c} c where dte between 14 and 60 and abs(strike / spot - 1) <= 0.1)", ("symbol", "ts", "dte", "opt", "strike"), [], ["oi", "opt_volume"])
-_chain("j06_closest_contract", lambda d, c: f"(select symbol, ts, opt, dte, strike, k from (select *, row_number() over (partition by symbol, ts, opt order by abs(dte - 45), abs(strike - spot * 1.02), dte, strike) as k from {c} c where abs(dte - 45) <= 90 and abs(strike - spot * 1.02) <= 500) q where k = 1)", ("symbol", "ts", "opt"), ["strike"], ["dte"])
-_chain("j05_contract_lookup", lambda d, c: f"(select a.symbol, a.ts, a.dte, a.opt, a.strike, b.oi from {c} a join (select distinct symbol, ts, dte, opt, oi, strike from {c} c2) b on a.symbol = b.symbol and a.ts = b.ts and a.dte = b.dte and a.opt = b.opt and abs(a.strike - b.strike) <= 0.01)", ("symbol", "ts", "dte", "opt", "strike"), [], ["oi"])

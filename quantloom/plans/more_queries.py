@@ -71,7 +71,6 @@ def near_events(d, first: int, last: int) -> str:
 
 query("c16_event_windows", lambda d: f"select symbol, ts, cast(sum(n) as bigint) as events, min(ahead) as nearest_ahead from {near_events(d, -2, 3)} x group by symbol, ts")
 query("c17_upcoming_events", lambda d: f"select symbol, ts, min(ahead) as days_until, case when min(ahead) <= 1 then 1 else 0 end as tighten from {near_events(d, 0, 4)} x group by symbol, ts")
-query("j07_bulk_prices", lambda d: f"select w.symbol, w.ts, w.dte, w.opt, w.strike, c.oi from (select symbol, ts, dte, opt, strike from {views.chain(d)} x where dte = 30 and strike > spot) w join {views.chain(d)} c on w.symbol = c.symbol and w.ts = c.ts and w.dte = c.dte and w.opt = c.opt and w.strike = c.strike")
 query("j11_array_members", lambda d: f"select user_id, member, count(*) as n from (select user_id, {d.explode('ids', 'member')} from (select user_id, {d.collect('event_type')} as ids from {{events}} group by user_id) x) y group by user_id, member")
 
 # ---- reports

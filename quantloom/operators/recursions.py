@@ -100,6 +100,8 @@ class RunLengths:
     def __init__(self, hazard: float = 0.01, mu: float = 0.0, kappa: float = 1.0, alpha: float = 1.0, beta: float = 1.0, longest: int = 500):
         self.hazard, self.mu, self.kappa, self.alpha, self.beta, self.longest = hazard, mu, kappa, alpha, beta, longest
         self.p, self.n, self.sum, self.square = np.ones(1), np.zeros(1), np.zeros(1), np.zeros(1)
+        half = [math.lgamma(alpha + k / 2) for k in range(longest + 3)]
+        self.gamma = np.diff(half)  # by run length: what a value adds to the shape of the variance is a half
 
     def posterior(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Mean, its weight, and shape and rate of the variance, by run length; a run of length 0 has the prior."""
@@ -113,8 +115,7 @@ class RunLengths:
     def step(self, x: float) -> tuple[float, float, float]:
         mu, kappa, alpha, beta = self.posterior()
         df, scale = 2 * alpha, np.sqrt(beta * (kappa + 1) / (alpha * kappa))
-        gamma = np.array([math.lgamma((f + 1) / 2) - math.lgamma(f / 2) for f in df.tolist()])
-        density = np.exp(gamma - 0.5 * np.log(df * math.pi) - np.log(scale) - (df + 1) / 2 * np.log1p(((x - mu) / scale) ** 2 / df))
+        density = np.exp(self.gamma[: len(df)] - 0.5 * np.log(df * math.pi) - np.log(scale) - (df + 1) / 2 * np.log1p(((x - mu) / scale) ** 2 / df))
         reached = self.p * density
         change = self.hazard * reached.sum()
         p = np.append(change, (1 - self.hazard) * reached)
@@ -133,6 +134,53 @@ class RunLengths:
         return {"change": change, "run_length": run, "mean": mean}
 
 
+class Exposure:
+    """The sum of a key's last n signed values, its side (1 long, -1 short), and the side before it (0 for a first row)."""
+
+    def __init__(self, n: int = 5):
+        self.n, self.values, self.side = n, np.zeros(0), 0.0
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        values = np.concatenate([self.values, columns["signed"]])
+        sums = np.append(0.0, np.cumsum(values))
+        ends = np.arange(len(self.values) + 1, len(values) + 1)
+        total = sums[ends] - sums[np.maximum(ends - self.n, 0)]
+        side = np.where(total >= 0, 1.0, -1.0)
+        was = np.append(self.side, side[:-1])
+        self.values, self.side = values[-(self.n - 1) :] if self.n > 1 else np.zeros(0), side[-1]
+        return {"exposure": total, "was": was, "side": side}
+
+
+class LastMean:
+    """Mean of a key's last n closes, and of how many it is."""
+
+    def __init__(self, n: int = 20):
+        self.n, self.close = n, np.zeros(0)
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        values = np.concatenate([self.close, columns["close"]])
+        sums = np.append(0.0, np.cumsum(values))
+        ends = np.arange(len(self.close) + 1, len(values) + 1)
+        count = np.minimum(ends, self.n)
+        self.close = values[-(self.n - 1) :] if self.n > 1 else np.zeros(0)
+        return {"mean": (sums[ends] - sums[ends - count]) / count, "n": count.astype(float)}
+
+
+class Moves:
+    """Direction of a key's last n moves of the close: 1 or -1 where all went one way, else 0."""
+
+    def __init__(self, n: int = 3):
+        self.n, self.close, self.signs = n, np.nan, np.zeros(0)
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        close = columns["close"]
+        step = np.sign(close - np.append(self.close, close[:-1]))  # NaN for a first row
+        signs = np.concatenate([self.signs, step])
+        same = np.array([len(w) == self.n and abs(w.sum()) == self.n for w in (signs[max(i - self.n, 0) : i] for i in range(len(self.signs) + 1, len(signs) + 1))])
+        self.close, self.signs = close[-1], signs[-(self.n - 1) :] if self.n > 1 else np.zeros(0)
+        return {"signal": np.where(same, step, 0.0)}
+
+
 class Segments:
     """Optimal segments under a normal cost, found as rows come, with the candidates that can't win any more cut off.
 

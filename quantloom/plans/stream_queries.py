@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import recursions as R
 from ..sources.shared import new_path
+from ..sources.store import KeyedTable
+from ..streaming import carried
 from ..streaming import streams as T
 from .registry import native
 
@@ -34,7 +37,8 @@ def _drained(df: DataFrame, mode: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    with carried.state_store(spark):
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
@@ -66,19 +70,42 @@ native(
 )
 
 
+#: Rows whose time the watermark has passed once the stream has read all events.
+BEFORE = "(select date_trunc('millisecond', max(ts)) - interval '10 minutes' from events)"
+
+
 def warmed_up(spark: SparkSession, sf_dir: str, cut: str = "2024-01-15") -> DataFrame:
-    """Means of the last twenty closes from the first streamed bar on, as the table was seeded from history."""
-    path = new_path(spark, "warm")
-    columns = ("symbol", "ts", "event_id", "price")
-    T.seed(_ticks(spark, sf_dir, False).select(*columns).filter(F.col("ts") < F.lit(cut)), path)
-    live = _ticks(spark, sf_dir).select(*columns).filter(F.col("ts") >= F.lit(cut))
-    live.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).start().awaitTermination()
-    frame = "over (partition by symbol order by ts, event_id rows between 19 preceding and current row)"
-    rows = spark.sql(f"select symbol, ts, event_id, round(avg(price) {frame}, 6) as mean, count(*) {frame} as n from {{table}}", table=spark.read.schema("symbol string, ts timestamp, event_id long, price double").parquet(path))
-    return _ntz(rows.filter(F.col("ts") >= F.lit(cut)), "ts")
+    """Means of the last twenty closes from the first streamed row on: the stream's state starts from the last rows of its history."""
+    rows = lambda streaming: _ticks(spark, sf_dir, streaming).select("symbol", "ts", "event_id", F.col("price").alias("close"))
+    history = T.last_rows(rows(False).filter(F.col("ts") < F.lit(cut)), 20)
+    live = rows(True).filter(F.col("ts") >= F.lit(cut))
+    found = carried.scan_stream(live, ["symbol"], ["ts", "event_id"], R.LastMean, "mean double, n double", history=history)
+    return _ntz(_drained(found, "append").select("symbol", "ts", "event_id", F.round("mean", 6).alias("mean"), F.col("n").cast("long").alias("n")), "ts")
+
+
+native("t04_warm_up", warmed_up, f"select * from (select event_type as symbol, ts, event_id, round(avg(value) over w, 6) as mean, count(*) over w as n from events window w as (partition by event_type order by ts, event_id rows between 19 preceding and current row)) x where ts >= timestamp '2024-01-15' and ts < {BEFORE}")
+
+
+def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sum of a symbol's last five signed sizes changes its side, from a stream that carries the last side of each symbol."""
+    path = f"{sf_dir}/events.parquet"
+    users = spark.read.parquet(path).select("event_id", "user_id").distinct()
+    signed = _ticks(spark, sf_dir).join(users, "event_id").select("symbol", "ts", "event_id", (F.col("size") * F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)).alias("signed"))
+    found = _drained(carried.scan_stream(signed, ["symbol"], ["ts", "event_id"], R.Exposure, "exposure double, was double, side double").filter("was <> 0 and was <> side"), "append")
+    return _ntz(found.select("symbol", "ts", "event_id", "exposure", F.col("side").cast("int").alias("side")), "ts")
+
+
+native("t11_flip_stream", flips, f"select symbol, ts, event_id, exposure, side from (select *, lag(side) over (partition by symbol order by ts, event_id) as was from (select *, case when exposure >= 0 then 1 else -1 end as side from (select event_type as symbol, ts, event_id, sum(case when user_id % 2 = 0 then {K} else -{K} end) over (partition by event_type order by ts, event_id rows between 4 preceding and current row) as exposure from events) x) y) z where was <> side and ts < {BEFORE}")
+
 
+def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of a change, run length and mean of each symbol's prices in hundreds, from a stream that carries the posterior."""
+    rows = _ticks(spark, sf_dir).select("symbol", "ts", "event_id", (F.col("price") / 100).alias("x"))
+    found = _drained(carried.scan_stream(rows, ["symbol"], ["ts", "event_id"], R.RunLengths, "change double, run_length double, mean double"), "append")
+    return _ntz(found.select("symbol", "ts", "event_id", *(F.round(c, 6).alias(c) for c in ("change", "run_length", "mean"))), "ts")
 
-native("t04_warm_up", warmed_up, "select * from (select event_type as symbol, ts, event_id, round(avg(value) over w, 6) as mean, count(*) over w as n from events window w as (partition by event_type order by ts, event_id rows between 19 preceding and current row)) x where ts >= timestamp '2024-01-15'")
+
+native("g17_run_length_stream", posterior)
 
 
 def fed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +129,15 @@ def quoted(ticks: DataFrame) -> DataFrame:
     return ticks.withColumns({"bid": F.round(F.col("price") * 0.99, 6), "ask": F.round(F.col("price") * 1.01, 6)})
 
 
-native(
-    "t07_latest_quote",
-    lambda s, d: _drained(T.latest_quote(quoted(_ticks(s, d))), "complete").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "bid", "ask"),
-    "select event_type as symbol, max(ts) as ts, round(last(value order by ts, event_id) * 0.99, 6) as bid, round(last(value order by ts, event_id) * 1.01, 6) as ask from events group by event_type",
-)
+def last_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last quote of each symbol: what a batch changes is merged into a table that has a row for each symbol."""
+    quotes = T.latest_quote(quoted(_ticks(spark, sf_dir)))
+    table = KeyedTable(spark, new_path(spark, "quotes"), quotes.schema, ("symbol",), ("ts",), 4)
+    table.follow(quotes, new_path(spark, "quotes-state"), "quotes").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "bid", "ask")
+
+
+native("t07_latest_quote", last_quotes, "select event_type as symbol, max(ts) as ts, round(last(value order by ts, event_id) * 0.99, 6) as bid, round(last(value order by ts, event_id) * 1.01, 6) as ask from events group by event_type")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +151,17 @@ native(
     lambda s, d: _ntz(_drained(T.mark_positions(quoted(_ticks(s, d)), positions(s, d)).select("symbol", "ts", "event_id", "quantity", F.round("unrealised", 4).alias("unrealised")), "append"), "ts"),
     "select event_type as symbol, ts, event_id, quantity, round((case when quantity > 0 then round(value * 0.99, 6) else round(value * 1.01, 6) end - entry) * quantity, 4) as unrealised from events join (select event_type as symbol, case when count(*) % 2 = 0 then 10 else -10 end as quantity, round(avg(value), 4) as entry from events group by event_type) p on event_type = p.symbol",
 )
-native(
-    "t09_stream_signals",
-    lambda s, d: _ntz(T.signals(_drained(T.stream_bars(_ticks(s, d), "1 hour"), "append")), "ts").select("symbol", "ts", "close", "signal"),
-    f"select symbol, ts, close, case when moved = 3 then 1 when moved = -3 then -1 else 0 end as signal from (select *, sum(step) over (partition by symbol order by ts rows between 2 preceding and current row) as moved from (select *, sign(close - lag(close) over (partition by symbol order by ts)) as step from {_bars_sql(60)} b) x) y",
-)
+def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of the last three closes: a stream of ticks closes bars into a table, and a stream of that table carries the closes."""
+    path = new_path(spark, "bars")
+    bars = T.stream_bars(_ticks(spark, sf_dir), "1 hour").select("symbol", "ts", "close")
+    T.append_bars(bars, path, new_path(spark, "bars-state")).awaitTermination()
+    closed = spark.readStream.schema(bars.schema).parquet(path)
+    found = _drained(carried.scan_stream(closed, ["symbol"], ["ts"], R.Moves, "signal double", late="0 seconds"), "append")
+    return _ntz(found.select("symbol", "ts", "close", F.col("signal").cast("int").alias("signal")), "ts")
+
+
+native("t09_stream_signals", signalled, f"select symbol, ts, close, case when moved = 3 then 1 when moved = -3 then -1 else 0 end as signal from (select *, sum(step) over (partition by symbol order by ts rows between 2 preceding and current row) as moved from (select *, sign(close - lag(close) over (partition by symbol order by ts)) as step from {_bars_sql(60)} b) x) y where ts < (select max(ts) from {_bars_sql(60)} b2)")
 
 
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:

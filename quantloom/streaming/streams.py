@@ -92,23 +92,13 @@ def rolling_state(bars: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
 
 
 def append_bars(bars: DataFrame, path: str, checkpoint: str):
-    """Write closed bars as they come; started once, resumed from its checkpoint."""
-    return bars.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").start(path)
+    """Write closed bars of what is there; called again, it goes on from its checkpoint."""
+    return bars.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
-def seed(history: DataFrame, path: str, n: int = 20) -> None:
-    """Write the last n bars of each symbol's history to the bar table that a stream then appends to."""
+def last_rows(history: DataFrame, n: int = 20) -> DataFrame:
+    """The last n rows of each symbol's history, from which a stream's state can start."""
     from pyspark.sql import Window
 
     last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("event_id")))
-    history.withColumn("k", last).filter(F.col("k") <= n).drop("k").write.mode("append").parquet(path)
-
-
-def signals(bars: DataFrame, n: int = 3) -> DataFrame:
-    """Closed bars with the direction of their last n closes: 1 or -1 where all moved alike, else 0."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("ts")
-    step = F.signum(F.col("close") - F.lag("close").over(w))
-    moved = F.sum("step").over(w.rowsBetween(1 - n, 0))
-    return bars.withColumn("step", step).withColumn("signal", F.when(moved == n, 1).when(moved == -n, -1).otherwise(0)).drop("step")
+    return history.withColumn("k", last).filter(F.col("k") <= n).drop("k")

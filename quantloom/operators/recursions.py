@@ -101,7 +101,7 @@ class RunLengths:
         self.hazard, self.mu, self.kappa, self.alpha, self.beta, self.longest = hazard, mu, kappa, alpha, beta, longest
         self.p, self.n, self.sum, self.square = np.ones(1), np.zeros(1), np.zeros(1), np.zeros(1)
         half = [math.lgamma(alpha + k / 2) for k in range(longest + 3)]
-        self.gamma = np.diff(half)  # by run length: what a value adds to the shape of the variance is a half
+        self.gamma = np.diff(half)  # by the values of a run: each adds a half to the shape of the variance
 
     def posterior(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Mean, its weight, and shape and rate of the variance, by run length; a run of length 0 has the prior."""
@@ -115,7 +115,7 @@ class RunLengths:
     def step(self, x: float) -> tuple[float, float, float]:
         mu, kappa, alpha, beta = self.posterior()
         df, scale = 2 * alpha, np.sqrt(beta * (kappa + 1) / (alpha * kappa))
-        density = np.exp(self.gamma[: len(df)] - 0.5 * np.log(df * math.pi) - np.log(scale) - (df + 1) / 2 * np.log1p(((x - mu) / scale) ** 2 / df))
+        density = np.exp(self.gamma[np.rint(df - 2 * self.alpha).astype(np.int64)] - 0.5 * np.log(df * math.pi) - np.log(scale) - (df + 1) / 2 * np.log1p(((x - mu) / scale) ** 2 / df))
         reached = self.p * density
         change = self.hazard * reached.sum()
         p = np.append(change, (1 - self.hazard) * reached)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import DUCK, SPARK, Dialect, Series, output, spark_sql, staged
 from ..operators import bars as B
 from ..operators import information as I
 from ..operators import recursions as R
-from ..operators import tails
+from ..operators import spectra, tails
 from . import views
 from .more_queries import pairs
 from .registry import bound, native, query, relation
@@ -128,52 +126,12 @@ native("i22_dcc", dcc, output(dcc_sql(DUCK), PAIR, ["dcc"], [], 6))
 
 
 # ---- eigenvalues of rolling covariances
-def spectrum(spark: SparkSession, sf_dir: str, window: int = 60, share: float = 0.8) -> DataFrame:
-    """ts, absorption ratio, eigenvalue entropy, and mean, largest and spread of the correlations over the rows before.
-
-    A day's returns are an array over all symbols; days that lack one are left out.  The daily table is small, whatever
-    the number of ticks, so its one ordered window is no bottleneck.
-    """
-    sql = f"""select ts, n, collect_list(v) over (order by ts rows between {window} preceding and 1 preceding) as past
-      from (select ts, transform(sort_array(collect_list(struct(symbol, r))), s -> s.r) as v, count(*) as n from {returned(SPARK)} x group by ts)
-      where n = (select count(distinct symbol) from {returned(SPARK)} y)"""
-    rows = relation(spark, sf_dir, f"({sql})").filter(f"size(past) = {window}")
-
-    def measures(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = int(batch.column("n")[0].as_py())
-            x = np.asarray(batch.column("past").flatten().flatten()).reshape(batch.num_rows, window, n)
-            x = x - x.mean(axis=1, keepdims=True)
-            cov = np.einsum("tki,tkj->tij", x, x) / (window - 1)
-            dev = np.sqrt(np.einsum("tii->ti", cov))
-            corr = cov / (dev[:, :, None] * dev[:, None, :])
-            ratio, entropy = _absorption(np.linalg.eigvalsh(corr), share), _entropy(np.linalg.eigvalsh(cov))
-            off = corr[:, ~np.eye(n, dtype=bool)]
-            cols = [ratio, entropy, off.mean(axis=1), np.abs(off).max(axis=1), off.std(axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column("ts"), *map(pa.array, cols)], ["ts", *SPECTRUM])
-
-    return rows.select("ts", "n", "past").mapInArrow(measures, rows.select("ts").schema.add("absorption", "double").add("entropy", "double").add("mean_corr", "double").add("max_corr", "double").add("dispersion", "double"))
-
-
-SPECTRUM = ["absorption", "entropy", "mean_corr", "max_corr", "dispersion"]
-
-
-def _absorption(values: np.ndarray, share: float) -> np.ndarray:
-    """Share of the fewest leading eigenvalues that reach `share` of their sum."""
-    v = np.maximum(values[:, ::-1], 0)
-    part = np.cumsum(v, axis=1) / v.sum(axis=1, keepdims=True)
-    return np.take_along_axis(part, (part >= share).argmax(axis=1)[:, None], axis=1)[:, 0]
+SPECTRUM = list(spectra.MEASURES)
 
 
-def _entropy(values: np.ndarray) -> np.ndarray:
-    """Entropy of the eigenvalues' shares, over that of equal ones."""
-    v = np.where(values > 1e-10, values, 0)
-    p = v / v.sum(axis=1, keepdims=True)
-    h = -np.where(p > 0, p * np.log(np.maximum(p, 1e-300)), 0).sum(axis=1)
-    kept = (v > 0).sum(axis=1)
-    return np.where(kept > 1, h / np.log(np.maximum(kept, 2)), 0.0)
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of the returns of all symbols over the sixty days before each day, over the days on which both of a pair traded."""
+    return spectra.correlation_spectra(relation(spark, sf_dir, f"(select symbol, ts, r from {returned(SPARK)} x)"))
 
 
 def correlation_features(spark: SparkSession, sf_dir: str, lag: int = 1) -> DataFrame:
@@ -187,7 +145,7 @@ def correlation_features(spark: SparkSession, sf_dir: str, lag: int = 1) -> Data
     return bound(spark, output(rows, ("ts",), [f"{c}_lagged" for c in SPECTRUM] + ["ratio_z", "entropy_z"], ["corr_regime", "fragile"], 6), rows=spectrum(spark, sf_dir))
 
 
-native("i16_absorption", lambda spark, sf_dir: bound(spark, output("{rows}", ("ts",), SPECTRUM, [], 6), rows=spectrum(spark, sf_dir)))
+native("i16_absorption", lambda spark, sf_dir: bound(spark, output("{rows}", ("ts",), SPECTRUM, ["instruments"], 6), rows=spectrum(spark, sf_dir)))
 native("i17_correlation_features", correlation_features)
 native("i24_correlation_snapshot", lambda spark, sf_dir: correlation_features(spark, sf_dir).orderBy("ts", ascending=False).limit(1))
 

@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.frames import SPARK, Series, apply, spark_sql
-from quantloom.operators import evaluation, factors, information, plugins, recursions, regimes
-from quantloom.plans import information_queries
+from quantloom.operators import evaluation, factors, information, plugins, recursions, regimes, spectra
 
 
 @pytest.fixture(scope="module")
@@ -186,7 +185,8 @@ def test_granger(spark):
 def test_spectrum_measures():
     rng = np.random.default_rng(6)
     cov = np.stack([np.cov(rng.normal(size=(4, 60))) for _ in range(5)])
-    for c, ratio, h in zip(cov, information_queries._absorption(np.linalg.eigvalsh(cov), 0.8), information_queries._entropy(np.linalg.eigvalsh(cov)), strict=True):
+    for c in cov:
+        ratio, h = spectra.absorption(np.linalg.eigvalsh(c), 0.8), spectra.entropy(np.linalg.eigvalsh(c))
         v = np.sort(np.linalg.eigvalsh(c))[::-1]
         n = next(k for k in range(1, 5) if v[:k].sum() >= 0.8 * v.sum())
         p = v / v.sum()

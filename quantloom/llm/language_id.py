@@ -286,7 +286,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: i
 def _predict(shared, only_known: bool = False):
     clash = {c.split()[0] for c in RESULTS.split(", ")}
 
-    def run(batches):
+    def run(batches):  # result names replace columns of the same name in any case
         models = shared.value
         seen = models.__dict__.setdefault("_words", _Seen(models))  # kept while the worker holds the broadcast
         names = [x.encode() for x in (*models.languages, UNKNOWN)]
@@ -299,9 +299,10 @@ def _predict(shared, only_known: bool = False):
                 yield batch.filter(pa.array(~rejected))
                 continue
             z = np.exp(-models.sharpness * (np.where(n[:, None] > 0, e, 0) - low[:, None]))
-            score = np.where(n > 0, 1 / z.sum(axis=1), 0.0)
+            # beyond the limit the text is likely of no learned language, whichever of them is nearest
+            score = np.where(n > 0, np.exp(-models.sharpness * np.maximum(low - models.limit, 0)) / z.sum(axis=1), 0.0)
             cols = [jobs.binaries([names[k] for k in best.tolist()], pa.string()), pa.array(score), pa.array(low), pa.array(rejected)]
-            kept = [k for k, c in enumerate(batch.schema.names) if c not in clash]
+            kept = [k for k, c in enumerate(batch.schema.names) if c.lower() not in clash]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *cols], [*(batch.schema.names[k] for k in kept), "lang_pred", "score", "cross_entropy", "rejected"])
 
     return run
@@ -310,16 +311,18 @@ def _predict(shared, only_known: bool = False):
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """The rows of docs with lang_pred, score (0 to 1), cross_entropy (nats a character) and rejected."""
     if models is None:
+        taken = [f.split()[0] for f in RESULTS.split(", ")]
+        docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "rejected": F.lit(True)})
     results = StructType.fromDDL(RESULTS)
-    schema = StructType([*(f for f in docs.schema if f.name not in results.names), *results])
+    schema = StructType([*(f for f in docs.schema if f.name.lower() not in results.names), *results])
     return docs.mapInArrow(jobs.tidy(_predict(docs.sparkSession.sparkContext.broadcast(models))), schema)
 
 
 def known(docs: DataFrame, models: Models | None) -> DataFrame:
-    """The rows of docs that are not rejected, with their own columns."""
+    """The rows of docs that are not rejected, with their own columns; without models, those with a letter."""
     if models is None:
-        return docs.limit(0)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return docs.mapInArrow(jobs.tidy(_predict(docs.sparkSession.sparkContext.broadcast(models), True)), docs.schema)
 
 

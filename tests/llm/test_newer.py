@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import jobs, quality_conv, queries, spelling_variants, substring_dedup, vector_codes
+from quantloom.llm import jobs, language_id, quality_conv, queries, spelling_variants, substring_dedup, vector_codes, vector_dedup
 from quantloom.plans.registry import TABLES
 
 LETTER = re.compile("[A-Za-zÀ-ÿ]+")
@@ -248,3 +248,41 @@ def test_substring_dedup_with_many_partitions(spark, sf):
         assert collections.Counter(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()) == by_sql(sf, "op3_substring_dedup")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vector_components_by_brute_force(spark, kind):
+    """n_links and component_id of every row, in either precision, with copies and an id of two vectors."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(25, 24))
+    v = np.concatenate([c + 0.1 * rng.normal(size=(rng.integers(1, 14), 24)) for c in centre])
+    v = v.astype(np.float32).astype(float) if kind == "float" else v
+    rows = [(k + 10, x.tolist()) for k, x in enumerate(v)] + [(3, v[40].tolist()), (3, v[40].tolist()), (5, v[0].tolist()), (5, v[-1].tolist()), (7, [0.0] * 24), (8, None)]
+    got = collections.Counter(tuple(r) for r in vector_dedup.vector_components(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())
+    ids = np.array([r[0] for r in rows])
+    x = np.array([r[1] or [0.0] * 24 for r in rows])
+    size = np.linalg.norm(x, axis=1)
+    unit = x / np.where(size > 0, size, 1)[:, None]
+    near = (unit @ unit.T >= 0.9) & (size > 0)[:, None] & (size > 0)
+    want = collections.Counter()
+    label = np.where(size > 0, np.arange(len(rows)), -1)
+    for _ in range(len(rows)):  # the smallest row number in reach
+        label = np.where(size > 0, [label[n].min(initial=len(rows)) for n in near], -1)
+    for k, (i, _) in enumerate(rows):
+        c = int(ids[label == label[k]].min()) if size[k] > 0 else i
+        want[i, len({j for j in ids[near[k]].tolist() if j != i}), c, i == c] += 1
+    assert got == want
+
+
+def test_language_names_in_any_case(spark):
+    rows = [(k, f"{'the cat sat on the mat' if k % 2 else 'der hund lief durch den wald'} {k}", "en" if k % 2 else "de") for k in range(80)]
+    docs = jobs.stored(spark.createDataFrame(rows + [(900, "съешь ещё этих мягких французских булок", "xx")], "doc_id long, text string, lang string").withColumns({"Score": F.lit("mine"), "REJECTED": F.lit(7)}), "cases")
+    models = language_id.fit(docs.filter("lang <> 'xx'"), 15, 5)
+    got = language_id.identify(docs, models)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "cross_entropy", "rejected"]
+    scores = {r.doc_id: (r.score, r.rejected) for r in got.select("doc_id", "score", "rejected").collect()}
+    assert scores[900][1] and scores[900][0] < 0.1 < min(s for i, (s, _) in scores.items() if i < 80)
+    assert language_id.known(docs, models).columns == docs.columns
+    assert language_id.identify(docs, None).columns == got.columns
+    none = spark.createDataFrame([(1, "letters"), (2, "12 !"), (3, None), (4, "")], "doc_id long, text string")
+    assert [r.doc_id for r in language_id.known(none, None).collect()] == [1]

@@ -121,3 +121,15 @@ def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 native("r04_similar", warnings, f"select q, count_if(similarity > {WARNED}) as warnings, max(similarity) as similarity, arg_min(vec_id, k) as vec_id from {_near_sql(10)} t group by q")
+
+
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each query's five nearest vectors the hyperplane index meets, against all of them compared."""
+    rows = vectors(spark, sf_dir)
+    dim = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
+    index = search.Hyperplanes(rows, dim)
+    found = index.nearest(rows.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q")), 5)
+    return search.recall(found, search.nearest_vectors(rows, 5, EVERY))
+
+
+native("r02_index_recall", index_recall)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import SPARK, Dialect, Series, output, staged
 from ..operators import recursions as R
+from ..operators import clusters
 from ..operators import regimes as G
 from . import views
 from .flow_queries import vixed
@@ -81,9 +80,7 @@ FEATURES = ["volatility", "trend", "volume_ratio", "vol_of_vol", "trend_consiste
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, sf_dir, regime_features(SPARK))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(rows)
-    return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows).drop("raw")
+    return clusters.scaled(relation(spark, sf_dir, regime_features(SPARK)), FEATURES)
 
 
 def named(rows: DataFrame, label: str) -> DataFrame:
@@ -95,29 +92,15 @@ def named(rows: DataFrame, label: str) -> DataFrame:
     return of.crossJoin(F.broadcast(q)).select(label, F.concat(vol, F.lit("_"), trend, F.when(F.col("c") > 0.6, "Trend").otherwise("")).alias("name"))
 
 
-def by_volatility(rows: DataFrame, label: str) -> DataFrame:
-    """The rows with labels numbered by rising mean volatility, so that several models' labels can be compared."""
-    table = rows.groupBy(label).agg(F.avg("volatility").alias("v"), F.avg("trend").alias("t")).orderBy("v", "t").collect()  # a row a cluster
-    order = F.create_map(*[F.lit(x) for k, r in enumerate(table) for x in (r[label], k)])
-    return rows.withColumn(label, F.element_at(order, F.col(label)))
-
-
-def cluster_regimes(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
+def cluster_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of each row by k-means over scaled features, and its name."""
-    rows = scaled(spark, sf_dir)
-    rows = by_volatility(KMeans(k=k, seed=42, maxIter=20).setPredictionCol("cluster").fit(rows).transform(rows), "cluster")
+    rows = clusters.clustered(scaled(spark, sf_dir))
     return rows.join(F.broadcast(named(rows, "cluster")), "cluster").select("symbol", "ts", "cluster", "name")
 
 
-def vote_regimes(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
-    """The majority of two k-means and a mixture, whose labels are put in one order first, and the share that agrees."""
-    rows = scaled(spark, sf_dir)
-    for name, model in (("first", KMeans(k=k, seed=42)), ("second", KMeans(k=k, seed=123, initMode="random")), ("mixture", GaussianMixture(k=k, seed=42, maxIter=30))):
-        rows = by_volatility(model.setPredictionCol(name).fit(rows).transform(rows).drop("probability"), name)
-    a, b, c = F.col("first"), F.col("second"), F.col("mixture")
-    winner = F.when((a == b) | (a == c), a).when(b == c, b).otherwise(F.least(a, b, c))
-    share = sum((x == F.col("regime")).cast("int") for x in (a, b, c)) / F.lit(3.0)
-    return rows.withColumn("regime", winner).select("symbol", "ts", "first", "second", "mixture", "regime", F.round(share, 6).alias("confidence"))
+def vote_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority of two k-means and a mixture, and the share that agrees."""
+    return clusters.voted(scaled(spark, sf_dir)).select("symbol", "ts", "first", "second", "mixture", "regime", "confidence")
 
 
 native("g12_cluster_regimes", cluster_regimes)

@@ -11,7 +11,7 @@ from quantloom.plans.registry import TABLES
 
 PICKED = ["b01_returns", "b06_rolling_stats", "b10_triple_barrier", "b15_sma_ema", "o01_tick_sign", "o05_vpin", "g15_cusum_mean", "g21_regime_runs", "g22_hazard_table", "m01_greeks", "a10_zero_gamma", "e11_performance", "e25_bh_correction", "j03_asof_backward", "i14_corr_matrix", "r01_text_rank", "t01_stream_bars", "t12_sessions", "i01_rolling_entropy", "i22_dcc", "g09_sector_regime", "g30_force_table", "e33_winner_loser_tests", "e42_multi_leg_value", "s02_option_days", "s13_trade_paths", "t05_parse_feed", "t10_trade_quote_asof", "r05_repeated_lessons"]
 #: Iterative and recursive queries that SQL can't express; test_recursions holds them against plain loops.
-NO_SQL = {"g12_cluster_regimes", "g13_vote_regimes", "g14_hidden_states", "g17_run_length_posterior", "g17_run_length_stream", "g18_segments", "g19_change_point_features", "g20_transition_score", "i16_absorption", "i17_correlation_features", "i24_correlation_snapshot", "r02_index_recall"}
+NO_SQL = {"g12_cluster_regimes", "g13_vote_regimes", "g14_hidden_states", "g17_run_length_posterior", "g17_run_length_stream", "g18_segments", "g19_change_point_features", "g20_transition_score", "i16_absorption", "i17_correlation_features", "i24_correlation_snapshot", "r02_index_recall", "r05_lesson_clusters"}
 
 
 def canon(df: pd.DataFrame) -> list:

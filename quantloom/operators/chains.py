@@ -110,23 +110,48 @@ def wall_table(source: str, top: int = 3) -> str:
     return f"(select symbol, ts, kind, rank_, strike, strength, strike / spot - 1 as distance from {ranked} r where rank_ <= {top})"
 
 
+#: How far out of the money the contract of a delta bucket lies; fewest days of a structure's statistics.
+DELTA_BUCKETS = {"ATM": 0.0, "25D": 0.03, "10D": 0.06, "5D": 0.10}
+LEAST_DAYS = 20
+
+
 def structure_returns(d: Dialect, source: str) -> str:
-    """Next day's return of a call, put, straddle and strangle of each expiry, bought near fixed moneyness.
+    """Next day's return of calls, puts and both of each delta bucket and expiry: at the money a straddle, else a strangle.
 
-    A day's contract is the one nearest in strike; the exit is priced on the next day of the symbol within five days.
+    A bucket stands for a distance from spot; its contract is the one nearest in strike.  The exit is priced on the next day
+    of the symbol within five days.
     """
     days = f"(select symbol, ts, spot, lead(ts) over (partition by symbol order by ts) as next_ts, lead(spot) over (partition by symbol order by ts) as next_spot from (select distinct symbol, ts, spot from {source} c) q)"
-    near = f"(select symbol, ts, spot, dte, opt, strike, iv, oi, opt_volume, stock_volume, m, row_number() over (partition by symbol, ts, dte, opt, m order by abs(strike / spot - case when opt = 'C' then 1 + m else 1 - m end), strike) as k from (select *, {'explode(array(0.0D, 0.06D))' if d.spark else 'unnest([0.0, 0.06]::double[])'} as m from {source} c) q)"
+    away = ", ".join(f"cast({m} as double)" for m in DELTA_BUCKETS.values())
+    every = f"explode(array({away}))" if d.spark else f"unnest([{away}])"
+    near = f"(select symbol, ts, spot, dte, opt, strike, iv, oi, opt_volume, stock_volume, m, row_number() over (partition by symbol, ts, dte, opt, m order by abs(strike / spot - case when opt = 'C' then 1 + m else 1 - m end), strike) as k from (select *, {every} as m from {source} c) q)"
     entry = f"(select n.symbol, n.ts, n.spot, n.dte, n.opt, n.strike, n.iv, n.oi, n.opt_volume, n.stock_volume, n.m, d.next_spot, {d.days('d.next_ts', 'n.ts')} as gap from {near} n join {days} d on n.symbol = d.symbol and n.ts = d.ts where n.k = 1 and d.next_ts is not null)"
     a = f"(select symbol, ts, dte, opt, m, strike, spot, iv, gap, next_spot, price as entry_price from {greeks(entry)} g where gap <= 5)"
     b = f"(select symbol, ts, dte0 as dte, opt, m, price as exit_price from {greeks(f'(select symbol, ts, dte as dte0, greatest(dte - gap, 0) as dte, opt, m, strike, next_spot as spot, iv from {a} a0)')} g)"
     legs = f"(select a.symbol, a.ts, a.dte, a.opt, a.m, a.entry_price, b.exit_price from {a} a join {b} b on a.symbol = b.symbol and a.ts = b.ts and a.dte = b.dte and a.opt = b.opt and a.m = b.m)"
-    single = f"(select symbol, ts, dte, case when opt = 'C' then 'call' else 'put' end as structure, exit_price / nullif(entry_price, 0) - 1 as r from {legs} l where m = 0)"
-    both = f"(select symbol, ts, dte, case when m = 0 then 'straddle' else 'strangle' end as structure, sum(exit_price) / nullif(sum(entry_price), 0) - 1 as r from {legs} l group by symbol, ts, dte, m)"
+    bucket = "case " + " ".join(f"when m = {m} then '{n}'" for n, m in DELTA_BUCKETS.items()) + " end"
+    single = f"(select symbol, ts, dte, concat(case when opt = 'C' then 'call_' else 'put_' end, {bucket}) as structure, exit_price / nullif(entry_price, 0) - 1 as r from {legs} l)"
+    both = f"(select symbol, ts, dte, case when m = 0 then 'straddle' else concat('strangle_', {bucket}) end as structure, sum(exit_price) / nullif(sum(entry_price), 0) - 1 as r from {legs} l group by symbol, ts, dte, m)"
     return f"(select * from {single} s union all select * from {both} t)"
 
 
 def surface_stats(source: str) -> str:
-    """Return, deviation, Sharpe, win rate and rank of each structure."""
-    base = f"(select structure, dte, count(*) as n, avg(r) as mean, stddev_samp(r) as dev, avg(case when r > 0 then cast(1 as double) else 0 end) as win_rate from {source} s group by structure, dte)"
-    return staged(base, {"sharpe": "mean / nullif(dev, 0) * sqrt(252.0)"}, {"rank_": "row_number() over (order by round(sharpe, 6) desc, structure, dte)"})
+    """Statistics and rank of each structure and expiry, of the mean over symbols on every day.
+
+    Yearly return and volatility, Sharpe, win rate, drawdown of the wealth that is put in anew each day, skewness and excess
+    kurtosis (corrected for few days).  Structures of fewer than twenty days have none.  source: structure, dte, ts, r.
+    """
+    daily = f"(select structure, dte, ts, avg(r) as r from {source} s where r is not null group by structure, dte, ts)"
+    by = "partition by structure, dte order by ts rows between unbounded preceding and current row"
+    rows = staged(daily, {"lr": "ln(greatest(1 + r, 1e-9))", "centre": "avg(r) over (partition by structure, dte)"}, {"wealth": f"sum(lr) over ({by})"}, {"peak": f"max(wealth) over ({by})"})
+    power = lambda k: " * ".join(["(r - centre)"] * k)
+    sums = f"(select structure, dte, count(*) as n, avg(r) as mean, exp(sum(lr)) - 1 as total_return, exp(sum(lr) * 252.0 / count(*)) - 1 as ann_return, stddev_samp(r) * sqrt(252.0) as ann_vol, avg(case when r > 0 then cast(1 as double) else 0 end) as win_rate, min(exp(wealth - peak) - 1) as max_drawdown, avg({power(2)}) as m2, avg({power(3)}) as m3, avg({power(4)}) as m4 from {rows} x group by structure, dte having count(*) >= {LEAST_DAYS})"
+    return staged(
+        sums,
+        {
+            "sharpe": "ann_return / nullif(ann_vol, 0)",
+            "skewness": "sqrt(cast(n as double) * (n - 1)) / (n - 2) * m3 / nullif(power(m2, 1.5), 0)",
+            "kurtosis": "(n - 1) / (cast(n - 2 as double) * (n - 3)) * ((n + 1) * m4 / nullif(m2 * m2, 0) - 3 * (n - 1))",
+        },
+        {"rank_": "row_number() over (order by round(sharpe, 6) desc, structure, dte)"},
+    )

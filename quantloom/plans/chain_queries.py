@@ -9,7 +9,7 @@ from ..operators import flow as O
 from ..operators import regimes as G
 from . import views
 from .flow_queries import labelled, vixed
-from .registry import query
+from .registry import query, stored_query
 
 DAY = ("symbol", "ts")
 
@@ -36,7 +36,11 @@ _chain("g35_exposure_dynamics", lambda d, c: staged(A.exposure_totals(c), {"velo
 _chain("t11_flip_events", lambda d, c: f"(select * from {staged(A.exposure_totals(c), {'side': "case when net_vex >= 0 then 'LONG' else 'SHORT' end"}, {'was': Series(d).lag('side')})} x where side <> was)", DAY, ["net_vex"], ["was", "side"], 3)
 _chain("i13_gamma_series", lambda d, c: staged(A.exposure_totals(c), {"mean_20": Series(d).roll("avg", "net_gex", 20), "dev_20": Series(d).roll("stddev_samp", "net_gex", 20)}, {"position_z": "(net_gex - mean_20) / greatest(dev_20, 1e-10)"}), DAY, ["mean_20", "position_z"], digits=4)
 _chain("e40_structure_payoffs", lambda d, c: A.structure_returns(d, c), ("symbol", "ts", "dte", "structure"), ["r"], digits=6)
-_chain("e41_surface_stats", lambda d, c: A.surface_stats(f"(select symbol, ts, dte, structure, round(r, 9) as r from {A.structure_returns(d, c)} x)"), ("structure", "dte"), ["mean", "dev", "win_rate", "sharpe"], ["n", "rank_"])
+stored_query(
+    "e41_surface_stats",
+    lambda d: f"(select symbol, ts, dte, structure, round(r, 9) as r from {A.structure_returns(d, views.chain(d))} x)",
+    lambda d, rows: output(A.surface_stats(rows), ("structure", "dte"), ["mean", "ann_return", "ann_vol", "sharpe", "win_rate", "max_drawdown", "skewness", "kurtosis"], ["n", "rank_"], 4),
+)
 _chain("c02_with_dte", lambda d, c: f"(select symbol, ts, dte, {d.days(d.plus_days('ts', 'dte'), 'ts')} as days_left, count(*) as n from {c} c group by symbol, ts, dte)", ("symbol", "ts", "dte"), [], ["days_left", "n"])
 
 

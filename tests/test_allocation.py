@@ -67,3 +67,27 @@ def test_weight_search(spark):
         for name, (v, w) in best.items():
             r = got[regime, name]
             assert r.value == pytest.approx(v, abs=1e-8) and [r.w0 * 5, r.w1 * 5, r.w2 * 5] == pytest.approx(list(w))
+
+
+def test_surface_stats(spark):
+    """Statistics of structures against pandas."""
+    import pandas as pd
+
+    from quantloom.operators import chains
+
+    rng = np.random.default_rng(3)
+    rows = [(s, t, d, k, float(rng.normal(0.01, 0.2).__round__(6))) for s in "ab" for t in range(40) for d in (7, 30) for k in ("straddle", "call_ATM") if rng.random() < 0.9]
+    rows += [("a", t, 7, "rare", 0.1) for t in range(19)] + [("a", 0, 60, "call_ATM", None)]
+    got = {(r.structure, r.dte): r for r in spark_sql(spark, f"select * from {chains.surface_stats('{r}')} x", r=spark.createDataFrame(rows, "symbol string, ts int, dte int, structure string, r double")).collect()}
+    frame = pd.DataFrame(rows, columns=["symbol", "ts", "dte", "structure", "r"]).dropna()
+    daily = frame.groupby(["structure", "dte", "ts"]).r.mean()
+    assert set(got) == {(s, d) for s in ("straddle", "call_ATM") for d in (7, 30)}
+    sharpes = {}
+    for key, r in got.items():
+        x = daily[key]
+        wealth = (1 + x).cumprod()
+        year = wealth.iloc[-1] ** (252 / len(x)) - 1
+        sharpes[key] = year / (x.std() * 252**0.5)
+        want = (len(x), x.mean(), year, x.std() * 252**0.5, sharpes[key], (x > 0).mean(), (wealth / wealth.cummax() - 1).min(), x.skew(), x.kurt())
+        assert (r.n, r.mean, r.ann_return, r.ann_vol, r.sharpe, r.win_rate, r.max_drawdown, r.skewness, r.kurtosis) == pytest.approx(want)
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1].rank_)] == sorted(sharpes, key=lambda k: -sharpes[k])

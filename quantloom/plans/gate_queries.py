@@ -1,9 +1,9 @@
-"""Queries of the quality gate over a feed with flaws, and of modelled spreads."""
+"""Queries of the quality gate over a feed with flaws, of modelled spreads, and of funnels."""
 
 from __future__ import annotations
 
 from ..frames import Dialect, Series, output, staged
-from ..operators import gates
+from ..operators import funnels, gates
 from . import views
 from .registry import query, stored_query
 
@@ -28,3 +28,9 @@ def quoted(d: Dialect) -> str:
 
 
 query("c06_spread_factors", lambda d: output(gates.spread(quoted(d)), ("symbol", "ts", "event_id"), ["moneyness", "vol_factor", "time_factor", "spread"], ["dte", "strangle"]))
+
+stored_query(
+    "a22_stage_funnel",
+    lambda d: "(select user_id as item, event_type as stage, ts from {events})",
+    lambda d, rows: output(funnels.funnel(rows, ("signup", "view", "click", "purchase"), 7, d), ("step", "stage"), ["median_hours", "of_first", "of_previous"], ["items"], 5),
+)

@@ -47,3 +47,29 @@ def test_spread(spark):
         at = 2.0 if not 0 <= r.minutes <= 390 else 1.5 if r.minutes <= 30 else 1.3 if r.minutes >= 330 else 1.0
         want = (0.3 if r.strangle else 0.2) * (1 + abs(r.strike - 100) / 100 * 5) * (1.3 if r.dte < 7 else 1.15 if r.dte < 14 else 1) * min(3, 1 + max(0, (r.vix - 15) / 20)) * at * (0.9 if r.strangle else 1)
         assert r.spread == pytest.approx(max(0.01, want))
+
+
+def test_funnel(spark):
+    import datetime
+
+    from quantloom.operators import funnels
+
+    rng = np.random.default_rng(8)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(int(rng.integers(0, 40)), str(rng.choice(["a", "b", "c", "x"], p=[0.15, 0.3, 0.2, 0.35])), start + datetime.timedelta(hours=int(h))) for h in rng.integers(0, 600, 400)]
+    got = {r.step: r for r in spark_sql(spark, f"select * from {funnels.funnel('{e}', ('a', 'b', 'c'), 5, SPARK)} f", e=spark.createDataFrame(rows, "item int, stage string, ts timestamp_ntz")).collect()}
+    reached = {1: [], 2: [], 3: []}
+    for item in range(40):
+        own = sorted((t, s) for i, s, t in rows if i == item)
+        at = first = min((t for t, s in own if s == "a"), default=None)
+        for k, stage in enumerate("abc", 1):
+            if k > 1 and at is not None:
+                at = min((t for t, s in own if s == stage and t >= at and t - first <= datetime.timedelta(days=5)), default=None)
+            if at is None:
+                break
+            reached[k].append((at - first).total_seconds() / 3600)
+    for k, hours in reached.items():
+        r = got[k]
+        assert (r["items"], r.median_hours) == (len(hours), pytest.approx(np.median(hours)))
+        assert r.of_first == pytest.approx(100 * len(hours) / len(reached[1])) and (k == 1) == (r.of_previous is None)
+    assert len(reached[1]) > len(reached[3]) > 0

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -84,3 +85,21 @@ def test_topk_in_blocks(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     canonical = lambda block: sorted(map(tuple, nearest_vectors(rows, 5, 20, block).collect()))
     assert canonical(10) == canonical(1000)
+
+
+def test_similar_rows_are_whole(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 8))
+    v[1:4] = v[0] + rng.normal(size=(3, 8)) * 0.1
+    spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans.QUERIES["r04_similar"](spark, str(tmp_path)).toPandas()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {}
+    for q in (0, 20, 40):
+        s = unit @ unit[q]
+        s[q] = -2
+        for k, i in enumerate(np.argsort(-s)[:10]):
+            want[q, int(i)] = (k + 1, round(float(s[i]), 6), int(s[i] > 0.7))
+    assert {(r.q, r.vec_id): (r.k, r.similarity, r.warning) for r in got.itertuples()} == want
+    total = got.groupby("q").warning.sum().to_dict()
+    assert len(got) == 30 and total[0] >= 3 and all(r.warnings == total[r.q] for r in got.itertuples())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +31,26 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """The rows of a stream after it has read what is there; in complete mode, the last result."""
+def _drained(df: DataFrame, mode: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """The rows of a stream after it has read what is there; in complete mode, the last result.
+
+    end: says that the feed has ended; the stream then goes on from its checkpoint and gives what waited for its watermark.
+    """
     spark = df.sparkSession
     path = new_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
 
-    with carried.state_store(spark):
-        q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
+    def run() -> None:
+        with carried.state_store(spark):
+            q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+
+    run()
+    if end is not None:
+        end()
+        run()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
@@ -75,15 +86,16 @@ BEFORE = "(select date_trunc('millisecond', max(ts)) - interval '10 minutes' fro
 
 
 def warmed_up(spark: SparkSession, sf_dir: str, cut: str = "2024-01-15") -> DataFrame:
-    """Means of the last twenty closes from the first streamed row on: the stream's state starts from the last rows of its history."""
+    """Means of the last twenty closes of every streamed row: the stream's state starts from the last rows of its history, and its end is marked."""
     rows = lambda streaming: _ticks(spark, sf_dir, streaming).select("symbol", "ts", "event_id", F.col("price").alias("close"))
     history = T.last_rows(rows(False).filter(F.col("ts") < F.lit(cut)), 20)
     live = rows(True).filter(F.col("ts") >= F.lit(cut))
-    found = carried.scan_stream(live, ["symbol"], ["ts", "event_id"], R.LastMean, "mean double, n double", history=history)
-    return _ntz(_drained(found, "append").select("symbol", "ts", "event_id", F.round("mean", 6).alias("mean"), F.col("n").cast("long").alias("n")), "ts")
+    marks = carried.Marks(spark, new_path(spark, "marks"))
+    found = carried.scan_stream(live, ["symbol"], ["ts", "event_id"], R.LastMean, "mean double, n double", history=history, marks=marks)
+    return _ntz(_drained(found, "append", lambda: marks.end(rows(False))).select("symbol", "ts", "event_id", F.round("mean", 6).alias("mean"), F.col("n").cast("long").alias("n")), "ts")
 
 
-native("t04_warm_up", warmed_up, f"select * from (select event_type as symbol, ts, event_id, round(avg(value) over w, 6) as mean, count(*) over w as n from events window w as (partition by event_type order by ts, event_id rows between 19 preceding and current row)) x where ts >= timestamp '2024-01-15' and ts < {BEFORE}")
+native("t04_warm_up", warmed_up, "select * from (select event_type as symbol, ts, event_id, round(avg(value) over w, 6) as mean, count(*) over w as n from events window w as (partition by event_type order by ts, event_id rows between 19 preceding and current row)) x where ts >= timestamp '2024-01-15'")
 
 
 def flips(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ the earliest waiting row wakes the key.  The recursion's state is a value of the
 from the checkpoint.  The rows that come out are those that `recursions.scan` gives in batch, up to the watermark.
 
 Rows behind the watermark when they arrive are late and go, as in every operator with a watermark.
+
+A feed that has ended leaves rows that no watermark passes.  Its end is said by a mark: a row of a second stream, later than
+all rows, which moves the watermark and has no other effect.  See `Marks`.
 """
 
 from __future__ import annotations
@@ -16,10 +19,30 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_MARK = "_mark"
+
+
+class Marks:
+    """Times up to which a feed is known to be whole, as a stream of files in a folder."""
+
+    SCHEMA = "ts timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.SCHEMA).parquet(self.path)
+
+    def end(self, rows: DataFrame, late: str = "10 minutes") -> None:
+        """Say that no row comes after those of a batch: a mark that moves a watermark of `late` past all of them."""
+        last = rows.agg(F.max("ts").alias("ts")).filter("ts is not null")
+        last.select((F.col("ts") + F.expr(f"interval {late}") + F.expr("interval 1 second")).alias("ts")).write.mode("append").parquet(self.path)
 
 
 class _Carried(StatefulProcessor):
@@ -45,6 +68,10 @@ class _Carried(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
+        new.columns = [*self.columns, _MARK]  # a constant column comes without its name
+        new = new[~new[_MARK].astype(bool)]
+        if not len(new):
+            return iter(())
         self.waiting.appendList(list(new[self.columns].itertuples(index=False, name=None)))
         self._wake(new)
         return iter(())
@@ -69,19 +96,22 @@ class _Carried(StatefulProcessor):
         yield rows.assign(**{c: np.asarray(got[c], float) for c in self.added})
 
 
-def scan_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], added: str, late: str = "10 minutes", history: DataFrame | None = None) -> DataFrame:
+def scan_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], added: str, late: str = "10 minutes", history: DataFrame | None = None, marks: Marks | None = None) -> DataFrame:
     """A stream of rows with the columns that a recursion adds, once the watermark has passed them.
 
     rows: keys, ts (timestamp) and other columns; order: begins with ts and is total within a key; start and added as for
     `recursions.scan`.  history: rows of the same columns from before the stream, from which its state starts; a key's
-    history is read by one task, so that no more of it should be given than the recursion remembers.  The session's state store must be RocksDB:
-    see `state_store`.
+    history is read by one task, so that no more of it should be given than the recursion remembers.  marks: what the watermark
+    follows beside the rows.  The session's state store must be RocksDB: see `state_store`.
     """
     columns = [f.name for f in rows.schema]
     new = StructType.fromDDL(added)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     processor = _Carried(start, columns, list(order), [f.name for f in new], kept)
-    marked = rows.withWatermark("ts", late)
+    marked = rows.withColumn(_MARK, F.lit(False))
+    if marks is not None:
+        marked = marked.unionByName(marks.stream().withColumn(_MARK, F.lit(True)), allowMissingColumns=True)
+    marked = marked.withWatermark("ts", late)
     return marked.groupBy(*keys).transformWithStateInPandas(processor, StructType([*rows.schema, *new]), "Append", "EventTime", initialState=history.select(*columns).groupBy(*keys) if history is not None else None)
 
 

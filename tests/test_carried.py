@@ -27,9 +27,9 @@ def write(spark, path, part):
     spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def drain(spark, source, start, added, path, history=None, column="close"):
+def drain(spark, source, start, added, path, history=None, column="close", marks=None):
     rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source).withColumnRenamed("close", column)
-    found = carried.scan_stream(rows, ["symbol"], ["ts", "event_id"], start, added, history=history)
+    found = carried.scan_stream(rows, ["symbol"], ["ts", "event_id"], start, added, history=history, marks=marks)
     with carried.state_store(spark):
         q = found.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{path}/out")).start()
     q.awaitTermination()
@@ -98,3 +98,31 @@ def test_late_rows_go(spark):
         write(spark, source, part)
         got = drain(spark, source, lambda: R.LastMean(7), "mean double, n double", path)
     assert sorted((r.event_id, r.mean) for r in got.select("event_id", F.col("mean")).collect()) == [(1, 1.0), (2, 1.5)]
+
+
+def test_mark_ends_a_feed(spark, feed):
+    rows, _ = feed
+    source, path = tempfile.mkdtemp(prefix="feed-"), tempfile.mkdtemp(prefix="carried-")
+    marks = carried.Marks(spark, f"{path}/marks")
+    write(spark, source, rows)
+    waiting = drain(spark, source, lambda: R.LastMean(7), "mean double, n double", path, marks=marks).count()
+    marks.end(spark.createDataFrame(rows, SCHEMA))
+    got = table(drain(spark, source, lambda: R.LastMean(7), "mean double, n double", path, marks=marks), ["mean", "n"])
+    batch = table(R.scan(spark.createDataFrame(rows, SCHEMA), ("symbol",), ("ts", "event_id"), lambda: R.LastMean(7), "mean double, n double"), ["mean", "n"])
+    assert waiting < len(rows) and set(got) == set(batch) and len(batch) == len(rows)
+    for k, v in got.items():
+        np.testing.assert_allclose(v, batch[k])
+
+
+def test_warm_up_gives_every_live_row(spark, sf):
+    from quantloom import plans
+
+    got = {r.event_id: (r.n, r["mean"]) for r in plans.QUERIES["t04_warm_up"](spark, sf).collect()}
+    kept, want = {}, {}
+    for e in sorted(spark.read.parquet(f"{sf}/events.parquet").collect(), key=lambda e: (e.ts, e.event_id)):
+        last = kept[e.event_type] = [*kept.get(e.event_type, []), e.value][-20:]
+        if e.ts >= datetime.datetime(2024, 1, 15):
+            want[e.event_id] = (len(last), sum(last) / len(last))
+    assert set(got) == set(want) and len(want) > 300
+    for k, (n, mean) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - mean) < 1e-6

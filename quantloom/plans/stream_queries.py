@@ -164,16 +164,18 @@ native(
     "select event_type as symbol, ts, event_id, quantity, round((case when quantity > 0 then round(value * 0.99, 6) else round(value * 1.01, 6) end - entry) * quantity, 4) as unrealised from events join (select event_type as symbol, case when count(*) % 2 = 0 then 10 else -10 end as quantity, round(avg(value), 4) as entry from events group by event_type) p on event_type = p.symbol",
 )
 def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directions of the last three closes: a stream of ticks closes bars into a table, and a stream of that table carries the closes."""
+    """Directions of the last three closes of every closed bar: a stream of ticks closes bars into a table, and a stream of that table carries the closes; its end is marked."""
     path = new_path(spark, "bars")
     bars = T.stream_bars(_ticks(spark, sf_dir), "1 hour").select("symbol", "ts", "close")
     T.append_bars(bars, path, new_path(spark, "bars-state")).awaitTermination()
     closed = spark.readStream.schema(bars.schema).parquet(path)
-    found = _drained(carried.scan_stream(closed, ["symbol"], ["ts"], R.Moves, "signal double", late="0 seconds"), "append")
+    marks = carried.Marks(spark, new_path(spark, "marks"))
+    found = carried.scan_stream(closed, ["symbol"], ["ts"], R.Moves, "signal double", late="0 seconds", marks=marks)
+    found = _drained(found, "append", lambda: marks.end(spark.read.schema(bars.schema).parquet(path), "0 seconds"))
     return _ntz(found.select("symbol", "ts", "close", F.col("signal").cast("int").alias("signal")), "ts")
 
 
-native("t09_stream_signals", signalled, f"select symbol, ts, close, case when moved = 3 then 1 when moved = -3 then -1 else 0 end as signal from (select *, sum(step) over (partition by symbol order by ts rows between 2 preceding and current row) as moved from (select *, sign(close - lag(close) over (partition by symbol order by ts)) as step from {_bars_sql(60)} b) x) y where ts < (select max(ts) from {_bars_sql(60)} b2)")
+native("t09_stream_signals", signalled, f"select symbol, ts, close, case when moved = 3 then 1 when moved = -3 then -1 else 0 end as signal from (select *, sum(step) over (partition by symbol order by ts rows between 2 preceding and current row) as moved from (select *, sign(close - lag(close) over (partition by symbol order by ts)) as step from {_bars_sql(60)} b) x) y")
 
 
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:

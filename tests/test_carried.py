@@ -126,3 +126,11 @@ def test_warm_up_gives_every_live_row(spark, sf):
     assert set(got) == set(want) and len(want) > 300
     for k, (n, mean) in want.items():
         assert got[k][0] == n and abs(got[k][1] - mean) < 1e-6
+
+
+def test_signals_of_every_closed_bar(spark, sf):
+    from quantloom import plans
+
+    got = sorted((r.symbol, r.ts, r.close) for r in plans.QUERIES["t09_stream_signals"](spark, sf).collect())
+    bars = sorted((r.symbol, r.ts, r.close) for r in plans.QUERIES["t01_stream_bars"](spark, sf).collect())
+    assert got == bars and len(bars) > 300

@@ -265,6 +265,26 @@ def test_url_merging(spark):
     assert {r.verdict for r in url_filter.url_verdicts(pages, labels.limit(0)).collect()} == {"allow"}
 
 
+def test_url_query_judges_by_branch(spark, tmp_path):
+    """Pages are labelled by their own text: a junk section of a good host is rejected alone, a null page by its template."""
+    from quantloom.llm import queries
+
+    prose = "<html><nav>* # *</nav><!-- ### --><script>a = {b};</script><p>The words of <b>a page</b> that reads well.</p><style>p{x}"
+    junk = "<html><body><p>" + "abc*** | de### fg " * 20 + "</p>"
+    rows = [(k, f"http://h.org/{('news', 'blog', 'dump')[k % 3]}/{k}", None if k % 10 == 7 else junk if k % 3 == 2 or k % 20 == 0 else prose) for k in range(300)]
+    rows += [(1000 + k, f"http://shop.net/{'casino' if k % 2 else 'books'}/{k}", prose) for k in range(200)]
+    rows += [(2000, "http://h.org/dump/x", ""), (2001, None, None), (2002, "http://h.org/blog/y", "<p>1 2 3 4 5</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op4_url_filter(spark, str(tmp_path)).collect()}
+    for k, url, _ in rows:
+        assert got[k].verdict == ("block" if url and ("/dump/" in url or "/casino/" in url) else "allow"), got[k]
+    assert {got[k].branch for k in range(2, 300, 3)} == {"/dump"} and {got[1001].branch, got[1000].branch} == {"/casino", "/books"}
+    labels = {r.page_id: r.bad for r in url_filter.page_labels(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.BAD_WORDS).collect()}
+    for k, url, html in rows:
+        want = 1 if url and "casino" in url else None if not html else int(html != prose)
+        assert labels[k] == want, (k, labels[k], want)
+
+
 def test_token_files(spark, docs):
     path, tok = jobs.scratch(spark, "orc"), public_tokenizers.path("byte_bpe_50k.json")
     token_files.write_token_files(docs, tok, path)

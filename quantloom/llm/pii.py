@@ -11,8 +11,9 @@ Negative are matches that fail their check, in either form, and base spans plant
 threshold is the score that at most `FALSE_SHARE` of the negatives of a held-out fold reach, and at least `LEAST_SCORE`;
 what is judged is in no fold.
 
-Everything is DataFrame and SQL functions and Spark's own tree learner; no Python runs on the executors.  The learner
-sees at most `SAMPLE` examples, picked by hash.
+Everything is DataFrame and SQL functions and Spark's own tree learner; no Python runs on the executors.  The learner and
+the thresholds see every example: those of equal features are one row with their number as its weight, so that what the
+learner reads grows with the forms that occur, not with the texts.
 
 A null text is empty and has no spans.  Repeated rows each get their spans.  Rows without a doc_id are judged alike.
 Extra columns are ignored, and kept by `redact` whatever their names.  Offsets are code points, ends exclusive.
@@ -45,7 +46,8 @@ WIDE = {
 }
 #: A second generator of phone numbers, in groups, which doesn't run on into a number that follows.
 GROUPED = r"(?<![0-9A-Za-z.+-])(?:\+|00)?[0-9]{0,3}[\x20.-]{0,2}\(?[0-9]{2,4}\)?[\x20.-]{0,2}[0-9]{2,4}[\x20.-]{0,2}[0-9]{3,4}(?![.-]?[0-9])"
-SAMPLE, TREES, DEPTH = 20_000, 12, 4
+#: With so many bins every value of a feature is a possible split, and the learner looks for splits in all rows, up to the square of that.
+TREES, DEPTH, BINS = 12, 4, 4096
 LEAST_SCORE, FALSE_SHARE = 0.8, 0.01
 #: One example in so many is in the held-out fold; characters of a match that features are taken from.
 FOLDS, LONGEST = 4, 80
@@ -142,21 +144,16 @@ def _variants() -> Column:
     return out
 
 
-def examples(spans: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Candidates with a label, at most `sample`: base spans and their variants, matches that fail, and spans inside tokens."""
-    order = F.xxhash64("row_key", "kind", "start", "stop")
-    some = lambda df, n: df.orderBy(order).limit(n)
-    good, bad = some(spans.filter("base and ok"), sample // 8), some(spans.filter("not ok"), sample // 8)
-    also = lambda df: df.withColumn("match", F.explode(_variants()))
+def examples(spans: DataFrame) -> DataFrame:
+    """All examples by kind, features, label and fold, with their number: base spans and their variants, matches that fail, and spans inside tokens."""
+    good, bad = spans.filter("base and ok"), spans.filter("not ok").dropDuplicates(["row_key", "kind", "start", "stop"])
+    forms = lambda df: df.withColumn("match", F.explode(F.array_distinct(F.concat(F.array("match"), _variants()))))
     token = F.sha1("match")
     inside = good.filter("kind <> 'email'").withColumns({"before": F.substring(token, 1, 19), "after": F.substring(token, 20, 10)})
-    labelled = lambda df, y: df.withColumn("label", F.lit(y))
-    parts = [labelled(good, 1.0), labelled(also(good), 1.0), labelled(bad, 0.0), labelled(also(bad), 0.0), labelled(inside, 0.0), labelled(also(inside), 0.0)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = rows.dropDuplicates(["row_key", "kind", "start", "stop", "match", "before", "label"])
-    return with_features(rows.withColumn("fold", F.pmod(F.xxhash64("row_key", "start"), F.lit(FOLDS))))
+    labelled = lambda df, y: forms(df).withColumn("label", F.lit(y))
+    rows = labelled(good, 1.0).unionByName(labelled(bad, 0.0)).unionByName(labelled(inside, 0.0))
+    rows = with_features(rows.withColumn("fold", F.pmod(F.xxhash64("row_key", "start"), F.lit(FOLDS))))
+    return rows.groupBy("kind", "fold", "label", *FEATURES).agg(F.count("*").alias("n"))
 
 
 def _judged(spans: DataFrame) -> DataFrame:
@@ -171,11 +168,11 @@ def _judged(spans: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> GBTClassificationModel | None:
-    """Boosted trees over labelled examples; None if either label is missing."""
+    """Boosted trees over labelled examples, weighted by their number; None if either label is missing."""
     if rows.select("label").distinct().count() < 2:
         return None
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32).fit(table.select("features", "label"))
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=BINS, weightCol="n").fit(table.select("features", "label", F.col("n").cast("double").alias("n")))
 
 
 def _best(chosen: DataFrame) -> DataFrame:
@@ -200,7 +197,7 @@ def find(docs: DataFrame) -> DataFrame:
     model = fit(rows.filter("fold > 0"))
     if model is None:
         return base
-    low = _scored(model, rows.filter("fold = 0 and label = 0")).groupBy("kind").agg(F.percentile_approx("score", 1 - FALSE_SHARE, 10_000).alias("limit"))
+    low = _scored(model, rows.filter("fold = 0 and label = 0")).groupBy("kind").agg(F.percentile("score", F.lit(1 - FALSE_SHARE), F.col("n")).alias("limit"))
     wide = _scored(model, with_features(_judged(spans))).select("row_key", "kind", "start", "stop", "score")
     more = wide.join(F.broadcast(low), "kind", "left").filter((F.col("score") >= LEAST_SCORE) & (F.col("score") > F.coalesce("limit", F.lit(0.0))))
     return base.unionByName(_best(more))

@@ -384,6 +384,18 @@ def test_personal_data_beyond_the_base(spark):
     assert redacted.columns == docs.columns and redacted.filter("_key = 'mine' and _spans = 3").count() == len(rows)
 
 
+def test_personal_data_learns_from_all_examples(spark):
+    """No example is left out: base spans and their forms, and matches that fail, however many."""
+    n = 6000
+    rows = [(i, f"write to u{i}@mail.org now") for i in range(n)] + [(n + i, f"at 1.2.3.{300 + i} there") for i in range(n)]
+    spans = pii.candidates(spark.createDataFrame(rows, "row_key long, text string"))
+    got = pii.examples(spans)
+    count = {(r.kind, r.label): r.n for r in got.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    assert count["email", 1.0] == 4 * n  # as it is and in three other forms
+    assert count["ip", 0.0] >= 3 * n
+    assert got.count() < n
+
+
 def test_language(spark, sf, docs):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     models = language_id.fit(rows.filter(~language_id.held_out()))

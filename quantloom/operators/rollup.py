@@ -52,7 +52,7 @@ def timeframe_features(d: Dialect, states: str) -> str:
     s = Series(d, ("timeframe", "symbol"))
     return staged(
         timeframe_bars(d, states),
-        {"ret_1": f"close / {s.lag('close')} - 1", "ret_5": f"close / {s.lag('close', 5)} - 1", "momentum": f"close / {s.roll('avg', 'close', 10)} - 1", "top": s.roll("max", "high", 10), "bottom": s.roll("min", "low", 10)},
+        {"ret_1": f"{d.ratio('close', s.lag('close'))} - 1", "ret_5": f"{d.ratio('close', s.lag('close', 5))} - 1", "momentum": f"{d.ratio('close', s.roll('avg', 'close', 10))} - 1", "top": s.roll("max", "high", 10), "bottom": s.roll("min", "low", 10)},
         {"range_place": "(close - bottom) / nullif(top - bottom, 0)"},
     )
 

@@ -74,7 +74,7 @@ def alignment(d: Dialect, daily: str) -> str:
     names = list(TIMEFRAMES)
     wide = ", ".join(f"max(case when timeframe = '{n}' then {c} end) as {c}_{k}" for k, n in enumerate(names) for c in ("ret_5", "momentum"))
     rows = f"(select symbol, day, {wide} from {daily} d0 group by symbol, day)"
-    agree = lambda c, k: f"case when sign({c}_{k}) = sign({c}_{k + 1}) then 1 else 0 end"
+    agree = lambda c, k: f"case when {d.sign(f'{c}_{k}')} = {d.sign(f'{c}_{k + 1}')} then 1 else 0 end"
     pairs = range(len(names) - 1)
     return staged(
         rows,

@@ -27,7 +27,7 @@ def events(spark, rows):
     return spark.createDataFrame([(i, start + datetime.timedelta(seconds=s), u, k, v, f'{{"k": {i % 7 + 1}}}') for i, (s, u, k, v) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
 
 
-@pytest.mark.parametrize("name", ["a05_last_value_timeframes"])
+@pytest.mark.parametrize("name", ["a05_last_value_timeframes", "b29_timeframe_cascade"])
 def test_prices_of_zero(spark, tmp_path, name):
     rng = np.random.default_rng(3)
     rows = [(600 * i, 1, "view", 0.0 if rng.random() < 0.5 or i > 700 else float(rng.integers(1, 9))) for i in range(800)]

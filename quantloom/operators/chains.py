@@ -6,7 +6,7 @@ and puts alike unless `put_sign` says otherwise.  A contract with no time, volat
 
 from __future__ import annotations
 
-from ..frames import Dialect, Series, staged
+from ..frames import SPARK, Dialect, Series, staged
 from .flow import normal_cdf, normal_pdf
 
 RATE = 0.05
@@ -135,13 +135,13 @@ def structure_returns(d: Dialect, source: str) -> str:
     return f"(select * from {single} s union all select * from {both} t)"
 
 
-def surface_stats(source: str) -> str:
+def surface_stats(source: str, d: Dialect = SPARK) -> str:
     """Statistics and rank of each structure and expiry, of the mean over symbols on every day.
 
     Yearly return and volatility, Sharpe, win rate, drawdown of the wealth that is put in anew each day, skewness and excess
     kurtosis (corrected for few days).  Structures of fewer than twenty days have none.  source: structure, dte, ts, r.
     """
-    daily = f"(select structure, dte, ts, avg(r) as r from {source} s where r is not null group by structure, dte, ts)"
+    daily = f"(select structure, dte, ts, {d.mean('r')} as r from {source} s where r is not null group by structure, dte, ts)"
     by = "partition by structure, dte order by ts rows between unbounded preceding and current row"
     rows = staged(daily, {"lr": "ln(greatest(1 + r, 1e-9))", "centre": "avg(r) over (partition by structure, dte)"}, {"wealth": f"sum(lr) over ({by})"}, {"peak": f"max(wealth) over ({by})"})
     power = lambda k: " * ".join(["(r - centre)"] * k)

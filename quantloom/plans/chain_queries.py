@@ -39,7 +39,7 @@ _chain("e40_structure_payoffs", lambda d, c: A.structure_returns(d, c), ("symbol
 stored_query(
     "e41_surface_stats",
     lambda d: f"(select symbol, ts, dte, structure, round(r, 9) as r from {A.structure_returns(d, views.chain(d))} x)",
-    lambda d, rows: output(A.surface_stats(rows), ("structure", "dte"), ["mean", "ann_return", "ann_vol", "sharpe", "win_rate", "max_drawdown", "skewness", "kurtosis"], ["n", "rank_"], 4),
+    lambda d, rows: output(A.surface_stats(rows, d), ("structure", "dte"), ["mean", "ann_return", "ann_vol", "sharpe", "win_rate", "max_drawdown", "skewness", "kurtosis"], ["n", "rank_"], 4),
 )
 _chain("c02_with_dte", lambda d, c: f"(select symbol, ts, dte, {d.days(d.plus_days('ts', 'dte'), 'ts')} as days_left, count(*) as n from {c} c group by symbol, ts, dte)", ("symbol", "ts", "dte"), [], ["days_left", "n"])
 

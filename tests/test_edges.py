@@ -1,4 +1,4 @@
-"""Odd inputs against the queries' SQL: prices of zero."""
+"""Odd inputs against the queries' SQL: prices of zero, structures that are alike."""
 
 import datetime
 
@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from quantloom import plans
+from quantloom.frames import spark_sql
+from quantloom.operators import chains
 
 
 def rows_and_sql(spark, path, name, **tables):
@@ -33,3 +35,12 @@ def test_prices_of_zero(spark, tmp_path, name):
     rows = [(600 * i, 1, "view", 0.0 if rng.random() < 0.5 or i > 700 else float(rng.integers(1, 9))) for i in range(800)]
     got, want = rows_and_sql(spark, tmp_path, name, events=events(spark, rows))
     assert got == want and len(got) > 5 and any("inf" in r for r in got)
+
+
+def test_equal_structures_have_equal_statistics(spark):
+    """Those of the same returns in another order are ranked by name."""
+    lost, won = [-0.999994955, -0.999993136, -0.999991901, -0.999998155, -0.999998745], 1e7
+    rows = [(t, 7, f"{kind}_{bucket}", r) for t in range(25) for kind in "xy" for bucket in ("10D", "5D") for r in ([won] if t % 2 else lost if (kind, bucket) in (("x", "5D"), ("y", "10D")) else lost[::-1])]
+    df = spark.createDataFrame(rows, "ts int, dte int, structure string, r double").coalesce(1)
+    got = {r.structure: r for r in spark_sql(spark, f"select * from {chains.surface_stats('{r}')} x", r=df).collect()}
+    assert len({r.sharpe for r in got.values()} - {None}) == 1 and sorted(got, key=lambda s: got[s].rank_) == sorted(got)

@@ -40,9 +40,34 @@ def event_windows(d: Dialect, rows: str, keys: Sequence[str], calendar: str, bef
     return staged(first, {"position": f"concat(case when minutes > 0 then 'T-' else 'T+' end, {whole}, 'm')"})
 
 
+def _rated(found: str) -> str:
+    return staged(found, {"minutes_until": "cast(round(until_) as bigint)", "hours_until": "round(until_ / 60, 1)"}, {"tighten": f"case when hours_until <= {TIGHTEN_HOURS} then 1 else 0 end"})
+
+
+def _next(d: Dialect, rows: str, keys: Sequence[str], calendar: str, within: int) -> str:
+    """Rows (keys, ts) with the next event within so many seconds, and how many there are, without a row for each pair.
+
+    Events of one second are one row.  The times of rows, and those `within` later, stand among the events of their bin, in
+    order: what came before in the bin, and in all bins before, is counted, and the next event is the bin's or that of the
+    next bin with one.  The only order over all is that of the bins, a row each.
+    """
+    by = ", ".join(keys)
+    asked = f"(select {by}, ts, {d.seconds('ts')} as ts_s, count(*) as m from {rows} r group by {by}, ts)"
+    probes = f"(select ts_s, explode(array(ts_s, ts_s + {within + 1})) as at from (select distinct ts_s from {asked} a) a0)"
+    seconds = f"(select due_s as at, cast(null as bigint) as ts_s, sum(n) as n, min_by(struct(due_s, due, name, impact), due) as event from {by_time(d, calendar)} e group by due_s)"
+    line = f"(select cast(floor(at / cast({BIN} as double)) as bigint) as bin, at, ts_s, n, event from (select at, ts_s, n, event from {seconds} s union all select at, ts_s, cast(0 as bigint) as n, null as event from {probes} p) u)"
+    inside = f"(select bin, at, ts_s, sum(n) over (partition by bin order by at, ts_s nulls last rows between unbounded preceding and current row) as before, first(event, true) over (partition by bin order by at, ts_s nulls last rows between current row and unbounded following) as event from {line} l)"
+    bins = f"(select bin, coalesce(sum(n) over (order by bin rows between unbounded preceding and 1 preceding), 0) as before, first(event, true) over (order by bin rows between 1 following and unbounded following) as event from (select bin, sum(n) as n, min_by(event, at) filter (where event is not null) as event from {line} l group by bin) g)"
+    looked = f"(select i.ts_s, max(i.before + b.before) - min(i.before + b.before) as n, min_by(coalesce(i.event, b.event), i.at) as event from (select * from {inside} i0 where ts_s is not null) i join {bins} b on i.bin = b.bin group by i.ts_s)"
+    own = ", ".join(f"a.{k}" for k in [*keys, "ts"])
+    return f"(select {own}, f.event.due as due, f.event.name as name, f.event.impact as impact, (f.event.due_s - a.ts_s) / cast(60 as double) as until_, f.n * a.m as events from {asked} a join (select * from {looked} k where n > 0) f on a.ts_s = f.ts_s)"
+
+
 def upcoming(d: Dialect, rows: str, keys: Sequence[str], calendar: str, hours: int = 24) -> str:
     """Rows with the next event within so many hours: minutes until it, hours to one digit, how many there are, and whether stops are tightened."""
     by = ", ".join([*keys, "ts"])
+    if d.spark:
+        return _rated(_next(d, rows, keys, calendar, hours * 3600))
     found = matched(d, rows, keys, calendar, hours * 3600, 0)
     nxt = f"(select {by}, min(due) as due, {d.first('name', 'due')} as name, {d.first('impact', 'due')} as impact, min(minutes) as until_, cast(sum(n) as bigint) as events from {found} m group by {by})"
-    return staged(nxt, {"minutes_until": "cast(round(until_) as bigint)", "hours_until": "round(until_ / 60, 1)"}, {"tighten": f"case when hours_until <= {TIGHTEN_HOURS} then 1 else 0 end"})
+    return _rated(nxt)

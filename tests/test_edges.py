@@ -8,8 +8,9 @@ import pandas as pd
 import pytest
 
 from quantloom import plans
-from quantloom.frames import spark_sql
+from quantloom.frames import SPARK, spark_sql
 from quantloom.operators import chains
+from quantloom.plans import lookup_queries as lookups
 
 
 def rows_and_sql(spark, path, name, **tables):
@@ -44,3 +45,15 @@ def test_equal_structures_have_equal_statistics(spark):
     df = spark.createDataFrame(rows, "ts int, dte int, structure string, r double").coalesce(1)
     got = {r.structure: r for r in spark_sql(spark, f"select * from {chains.surface_stats('{r}')} x", r=df).collect()}
     assert len({r.sharpe for r in got.values()} - {None}) == 1 and sorted(got, key=lambda s: got[s].rank_) == sorted(got)
+
+
+def test_upcoming_events_without_pairs(spark, tmp_path):
+    """Events of one second, at the end of the reach, and in far bins; no row for a pair of a bar and an event."""
+    rng = np.random.default_rng(5)
+    rows = [(300 * i, i % 3, "view", 1.0 + i % 5) for i in range(900) if i % 7]
+    rows += [(int(s), int(u), k, 2.0) for s in rng.integers(0, 40_000, 150).tolist() for u, k in ((rng.integers(0, 4), "error"), (1, "signup"))]
+    rows += [(300 * 20 + 86_400, 1, "signup", 1.0), (300 * 30 + 86_401, 1, "error", 1.0), (230_000, 2, "error", 1.0), (230_000, 1, "error", 1.0)]
+    got, want = rows_and_sql(spark, tmp_path, "c17_upcoming_minutes", events=events(spark, rows))
+    assert got == want and 100 < len(got) < 771
+    sql = lookups.V.upcoming(SPARK, lookups.minute_bars(SPARK), ("symbol",), lookups.calendar(SPARK), 24)
+    assert "due_s +" not in sql and "b.ts_s >= s.due_s" not in sql

@@ -54,18 +54,54 @@ def bootstrap(d: Dialect, source: str, key: str = "symbol") -> str:
 PERCENTILES = tuple(range(10, 100, 10))
 
 
+#: Buckets of a group's range, among which its percentiles are sought.
+BUCKETS = 4096
+
+
+def sorted_quantiles(long: str, by: Sequence[str], pcts: Sequence[int]) -> str:
+    """Exact percentiles (by, pct, threshold) of each group's values, without one task that holds or sorts a group.
+
+    Values are counted by buckets of the group's range; only the buckets in which a percentile lies are looked into.
+    """
+    same = lambda a, b, *more: " and ".join(f"{a}.{k} = {b}.{k}" for k in (*by, *more))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in by)
+    keys = ", ".join(by)
+    rows = f"(select {keys}, value from {long} l0 where value is not null)"
+    shape = f"(select {keys}, count(*) as n, min(value) as lo, max(value) as hi from {rows} r group by {keys})"
+    bucket = f"case when hi > lo then coalesce(least({BUCKETS - 1}, try_cast((value - lo) / (hi - lo) * {BUCKETS} as int)), {BUCKETS - 1}) else 0 end"
+    dealt = f"(select /*+ broadcast(s) */ {of('r')}, r.value, {bucket} as bucket from {rows} r join {shape} s on {same('r', 's')})"
+    upto = lambda source, part, order: f"(select *, sum(c) over (partition by {part} order by {order} rows between unbounded preceding and current row) as upto from {source} q)"
+    filled = upto(f"(select {keys}, bucket, count(*) as c from {dealt} d group by {keys}, bucket)", keys, "bucket")
+    at = f"(select *, (n - 1) * (pct / 100D) as at from (select {keys}, n, explode(array({', '.join(map(str, pcts))})) as pct from {shape} s) p)"
+    wanted = f"(select {keys}, pct, at, explode(array(cast(floor(at) as bigint), cast(ceil(at) as bigint))) as place from {at} a)"
+    places = f"(select distinct {of('w')}, w.pct, w.at, w.place, f.bucket, f.upto - f.c as before from {wanted} w join {filled} f on {same('w', 'f')} and w.place < f.upto and w.place >= f.upto - f.c)"
+    inside = f"(select /*+ broadcast(n) */ {of('d')}, d.bucket, d.value, count(*) as c from {dealt} d join (select distinct {keys}, bucket from {places} p) n on {same('d', 'n', 'bucket')} group by {of('d')}, d.bucket, d.value)"
+    found = f"(select {of('p')}, p.pct, p.at, p.place, v.value from {places} p join {upto(inside, f'{keys}, bucket', 'value')} v on {same('p', 'v', 'bucket')} and p.place - p.before < v.upto and p.place - p.before >= v.upto - v.c)"
+    return f"(select {keys}, pct, min(value) + (max(value) - min(value)) * (max(at) - floor(max(at))) as threshold from {found} f group by {keys}, pct)"
+
+
 def thresholds(d: Dialect, long: str, by: Sequence[str]) -> str:
     """Percentiles of each feature's values, a row each: by, pct, threshold."""
+    if d.spark:
+        return sorted_quantiles(long, by, PERCENTILES)
     keys = ", ".join(by)
     each = " union all ".join(f"select {keys}, {p} as pct, {d.quantile('value', p / 100)} as threshold from {long} t{p} where value is not null group by {keys}" for p in PERCENTILES)
     return f"({each})"
 
 
-def confusion(long: str, limits: str, by: Sequence[str]) -> str:
+def confusion(d: Dialect, long: str, limits: str, by: Sequence[str]) -> str:
     """Counts of rule and label for each feature, percentile and direction.  long: by, value, label (0 or 1)."""
     on = " and ".join(f"l.{b} = t.{b}" for b in by)
     keys = ", ".join(f"l.{b}" for b in by)
     plain = ", ".join(by)
+    if d.spark:  # rows of one label between the same limits are counted first; a limit is below a value with more lower limits than it has itself
+        lines = f"(select {plain}, array_agg(threshold) as ts from {limits} t0 group by {plain})"
+        cells = f"(select {keys}, l.label, size(filter(t.ts, x -> x < l.value)) as under, size(filter(t.ts, x -> x <= l.value)) as upto from {long} l join {lines} t on {on} where l.value is not null)"
+        cells = f"(select {plain}, label, under, upto, count(*) as m from {cells} c group by {plain}, label, under, upto)"
+        ranked = f"(select *, size(filter(array_agg(threshold) over (partition by {plain}), x -> x < threshold)) as lower from {limits} t1)"
+        both = f"(select {keys}, t.pct, t.threshold, v.direction, l.label, l.m, case when v.direction = 'below' then l.under <= t.lower else l.upto > t.lower end as hit from {cells} l join {ranked} t on {on} cross join (select 'below' as direction union all select 'above') v)"
+        count = lambda h, y: f"sum(case when {h} and label = {y} then m else 0 end)"
+        return f"(select {plain}, pct, direction, min(threshold) as threshold, {count('hit', 1)} as tp, {count('hit', 0)} as fp, {count('not hit', 1)} as fn, {count('not hit', 0)} as tn from {both} b group by {plain}, pct, direction)"
     hit = "case when direction = 'below' then case when value <= threshold then 1 else 0 end else case when value >= threshold then 1 else 0 end end"
     both = f"(select {keys}, l.value, l.label, t.pct, t.threshold, v.direction from {long} l join {limits} t on {on} cross join (select 'below' as direction union all select 'above') v where l.value is not null)"
     count = lambda h, y: f"sum(case when hit = {h} and label = {y} then 1 else 0 end)"
@@ -80,15 +116,24 @@ def rule_search(d: Dialect, source: str, features: Sequence[str], net: float = 0
     benefit; G6 fewer than a twentieth of all permutations of the labels do as well; G7 ten rows of either label.  G5 and
     G6 come from the rules' counts; G5 is asked of those rules only that pass G1, G2, G4 and G7.
     """
+    return rule_tests(d, rule_gates(d, source, features, net))
+
+
+def rule_gates(d: Dialect, source: str, features: Sequence[str], net: float = 0.1) -> str:
+    """Rules with the gates that counts decide.  source: as for rule_search."""
     long = unpivot(source, ("i", "year_", "label"), features)
-    rules = confusion(long, thresholds(d, long, ("feature",)), ("feature",))
-    yearly = confusion(long, thresholds(d, long, ("feature", "year_")), ("feature", "year_"))
+    rules = confusion(d, long, thresholds(d, long, ("feature",)), ("feature",))
+    yearly = confusion(d, long, thresholds(d, long, ("feature", "year_")), ("feature", "year_"))
     years = f"(select feature, pct, direction, min(case when tp + fp + fn + tn >= 5 then case when tp >= fp then 1 else 0 end else 1 end) as g3 from {yearly} y group by feature, pct, direction)"
     over = "over (partition by feature, direction order by pct)"
     near = staged(rules, {"gain": "tp - fp"}, {"before": f"lag(sign(gain)) {over}", "after": f"lead(sign(gain)) {over}"})
-    gates = f"""(select r.*, y.g3, case when tp >= fp then 1 else 0 end as g1, case when tp + fp > 0 and cast(gain as double) / nullif(tp + fp, 0) >= {net} then 1 else 0 end as g2,
+    return f"""(select r.*, y.g3, case when tp >= fp then 1 else 0 end as g1, case when tp + fp > 0 and cast(gain as double) / nullif(tp + fp, 0) >= {net} then 1 else 0 end as g2,
       case when coalesce(before, sign(gain)) = sign(gain) and coalesce(after, sign(gain)) = sign(gain) then 1 else 0 end as g4, case when tp + fn >= 10 and fp + tn >= 10 then 1 else 0 end as g7
       from {near} r join {years} y on r.feature = y.feature and r.pct = y.pct and r.direction = y.direction)"""
+
+
+def rule_tests(d: Dialect, gates: str) -> str:
+    """The rules of rule_gates with the gates of tests, and how many they pass."""
     tested = tails.permutation_tail(d, gates, "p_value", "tp", "fp", "fn", "tn")
     rule = "feature, pct, direction"
     passed = f"(select {rule}, tp, fp from {gates} g where g1 = 1 and g2 = 1 and g4 = 1 and g7 = 1)"

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from ..frames import Dialect, Series, output, staged
+from pyspark.sql import DataFrame, SparkSession
+
+from ..frames import DUCK, SPARK, Dialect, Series, output, staged
 from ..operators import bars as B
 from ..operators import chains as A
 from ..operators import evaluation as E
 from ..operators import factors
+from ..sources.shared import stored
 from . import views
 from .flow_queries import labelled
 from .information_queries import returned
 from .more_queries import pairs
-from .registry import query
+from .registry import bound, native, query, relation
 from .table_queries import performance
 
 DAY = ("symbol", "ts")
@@ -97,13 +100,31 @@ query("e29_overfit_indicators", lambda d: output(staged(indicators(d), {"suspici
 # ---- rules over trades
 def entries(d: Dialect) -> str:
     """Trades with what is known at their entry, their peak and final profit, and whether they never had one."""
+    if d.spark:  # both from one grouping
+        own = lambda x: f"max(case when day = 1 then {x} end)"
+        whole = f"(select trade_id, {own('profile')} as profile, {own('spot')} as spot, {own('date')} as date, {own('pnl')} as first_pnl, max(pnl) as peak, {d.last('pnl', 'day')} as final_pnl, max(day) as days from {views.paths(d)} p where trade_id is not null group by trade_id)"
+        return f"(select trade_id as i, profile, spot, first_pnl, day(date) as day_of_month, month(date) as month_, year(date) as year_, peak, final_pnl, case when peak <= 20 then 1 else 0 end as label, case when final_pnl > 0 then 1 else 0 end as winner from {whole} w)"
     first = f"(select trade_id, profile, spot, date, pnl as first_pnl from {views.paths(d)} p where day = 1)"
     whole = f"(select trade_id, max(pnl) as peak, {d.last('pnl', 'day')} as final_pnl, max(day) as days from {views.paths(d)} q group by trade_id)"
     return f"(select f.trade_id as i, f.profile, f.spot, f.first_pnl, day(f.date) as day_of_month, month(f.date) as month_, year(f.date) as year_, w.peak, w.final_pnl, case when w.peak <= 20 then 1 else 0 end as label, case when w.final_pnl > 0 then 1 else 0 end as winner from {first} f join {whole} w on f.trade_id = w.trade_id)"
 
 
 ENTRY = ("spot", "first_pnl", "day_of_month", "month_")
-query("e32_rule_search", lambda d: output(E.rule_search(d, entries(d), ("spot", "first_pnl", "month_")), ("feature", "pct", "direction"), ["threshold", "p_value", "p_below"], ["tp", "fp", "fn", "tn", "g1", "g2", "g3", "g4", "g5", "g6", "g7", "gates"], 5))
+RULED = ("spot", "first_pnl", "month_")
+
+
+def ruled(rules: str) -> str:
+    return output(rules, ("feature", "pct", "direction"), ["threshold", "p_value", "p_below"], ["tp", "fp", "fn", "tn", "g1", "g2", "g3", "g4", "g5", "g6", "g7", "gates"], 5)
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over trades, in steps that are written: the trades, the rules with their counts, their tests."""
+    rows = stored(relation(spark, sf_dir, entries(SPARK)), "entries")
+    gates = stored(bound(spark, f"select * from {E.rule_gates(SPARK, '{rows}', RULED)} g", rows=rows), "rules")
+    return bound(spark, ruled(E.rule_tests(SPARK, "{gates}")), gates=gates)
+
+
+native("e32_rule_search", searched, ruled(E.rule_search(DUCK, entries(DUCK), RULED)))
 query("e33_winner_loser_tests", lambda d: output(f"(select * from {E.group_tests(d, entries(d), ('profile',), ENTRY)} t where rank_ <= 3)", ("profile", "feature"), ["m1", "m0", "t", "p", "effect"], ["n1", "n0", "significant", "rank_"], 5))
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from quantloom import plans
 from quantloom.frames import SPARK, spark_sql
-from quantloom.operators import chains
+from quantloom.operators import chains, evaluation
 from quantloom.plans import lookup_queries as lookups
 
 
@@ -57,3 +57,27 @@ def test_upcoming_events_without_pairs(spark, tmp_path):
     assert got == want and 100 < len(got) < 771
     sql = lookups.V.upcoming(SPARK, lookups.minute_bars(SPARK), ("symbol",), lookups.calendar(SPARK), 24)
     assert "due_s +" not in sql and "b.ts_s >= s.due_s" not in sql
+
+
+def test_quantiles_and_rules_are_exact(spark):
+    """Ties, one value, missing values and a far value; counts of each rule against a loop."""
+    rng = np.random.default_rng(8)
+    values = {"a": [*rng.normal(size=301).tolist(), 1e12, None], "b": rng.integers(0, 6, 200).astype(float).tolist(), "c": [3.0] * 7, "d": [2.0, None], "e": [-1.0, 5.0]}
+    rows = [(f, int(i % 3 == 0), v) for f, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "feature string, label int, value double").repartition(5)
+    limits = {(r.feature, r.pct): r.threshold for r in spark_sql(spark, f"select * from {evaluation.sorted_quantiles('{r}', ('feature',), evaluation.PERCENTILES)} q", r=df).collect()}
+    known = {f: np.array([v for v in vs if v is not None]) for f, vs in values.items()}
+    assert limits == pytest.approx({(f, p): np.quantile(v, p / 100) for f, v in known.items() for p in evaluation.PERCENTILES}, rel=1e-14)
+    got = spark_sql(spark, f"select * from {evaluation.confusion(SPARK, '{r}', evaluation.thresholds(SPARK, '{r}', ('feature',)), ('feature',))} c", r=df).collect()
+    assert len(got) == 2 * len(limits)
+    for r in got:
+        hit = lambda v: v <= r.threshold if r.direction == "below" else v >= r.threshold  # noqa: B023, E731
+        mine = [(hit(v), y) for f, y, v in rows if f == r.feature and v is not None]
+        assert (r.tp, r.fp, r.fn, r.tn) == tuple(mine.count(x) for x in ((True, 1), (True, 0), (False, 1), (False, 0)))
+
+
+@pytest.mark.parametrize("name", ["e32_rule_search"])
+def test_trades_of_rules_are_read_once(spark, sf, name):
+    """The plan reads written steps: no line items, and no percentile that one task holds."""
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "percentile(" not in plan

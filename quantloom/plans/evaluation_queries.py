@@ -14,7 +14,7 @@ from . import views
 from .flow_queries import labelled
 from .information_queries import returned
 from .more_queries import pairs
-from .registry import bound, native, query, relation
+from .registry import bound, native, query, relation, spark_stored
 from .table_queries import performance
 
 DAY = ("symbol", "ts")
@@ -128,9 +128,10 @@ native("e32_rule_search", searched, ruled(E.rule_search(DUCK, entries(DUCK), RUL
 query("e33_winner_loser_tests", lambda d: output(f"(select * from {E.group_tests(d, entries(d), ('profile',), ENTRY)} t where rank_ <= 3)", ("profile", "feature"), ["m1", "m0", "t", "p", "effect"], ["n1", "n0", "significant", "rank_"], 5))
 
 
-def two_rules(d: Dialect) -> str:
+def two_rules(d: Dialect, rows: str) -> str:
     """Both of two percentile rules at once: counts of alarms and labels, and the years in which true ones prevail."""
-    rows = entries(d)
+    if d.spark:
+        return _two_rules_counted(rows)
     cuts = lambda f: " union all ".join(f"select {p} as p_{f}, {d.quantile(f, p / 100)} as c_{f} from {rows} q{p}" for p in (25, 50, 75))
     grid = f"(select * from ({cuts('spot')}) a cross join ({cuts('first_pnl')}) b)"
     both = f"(select g.p_spot, g.p_first_pnl, e.year_, e.label, case when e.spot <= g.c_spot and e.first_pnl <= g.c_first_pnl then 1 else 0 end as hit from {rows} e cross join {grid} g)"
@@ -138,7 +139,22 @@ def two_rules(d: Dialect) -> str:
     return f"(select p_spot, p_first_pnl, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(case when tp >= fp then 1 else 0 end) as good_years, count(*) as years from {yearly} y group by p_spot, p_first_pnl)"
 
 
-query("e54_two_feature_rules", lambda d: output(two_rules(d), ("p_spot", "p_first_pnl"), [], ["tp", "fp", "fn", "good_years", "years"]))
+def _two_rules_counted(rows: str) -> str:
+    """The same from counts of trades of one year and label between the same limits."""
+    limits = E.sorted_quantiles(E.unpivot(rows, ("label",), ("spot", "first_pnl")), ("feature",), (25, 50, 75))
+    ranked = f"(select *, size(filter(array_agg(threshold) over (partition by feature), x -> x < threshold)) as lower from {limits} t)"
+    side = lambda f: f"select pct as p_{f}, lower as l_{f} from {ranked} r_{f} where feature = '{f}'"
+    lines = f"(select array_agg(case when feature = 'spot' then threshold end) as ts, array_agg(case when feature = 'first_pnl' then threshold end) as tf from {limits} t)"
+    under = lambda x, ts: f"case when {x} is not null then size(filter({ts}, t -> t < {x})) else 9 end"
+    cells = f"(select e.year_, e.label, {under('e.spot', 'k.ts')} as u_spot, {under('e.first_pnl', 'k.tf')} as u_first_pnl from {rows} e cross join {lines} k)"
+    cells = f"(select year_, label, u_spot, u_first_pnl, count(*) as m from {cells} c group by year_, label, u_spot, u_first_pnl)"
+    both = f"(select a.p_spot, b.p_first_pnl, c.year_, c.label, c.m, case when c.u_spot <= a.l_spot and c.u_first_pnl <= b.l_first_pnl then 1 else 0 end as hit from {cells} c cross join ({side('spot')}) a cross join ({side('first_pnl')}) b)"
+    yearly = f"(select p_spot, p_first_pnl, year_, sum(m * hit * label) as tp, sum(m * hit * (1 - label)) as fp, sum(m * (1 - hit) * label) as fn from {both} x group by p_spot, p_first_pnl, year_)"
+    return f"(select p_spot, p_first_pnl, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(case when tp >= fp then 1 else 0 end) as good_years, count(*) as years from {yearly} y group by p_spot, p_first_pnl)"
+
+
+# trades are read several times: Spark writes them first
+spark_stored("e54_two_feature_rules", entries, lambda d, rows: output(two_rules(d, rows), ("p_spot", "p_first_pnl"), [], ["tp", "fp", "fn", "good_years", "years"]))
 
 
 def separation(d: Dialect) -> str:

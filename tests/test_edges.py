@@ -76,7 +76,7 @@ def test_quantiles_and_rules_are_exact(spark):
         assert (r.tp, r.fp, r.fn, r.tn) == tuple(mine.count(x) for x in ((True, 1), (True, 0), (False, 1), (False, 0)))
 
 
-@pytest.mark.parametrize("name", ["e32_rule_search"])
+@pytest.mark.parametrize("name", ["e32_rule_search", "e54_two_feature_rules"])
 def test_trades_of_rules_are_read_once(spark, sf, name):
     """The plan reads written steps: no line items, and no percentile that one task holds."""
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -9,7 +9,7 @@ import pytest
 
 from quantloom import plans
 from quantloom.frames import SPARK, spark_sql
-from quantloom.operators import chains, evaluation
+from quantloom.operators import chains, evaluation, search
 from quantloom.plans import lookup_queries as lookups
 
 
@@ -81,3 +81,19 @@ def test_trades_of_rules_are_read_once(spark, sf, name):
     """The plan reads written steps: no line items, and no percentile that one task holds."""
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "percentile(" not in plan
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_search_writes_no_pairs(spark, k):
+    """Frequent words in all documents, in several rounds of queries: the plan joins no postings, and the best are those of a loop."""
+    docs = [(i, f"the {'the ' * (i % 3)}w{i % 4} {'x ' * (i % 5)}", 1.0) for i in range(90)]
+    index = search.build(spark.createDataFrame(docs, "doc long, text string, weight double").repartition(3))
+    asked = search.query_terms(spark.createDataFrame([(i, f"the w{i % 4}") for i in range(30)], "q long, text string"), index)
+    found = search.top_documents(asked, index, k)
+    scores = search.pair_scores(spark.range(90).selectExpr("id as doc").crossJoin(spark.range(30).selectExpr("id as q")), asked, index).collect()
+    want = {(r.q, r.doc, r.score) for q in range(30) for r in sorted((r for r in scores if r.q == q), key=lambda r: (-r.score, r.doc))[:k]}
+    assert "Join" not in plan(found) and {(r.q, r.doc, r.score) for r in found.collect()} == want and len(scores) == 2700

@@ -97,3 +97,16 @@ def test_search_writes_no_pairs(spark, k):
     scores = search.pair_scores(spark.range(90).selectExpr("id as doc").crossJoin(spark.range(30).selectExpr("id as q")), asked, index).collect()
     want = {(r.q, r.doc, r.score) for q in range(30) for r in sorted((r for r in scores if r.q == q), key=lambda r: (-r.score, r.doc))[:k]}
     assert "Join" not in plan(found) and {(r.q, r.doc, r.score) for r in found.collect()} == want and len(scores) == 2700
+
+
+def test_index_writes_no_pairs(spark):
+    """What a query meets is compared where it is met: the same best as from the written candidates."""
+    x = np.random.default_rng(1).normal(size=(300, 12))
+    x[40:60] = x[0]  # equal ones
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    index = search.Hyperplanes(rows, 12, bits=6, tables=2)
+    asked = spark.createDataFrame([(q,) for q in range(0, 300, 20)], "q long")
+    met, unit = {(r.q, r.vec_id) for r in index.candidates(asked, 1).collect()}, x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, j) for q in range(0, 300, 20) for _, j in sorted((-round(float(unit[q] @ unit[j]), 6), j) for a, j in met if a == q)[:7]}
+    found = index.nearest(asked, 7, 1)
+    assert {(r.q, r.vec_id) for r in found.collect()} == want and plan(found).count("Join") == 0

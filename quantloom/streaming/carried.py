@@ -1,7 +1,7 @@
 """Recursions over streams: rows of a key in the order of their time, a state carried between micro-batches.
 
-Rows wait in list state until the watermark has passed them, so that they are taken in order however they arrive; a timer of
-the earliest waiting row wakes the key.  The recursion's state is a value of the key's state, and comes back after a restart
+Rows wait in the state, by bins of time, until the watermark has passed them, so that they are taken in order however they arrive;
+a timer of the earliest waiting row wakes the key, and its rows are taken a bin at a time.  The recursion's state is a value of the key's state, and comes back after a restart
 from the checkpoint.  The rows that come out are those that `recursions.scan` gives in batch, up to the watermark.
 
 Rows behind the watermark when they arrive are late and go, as in every operator with a watermark.
@@ -12,6 +12,7 @@ all rows, which moves the watermark and has no other effect.  See `Marks`.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -25,6 +26,8 @@ from pyspark.sql.types import StructType
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _MARK = "_mark"
+#: Seconds of a bin of waiting rows: a task holds the rows of a key and a bin.
+BIN = 21_600
 
 
 class Marks:
@@ -46,54 +49,74 @@ class Marks:
 
 
 class _Carried(StatefulProcessor):
-    def __init__(self, start: Callable[[], object], columns: list[str], order: list[str], added: list[str], schema: str):
-        self.start, self.columns, self.order, self.added, self.schema = start, columns, order, added, schema
+    def __init__(self, start: Callable[[], object], columns: list[str], order: list[str], added: list[str]):
+        self.start, self.columns, self.order, self.added = start, columns, order, added
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "value binary")
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.parts = handle.getValueState("parts", "value long")
+        self.waiting = handle.getMapState("waiting", "bin long, part long", "value binary")
 
-    def _wake(self, rows: pd.DataFrame) -> None:
-        self.handle.registerTimer(int(rows["ts"].min().value // 1_000_000) + 1)
+    def _wait(self, rows: pd.DataFrame) -> pd.Timestamp:
+        """Rows wait as a part of each bin of time that they touch, so that a bin is read without the others."""
+        number = self.parts.get()[0] if self.parts.exists() else 0
+        for bin_, part in rows.groupby(rows["ts"].astype("datetime64[s]").astype("int64") // BIN):
+            self.waiting.updateValue((int(bin_), number), (pickle.dumps(part),))
+        self.parts.update((number + 1,))
+        return rows["ts"].min()
+
+    def _wake(self, first: pd.Timestamp) -> None:
+        self.handle.registerTimer(int(first.value // 1_000_000) + 1)
 
     def _push(self, recursion: object, rows: pd.DataFrame) -> dict[str, np.ndarray]:
-        got = recursion.push({c: rows[c].to_numpy(float) for c in self.columns if pd.api.types.is_numeric_dtype(rows[c])})
+        return recursion.push({c: rows[c].to_numpy(float) for c in self.columns if pd.api.types.is_numeric_dtype(rows[c])})
+
+    def _keep(self, recursion: object) -> None:
         self.state.update((pickle.dumps(recursion),))
-        return got
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         recursion = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
         self._push(recursion, initialState.sort_values(self.order, kind="stable"))
+        self._keep(recursion)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        new.columns = [*self.columns, _MARK]  # a constant column comes without its name
-        new = new[~new[_MARK].astype(bool)]
-        if not len(new):
-            return iter(())
-        self.waiting.appendList(list(new[self.columns].itertuples(index=False, name=None)))
-        self._wake(new)
+        first = []
+        for new in rows:  # a batch at a time
+            new.columns = [*self.columns, _MARK]  # a constant column comes without its name
+            new = new[~new[_MARK].astype(bool) & new["ts"].notna()]
+            if len(new):
+                first.append(self._wait(new[self.columns]))
+        if first:
+            self._wake(min(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-        if not len(rows):
-            return
-        ready = rows["ts"] < passed
-        left = rows[~ready]
-        if len(left):
-            self.waiting.put(list(left.itertuples(index=False, name=None)))
-            self._wake(left)
-        else:
-            self.waiting.clear()
-        rows = rows[ready].sort_values(self.order, kind="stable")
-        if not len(rows):
-            return
-        recursion = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
-        got = self._push(recursion, rows)
-        yield rows.assign(**{c: np.asarray(got[c], float) for c in self.added})
+        keys = sorted(self.waiting.keys())
+        recursion = None
+        for bin_, group in itertools.groupby(keys, lambda k: k[0]):
+            own = list(group)
+            if bin_ * BIN >= passed.timestamp():
+                self._wake(pd.Timestamp(bin_ * BIN, unit="s"))
+                break
+            rows = pd.concat([pickle.loads(self.waiting.getValue(k)[0]) for k in own])
+            for k in own:
+                self.waiting.removeKey(k)
+            ready = rows["ts"] < passed
+            left, rows = rows[~ready], rows[ready].sort_values(self.order, kind="stable")
+            if len(left):
+                first = self._wait(left)
+            if len(rows):
+                if recursion is None:
+                    recursion = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
+                got = self._push(recursion, rows)
+                yield rows.assign(**{c: np.asarray(got[c], float) for c in self.added})
+            if len(left):
+                self._wake(first)
+                break
+        if recursion is not None:
+            self._keep(recursion)
 
 
 def scan_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], added: str, late: str = "10 minutes", history: DataFrame | None = None, marks: Marks | None = None) -> DataFrame:
@@ -106,8 +129,7 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], star
     """
     columns = [f.name for f in rows.schema]
     new = StructType.fromDDL(added)
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    processor = _Carried(start, columns, list(order), [f.name for f in new], kept)
+    processor = _Carried(start, columns, list(order), [f.name for f in new])
     marked = rows.withColumn(_MARK, F.lit(False))
     if marks is not None:
         marked = marked.unionByName(marks.stream().withColumn(_MARK, F.lit(True)), allowMissingColumns=True)

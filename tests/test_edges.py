@@ -1,6 +1,7 @@
 """Odd inputs against the queries' SQL: prices of zero, structures that are alike."""
 
 import datetime
+import types
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ from quantloom import plans
 from quantloom.frames import SPARK, spark_sql
 from quantloom.operators import chains, evaluation, search
 from quantloom.plans import lookup_queries as lookups
+from quantloom.streaming import carried
 
 
 def rows_and_sql(spark, path, name, **tables):
@@ -110,3 +112,35 @@ def test_index_writes_no_pairs(spark):
     want = {(q, j) for q in range(0, 300, 20) for _, j in sorted((-round(float(unit[q] @ unit[j]), 6), j) for a, j in met if a == q)[:7]}
     found = index.nearest(asked, 7, 1)
     assert {(r.q, r.vec_id) for r in found.collect()} == want and plan(found).count("Join") == 0
+
+
+class Held(dict):
+    """The states and timers of a key, in memory."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers = []
+        self.registerTimer = self.timers.append
+        self.getValueState = lambda name, schema: types.SimpleNamespace(exists=lambda: name in self, get=lambda: self[name], update=lambda v: self.update({name: v}))
+        self.getMapState = lambda name, schema, value: types.SimpleNamespace(keys=lambda: iter([k for k in self if isinstance(k, tuple)]), getValue=self.get, removeKey=self.pop, updateValue=self.__setitem__)
+
+
+class Taken:
+    """How many rows are taken at once."""
+
+    def push(self, columns):
+        n = len(columns["close"])
+        return {"at_once": np.full(n, n)}
+
+
+def test_waiting_rows_are_taken_by_bins():
+    """Two days of a key in two batches, out of order; the watermark passes all but the last row, which waits."""
+    columns = ["symbol", "ts", "event_id", "close"]
+    key, held = carried._Carried(Taken, columns, ["ts", "event_id"], ["at_once"]), Held()
+    key.init(held)
+    rows = pd.DataFrame([("a", datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=30 * i), i, 1.0, False) for i in reversed(range(96))], columns=[*columns, "_mark"])
+    list(key.handleInputRows(("a",), iter([rows[::2].copy(), rows[1::2].copy()]), None))
+    passed = int(rows["ts"].max().timestamp() * 1000)
+    out = pd.concat(list(key.handleExpiredTimer(("a",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), None)))
+    assert out["event_id"].tolist() == list(range(95)) and out["at_once"].max() == 12
+    assert held.timers == [1704067200001, passed + 1] and sum(isinstance(k, tuple) for k in held) == 1

@@ -15,7 +15,7 @@ from ..streaming import streams as T
 from .registry import native
 
 
-def _ticks(spark: SparkSession, sf_dir: str, streaming: bool = True) -> DataFrame:
+def _ticks(spark: SparkSession, sf_dir: str, streaming: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     if streaming:
@@ -23,7 +23,7 @@ def _ticks(spark: SparkSession, sf_dir: str, streaming: bool = True) -> DataFram
         df = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if _is_file(spark, path) else "*.parquet").parquet(sf_dir if _is_file(spark, path) else path)
     else:
         df = spark.read.parquet(path)
-    return df.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("size"), "event_id")
+    return df.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("size"), "event_id", *extra)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -100,9 +100,7 @@ native("t04_warm_up", warmed_up, "select * from (select event_type as symbol, ts
 
 def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the sum of a symbol's last five signed sizes changes its side, from a stream that carries the last side of each symbol."""
-    path = f"{sf_dir}/events.parquet"
-    users = spark.read.parquet(path).select("event_id", "user_id").distinct()
-    signed = _ticks(spark, sf_dir).join(users, "event_id").select("symbol", "ts", "event_id", (F.col("size") * F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)).alias("signed"))
+    signed = _ticks(spark, sf_dir, extra=("user_id",)).select("symbol", "ts", "event_id", (F.col("size") * F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)).alias("signed"))
     found = _drained(carried.scan_stream(signed, ["symbol"], ["ts", "event_id"], R.Exposure, "exposure double, was double, side double").filter("was <> 0 and was <> side"), "append")
     return _ntz(found.select("symbol", "ts", "event_id", "exposure", F.col("side").cast("int").alias("side")), "ts")
 

@@ -20,6 +20,14 @@ def exact(d: Dialect, wanted: str, chain: str, columns: Sequence[str]) -> str:
     A wanted strike looks in its own cent and those beside it; of several in reach the lowest strike counts.
     """
     cent = lambda x: f"cast(floor({x} * 100) as bigint)"
+    if d.spark:  # the chain spreads over the cents that it is near to, a row each, and each wanted contract is joined once
+        kept = ", ".join(columns)
+        days = ", ".join((*_DAY, "dte"))
+        offers = f"(select {days}, strike, {', '.join(f'{d.first(x, "strike")} as {x}' for x in columns)} from {chain} k where strike is not null group by {days}, strike)"
+        spread = f"(select {days}, cent, array_sort(array_agg(struct(strike, {kept}))) as offers from (select *, {d.explode(d.series(f'{cent("strike")} - 2', f'{cent("strike")} + 2'), 'cent')} from {offers} o) x group by {days}, cent)"
+        on = " and ".join(f"w.{k} = c.{k}" for k in (*_DAY, "dte"))
+        found = f"(select w.*, get(filter(c.offers, o -> abs(w.strike - o.strike) < {TOLERANCE}), 0) as offer from {wanted} w left join {spread} c on {on} and {cent('w.strike')} = c.cent)"
+        return f"(select * except (offer), offer.strike as found_strike, {', '.join(f'offer.{x} as {x}' for x in columns)} from {found} f)"
     near = f"(select *, {d.explode(d.series(f'{cent("strike")} - 2', f'{cent("strike")} + 2'), 'cent')} from {wanted} w)"
     on = " and ".join(f"w.{k} = c.{k}" for k in (*_DAY, "dte"))
     hits = f"(select w.id, c.strike as found_strike, {', '.join(f'c.{x}' for x in columns)} from {near} w join (select *, {cent('strike')} as cent from {chain} k) c on {on} and w.cent = c.cent where abs(w.strike - c.strike) < {TOLERANCE})"

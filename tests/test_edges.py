@@ -10,7 +10,7 @@ import pytest
 
 from quantloom import plans
 from quantloom.frames import SPARK, spark_sql
-from quantloom.operators import chains, evaluation, search
+from quantloom.operators import chains, contracts, evaluation, search
 from quantloom.plans import lookup_queries as lookups
 from quantloom.streaming import carried
 
@@ -144,3 +144,8 @@ def test_waiting_rows_are_taken_by_bins():
     out = pd.concat(list(key.handleExpiredTimer(("a",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), None)))
     assert out["event_id"].tolist() == list(range(95)) and out["at_once"].max() == 12
     assert held.timers == [1704067200001, passed + 1] and sum(isinstance(k, tuple) for k in held) == 1
+
+
+@pytest.mark.parametrize("look", [contracts.exact])
+def test_wanted_contracts_are_read_once(look):
+    assert look(SPARK, "wanted_rows", "chain_rows", ("price", "oi")).count("wanted_rows") == 1

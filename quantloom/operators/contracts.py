@@ -57,6 +57,8 @@ def nearest(d: Dialect, wanted: str, chain: str, columns: Sequence[str]) -> str:
     Each axis is a two-sided look along one sorted group; of equally near expiries both are followed.  Ties go to the lower
     expiry, then to the lower strike.
     """
+    if d.spark:
+        return _nearest_of_day(d, wanted, chain, columns)
     asks = f"(select symbol, ts, opt, cast(dte as double) as dte, cast(strike as double) as strike, cast(id as bigint) as id from {wanted} w)"
     expiries = f"(select distinct symbol, ts, opt, cast(dte as double) as dte from {chain} k)"
     near = _sides(d, asks, expiries, _DAY, "dte", "dte", ("id", "strike"))
@@ -71,3 +73,21 @@ def nearest(d: Dialect, wanted: str, chain: str, columns: Sequence[str]) -> str:
     on = " and ".join(f"b.{k} = c.{k}" for k in (*_DAY, "dte", "strike"))
     found = f"(select b.*, {', '.join(f'c.{x}' for x in columns)} from {best} b join {chain} c on {on} where b.strike_off <= {MOST_STRIKE})"
     return f"(select w.*, f.dte as found_dte, f.strike as found_strike, f.days_off, f.strike_off, {', '.join(f'f.{x}' for x in columns)} from {wanted} w left join {found} f on w.id = f.id)"
+
+
+def _nearest_of_day(d: Dialect, wanted: str, chain: str, columns: Sequence[str]) -> str:
+    """The same with each wanted contract joined once to the offers of its day and side, which are a row: a sorted list of expiries, each with its sorted strikes.
+
+    Of the expiries those of the least distance are looked into, two at most.  Of a contract that the chain has twice, one counts.
+    """
+    days = ", ".join(_DAY)
+    offers = f"(select {days}, cast(dte as double) as dte, cast(strike as double) as strike, {', '.join(f'{d.first(x, *columns)} as {x}' for x in columns)} from {chain} k where strike is not null and dte is not null group by {days}, cast(dte as double), cast(strike as double))"
+    expiries = f"(select {days}, dte, array_agg(struct(strike, {', '.join(columns)})) as strikes from {offers} o group by {days}, dte)"
+    sides = f"(select {days}, array_agg(struct(dte, strikes)) as expiries from {expiries} e group by {days})"
+    on = " and ".join(f"w.{k} = c.{k}" for k in _DAY)
+    gaps = f"(select w.*, c.expiries, array_min(transform(c.expiries, e -> abs(w.dte - e.dte))) as gap from {wanted} w left join {sides} c on {on})"
+    near = f"(select g.* except (expiries), filter(g.expiries, e -> abs(g.dte - e.dte) = g.gap) as near from {gaps} g)"
+    each = f"array_min(flatten(transform(f.near, e -> transform(e.strikes, s -> struct(abs(f.strike - s.strike) as off, e.dte as dte, s.strike as strike, {', '.join(f's.{x} as {x}' for x in columns)})))))"
+    best = f"(select f.* except (near), case when f.gap <= {MOST_DAYS} and f.strike is not null then {each} end as best from {near} f)"
+    one = f"(select * except (gap, best), gap, case when best.off <= {MOST_STRIKE} then best end as best from {best} b)"
+    return f"(select * except (gap, best), best.dte as found_dte, best.strike as found_strike, case when best is not null then gap end as days_off, best.off as strike_off, {', '.join(f'best.{x} as {x}' for x in columns)} from {one} o)"

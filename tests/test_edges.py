@@ -146,6 +146,6 @@ def test_waiting_rows_are_taken_by_bins():
     assert held.timers == [1704067200001, passed + 1] and sum(isinstance(k, tuple) for k in held) == 1
 
 
-@pytest.mark.parametrize("look", [contracts.exact])
+@pytest.mark.parametrize("look", [contracts.exact, contracts.nearest])
 def test_wanted_contracts_are_read_once(look):
     assert look(SPARK, "wanted_rows", "chain_rows", ("price", "oi")).count("wanted_rows") == 1
